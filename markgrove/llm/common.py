@@ -18,9 +18,9 @@ _local_scratch: dict[str, str] = {}
 
 
 def tune(spark: SparkSession) -> SparkSession:
-    """Bound the Arrow batches of the Python kernels, unless the session has a bound already."""
+    """Bound the Arrow batches of the Python kernels, unless the session has a smaller bound already."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if int(str(spark.conf.get(key, "0")).rstrip("b") or 0) in (0, (1 << 31) - 1, (1 << 63) - 1, 256 << 20):
+    if int(spark.conf.get(key).rstrip("b")) > ARROW_BATCH_BYTES:
         spark.conf.set(key, str(ARROW_BATCH_BYTES))
     return spark
 
