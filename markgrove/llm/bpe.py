@@ -210,3 +210,11 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
         F.sha2(F.col("decoded"), 256).alias("decoded_sha256"),
     )
+
+
+def encoded(docs: DataFrame, path: str) -> DataFrame:
+    """doc_id, source, n_tokens and ids of every document, after its ids have been decoded and held against its text (a difference is an error)."""
+    rows = docs.select("doc_id", "source", F.coalesce("text", F.lit("")).alias("text"))
+    both = decode(encode(rows, path), path)
+    checked = F.when(F.col("decoded") == F.col("text"), F.col("ids")).otherwise(F.raise_error(F.lit("a text differs from its decoded ids")))
+    return both.select("doc_id", "source", F.size("ids").cast("long").alias("n_tokens"), checked.alias("ids"))

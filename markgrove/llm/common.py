@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +16,26 @@ ARROW_BATCH_BYTES = 16 << 20
 #: What separates words everywhere in this subpackage: the six ASCII white-space characters (as bytes.split does).
 WORD_RE = r"[^\x20\x09-\x0D]+"
 
+def mix64(x: np.ndarray) -> np.ndarray:
+    """The finalizer of splitmix64."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+class WordHashes(dict):
+    """Hash of each word, remembered up to a bound."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > 400_000:
+            self.clear()
+        h = self[word] = xxhash.xxh64_intdigest(word)
+        return h
+
+
+HASHES = WordHashes()
+
+
 _local_scratch: dict[str, str] = {}
 
 

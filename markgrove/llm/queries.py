@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, embedding_dedup, minhash, mixing, pii, quality_rules, warc
+from . import bpe, chat, classifier, embedding_dedup, lm_scoring, minhash, mixing, pii, quality_rules, warc
 from .common import read
 
 
@@ -36,11 +36,21 @@ def op4_pii_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(read(spark, sf_dir, "documents"))
 
 
+def op5_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The score of every document under the counts of all others."""
+    return lm_scoring.score(read(spark, sf_dir, "documents"))
+
+
 def op6_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages written to archives and read back."""
     return warc.round_trip(read(spark, sf_dir, "pages"))
 
 
+def op7_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expected grade and selection of every document; trained on labels."""
+    return classifier.select(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op8_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The near-duplicate class of every document."""
     return minhash.classes(read(spark, sf_dir, "documents"))
@@ -57,7 +67,7 @@ def op10_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_poisson_mix, op2_hnsw_dedup, op3_suffix_array_rules, op4_pii_anchors, op6_warc_segments, op8_bagminhash, op9_bpe, op10_tool_calls)
+    f.__name__: f for f in (op1_poisson_mix, op2_hnsw_dedup, op3_suffix_array_rules, op4_pii_anchors, op5_stupid_backoff, op6_warc_segments, op7_ordinal_quality, op8_bagminhash, op9_bpe, op10_tool_calls)
 }
 
-SQL: dict[str, str] = {"op1_poisson_mix": mixing.SQL, "op3_suffix_array_rules": quality_rules.SQL, "op6_warc_segments": warc.SQL, "op10_tool_calls": chat.SQL}
+SQL: dict[str, str] = {"op1_poisson_mix": mixing.SQL, "op3_suffix_array_rules": quality_rules.SQL, "op5_stupid_backoff": lm_scoring.SQL, "op6_warc_segments": warc.SQL, "op10_tool_calls": chat.SQL}
