@@ -29,7 +29,7 @@ from .common import tune
 FEATURES, GRADES, MAX_LABELLED = 1 << 18, 3, 12_000
 
 #: Rounds of fitting, step, lasso penalty; least tail probability P(grade >= SELECT_GRADE) of a selected document.
-ROUNDS, STEP, LASSO, SELECT_GRADE, SELECT = 120, 0.3, 5e-4, 2, 0.5
+ROUNDS, STEP, LASSO, SELECT_GRADE, SELECT = 120, 0.3, 5e-4, 2, 0.6
 
 #: ASCII marks that are not part of a word's feature at its ends.
 PUNCTUATION = b".,;:!?\"'()[]{}"
