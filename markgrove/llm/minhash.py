@@ -9,8 +9,8 @@ shingle stops producing points once its time is later than all registers of the
 Bands of registers give candidate buckets. A bucket is not expanded into pairs: all members are verified against one hub
 (exact weighted Jaccard of the whole texts); the hub is then done with, buckets whose other members are one component already
 are done too, and the rest choose another hub. What is left after HUB_ROUNDS goes through blocks: each bucket is cut into
-blocks of bounded size and every pair of blocks is compared by whole signatures in a kernel, which hands on only pairs whose
-estimate comes near the threshold. So no bucket is capped, and no link that a bucket holds between two classes is lost.
+blocks of bounded size and every pair of blocks goes through a kernel, which rules out by whole signatures, verifies the rest
+exactly and hands on a spanning forest of the links only. So no bucket is capped, and no link that a bucket holds between two classes is lost.
 
 Defined results: documents are told apart by doc_id (rows of one id are one document; it matches if any of its texts does);
 texts of fewer than five words are one shingle; a text without words, a null text and a null id match nothing (class: the id
@@ -33,8 +33,9 @@ SHINGLE, THRESHOLD = 5, 0.8
 #: At similarity 0.8 a pair shares no band with probability (1 - 0.8**ROWS)**BANDS = 3.3e-5.
 BANDS, ROWS = 26, 5
 
-#: Hub rounds before the rest goes through blocks; members of one block; by how much an estimate may fall short there (over 5 standard deviations).
-HUB_ROUNDS, BLOCK, SLACK = 3, 256, 0.2
+#: Hub rounds before the rest goes through blocks; members of one block (expected); by how much an estimate may fall short there
+#: (4.5 standard deviations of 130 registers at similarity 0.8).
+HUB_ROUNDS, BLOCK, SLACK = 2, 1024, 0.16
 
 MASK40 = np.uint64((1 << 40) - 1)
 U = np.uint64
@@ -153,10 +154,8 @@ def _sketches(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "id long, content string, size long, bands array<long>").where("size > 0")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
+def _verified(pairs: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
     """Of the pairs (a, b), those whose texts reach the threshold."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    texts = scratch.table(docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(ids, "id"), "texts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: tuple[str | None, np.ndarray] = (None, np.zeros(0, dtype=np.uint64))
@@ -170,41 +169,85 @@ def _verified(pairs: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
 
     with_x = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("x")), "a")
     with_both = with_x.join(texts.select(F.col("id").alias("b"), F.col("text").alias("y")), "b")
-    out = scratch.table(with_both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "links")
-    scratch.drop(texts)
+    return scratch.table(with_both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "links")
+
+
+def multiset_overlap(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> int:
+    """Sum of the lesser counts of two multisets, each as sorted distinct hashes and counts."""
+    at = np.searchsorted(a[0], b[0])
+    at[at == len(a[0])] = 0
+    same = a[0][at] == b[0]
+    return int(np.minimum(a[1][at[same]], b[1][same]).sum())
+
+
+def block_links(band: int, ids: np.ndarray, of: np.ndarray, size: np.ndarray, signature: np.ndarray, hashes: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
+    """Links between rows `left` and rows `right` that join different components: a spanning forest of them, no more.
+
+    A pair whose registers agree in an earlier band is left to that band. Estimates rule out what is far below the
+    threshold; the rest is verified by the exact weighted Jaccard, likeliest first, unless it has been joined meanwhile.
+    """
+    root: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while (y := root.setdefault(x, x)) != x:
+            root[x] = root[y]
+            x = root[x]
+        return x
+
+    rows, cols, estimates = [], [], []
+    for i in left.tolist():
+        agree = signature[right] == signature[i]
+        share = agree.mean(axis=1)
+        near = (share >= THRESHOLD - SLACK) & (of[right] != of[i]) & (np.minimum(size[right], size[i]) >= THRESHOLD * np.maximum(size[right], size[i]))
+        if near.any():
+            at = np.flatnonzero(near)
+            first = agree[at].reshape(len(at), BANDS, ROWS).all(axis=2).argmax(axis=1)
+            at = at[first == band]
+            rows.append(np.full(len(at), i))
+            cols.append(right[at])
+            estimates.append(share[at])
+    if not rows:
+        return []
+    i_s, j_s, estimate = np.concatenate(rows), np.concatenate(cols), np.concatenate(estimates)
+    sets = {int(k): np.unique(hashes[k], return_counts=True) for k in np.unique(np.concatenate([i_s, j_s]))}
+    out = []
+    for k in np.argsort(-estimate, kind="stable").tolist():
+        i, j = int(i_s[k]), int(j_s[k])
+        a, b = top(int(of[i])), top(int(of[j]))
+        if a != b:
+            both = multiset_overlap(sets[i], sets[j])
+            if both >= THRESHOLD * (len(hashes[i]) + len(hashes[j]) - both):
+                root[max(a, b)] = min(a, b)
+                out.append((int(ids[i]), int(ids[j])))
     return out
 
 
-def _block_pairs(rest: DataFrame, docs: DataFrame) -> DataFrame:
-    """Pairs of different components in one bucket whose signatures come near the threshold. rest: key, id, size, of."""
+def _rest_links(rest: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links between different components that share a bucket, block by block. rest: key, band, id, size, of."""
 
     def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            _, signature = sketch(batch.column("text").to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([s.tobytes() for s in signature], type=pa.binary())], names=["id", "signature"])
+            words = batch.column("text").to_pylist()
+            _, signature = sketch(words)
+            hashes = [shingles([split(t)])[1].tobytes() for t in words]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([s.tobytes() for s in signature], type=pa.binary()), pa.array(hashes, type=pa.binary())], names=["id", "signature", "hashes"])
 
-    ids = rest.select("id").distinct()
-    own = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(ids, "id").mapInArrow(sketched, "id long, signature binary")
+    own = texts.join(rest.select("id").distinct(), "id").mapInArrow(sketched, "id long, signature binary, hashes binary")
     n = rest.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n"))
     each = rest.join(n, "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("n")).cast("int")).join(own, "id")
     other = F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("other")
-    units = each.select("key", "id", "size", "of", "signature", "block", other).select("*", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"))
+    units = each.select("key", "band", "id", "size", "of", "signature", "hashes", "block", other).select("*", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q")).drop("other")
 
     def compare(table: pa.Table) -> pa.Table:
-        block, of, size, ids = (table.column(c).to_numpy() for c in ("block", "of", "size", "id"))
-        s = np.stack([np.frombuffer(x.as_py(), dtype=np.uint32) for x in table.column("signature")])
-        left = np.flatnonzero(block == block.min())
-        right = np.flatnonzero(block == block.max())
-        a, b = [], []
-        for i in left:
-            far = (s[right] == s[i]).mean(axis=1) >= THRESHOLD - SLACK
-            far &= (of[right] != of[i]) & (np.minimum(size[right], size[i]) >= THRESHOLD * np.maximum(size[right], size[i]))
-            a += [ids[i]] * int(far.sum())
-            b += ids[right[far]].tolist()
+        band, block, of, size, ids = (table.column(c).to_numpy() for c in ("band", "block", "of", "size", "id"))
+        signature = np.stack([np.frombuffer(x.as_py(), dtype=np.uint32) for x in table.column("signature")])
+        hashes = [np.frombuffer(x.as_py(), dtype=np.uint64) for x in table.column("hashes")]
+        left, right = np.flatnonzero(block == block.min()), np.flatnonzero(block == block.max())
+        links = block_links(int(band[0]), ids, of, size, signature, hashes, left, right)
+        a, b = zip(*links, strict=True) if links else ((), ())
         return pa.table({"a": pa.array(a, type=pa.int64()), "b": pa.array(b, type=pa.int64())})
 
-    pairs = units.groupBy("key", "p", "q").applyInArrow(compare, "a long, b long")
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
+    return units.groupBy("key", "p", "q").applyInArrow(compare, "a long, b long")
 
 
 def classes(docs: DataFrame) -> DataFrame:
@@ -216,33 +259,28 @@ def classes(docs: DataFrame) -> DataFrame:
     copies = scratch.table(sketches.join(first, "content").select("id", "rep", "content", "size"), "copies")
     # one document of each text stands for its copies
     reps = copies.where("id = rep").select("id", "content").distinct()
-    banded = sketches.join(reps, ["id", "content"], "left_semi").select("id", "size", F.explode("bands").alias("key"))
+    banded = sketches.join(reps, ["id", "content"], "left_semi").select("id", "size", F.posexplode("bands").alias("band", "key"))
     shared = banded.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("key")
-    buckets = scratch.table(banded.join(shared, "key").distinct(), "buckets")
+    buckets = scratch.table(banded.join(shared, "key"), "buckets")
+    # the texts of all documents that share a bucket, fetched once
+    texts = scratch.table(docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(buckets.select("id").distinct(), "id"), "texts")
     links = copies.where("id != rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
     found: DataFrame | None = None
-    rest, of = buckets, None
+    rest, of = buckets.withColumn("of", F.col("id")), None
     for turn in range(HUB_ROUNDS + 1):
         if rest.isEmpty():
             break
-        if turn < HUB_ROUNDS:
-            hubs = rest.groupBy("key").agg(F.min(F.struct(F.xxhash64("id"), "id", "size")).alias("h")).select("key", F.col("h.id").alias("hub"), F.col("h.size").alias("hub_size"))
-            tried = rest.join(hubs, "key")
-            pairs = tried.where(f"id != hub and least(size, hub_size) >= {THRESHOLD} * greatest(size, hub_size)")
-            if of is not None:
-                hub_of = of.select(F.col("id").alias("hub"), F.col("component_id").alias("hub_of"))
-                pairs = pairs.join(hub_of, "hub", "left").where("of != coalesce(hub_of, hub)")
-            pairs = pairs.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
-        else:
-            pairs = _block_pairs(rest, docs)
-        pairs = scratch.table(pairs, "pairs")
-        new = _verified(pairs, docs, scratch)
-        scratch.drop(pairs)
-        found = new if found is None else found.union(new)
         if turn == HUB_ROUNDS:
+            new = scratch.table(_rest_links(rest, texts), "links")
+            found = new if found is None else found.union(new)
             break
+        hubs = rest.groupBy("key").agg(F.min(F.struct(F.xxhash64("id"), "id", "size", "of")).alias("h")).select("key", F.col("h.id").alias("hub"), F.col("h.size").alias("hub_size"), F.col("h.of").alias("hub_of"))
+        tried = rest.join(hubs, "key").where("id != hub")
+        pairs = tried.where(f"of != hub_of and least(size, hub_size) >= {THRESHOLD} * greatest(size, hub_size)")
+        new = _verified(pairs.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct(), texts, scratch)
+        found = new if found is None else found.union(new)
         of = components(found, scratch)
-        left = tried.where("id != hub").select("key", "id", "size").join(of, "id", "left").select("key", "id", "size", F.coalesce("component_id", "id").alias("of"))
+        left = tried.select("key", "band", "id", "size").join(of, "id", "left").select("key", "band", "id", "size", F.coalesce("component_id", "id").alias("of"))
         many = left.groupBy("key").agg(F.min("of").alias("low"), F.max("of").alias("high")).where("low < high").select("key")
         rest = scratch.table(left.join(many, "key"), "rest")
     if found is not None:
