@@ -25,7 +25,9 @@ ATTRIBUTE = re.compile(
     re.X,
 )
 INSTRUCTION = re.compile(r"<\?([^>?]*(?:\?(?![><])[^>?]*)*)(\?>|\?(?=<)|>|\Z|\?\Z)")
-DECLARATION = re.compile(r"<![^<>\[]*(?:\[(?:[^\]\"']|\"[^\"]*\"|'[^']*')*\]\s*)?>")
+#: An internal subset is taken as such up to 65536 characters and literals, which keeps lexing linear.
+DECLARATION = re.compile(r"<![^<>\[]*+(?:\[(?:[^\]\"']|\"[^\"]*\"|'[^']*'){0,65536}+\]\s*+)?>")
+REST = re.compile(r"\s*\Z")
 PROLOG_FIELD = re.compile(r"""(version|encoding|standalone)\s*=\s*["']([^"']*)["']""")
 VALID_NAME = re.compile(r"[a-zA-Z_:][-a-zA-Z0-9_:.]*")
 
@@ -44,6 +46,9 @@ HTML_CHILDREN = {
 #: Lexical errors that are kept as invalid characters; later ones become text.
 MAX_RECOVERIES = 50
 
+#: Elements below this depth have no paths (their text would grow with the square of the depth); parent_id still leads up.
+PATH_DEPTH = 1000
+
 QUIRKS = {
     "prolog_is_text": "an instruction before the root becomes the root's text",
     "always_auto_close": "an element with text is closed by any other tag, even if its close tag follows",
@@ -92,8 +97,8 @@ class Element:
     preserve: bool = False
     post: int = 0
     n_children: int = 0
-    path: str = ""
-    flat_path: str = ""
+    path: str | None = None
+    flat_path: str | None = None
 
 
 @dataclass
@@ -202,7 +207,7 @@ def lex_tag(text: str, at: int, m: re.Match[str], out: list[Token], quirks: froz
     while True:
         a = ATTRIBUTE.match(text, at)
         if a is None:
-            if at >= n or not text[at:].strip():  # the text ends within the tag
+            if REST.match(text, at):  # the text ends within the tag
                 del out[first:]
                 out.append(Token("TEXT", text[start:].replace("<", "&lt;").replace(">", "&gt;"), start, 0.7, ("incomplete_token", "tag without its end", -0.3), text[start:]))
                 return n
@@ -411,6 +416,8 @@ def number(doc: Document) -> None:
         if e.parent < 0:
             e.path, e.flat_path = f"/{e.tag}", "/"
             continue
+        if e.depth > PATH_DEPTH:
+            continue
         above = elements[e.parent]
         e.path = f"{above.path}/{e.tag}" + (f"[{k}]" if same[e.parent, e.tag] > 1 else "")
         e.flat_path = f"/{e.tag}[{e.child_idx}]" if above.flat_path == "/" else f"{above.flat_path}{e.tag}[{e.child_idx}]"
