@@ -195,3 +195,15 @@ def chunks(df: DataFrame, id_col: str, text_col: str = "text", size: int = 8192)
     n = F.greatest(F.lit(1), F.ceil(F.length(text_col) / size)).cast("int")
     each = df.where(F.col(text_col).isNotNull()).select(id_col, text_col, F.explode(F.sequence(F.lit(0), n - 1)).alias("chunk_no"))
     return each.select(id_col, "chunk_no", F.substring(F.col(text_col), F.col("chunk_no") * size + 1, F.lit(size)).alias("text"))
+
+
+def utf8_validity(content: Column) -> Column:
+    """struct<valid, confidence>: strict UTF-8 gives 1.0, anything else 0.0; null content is valid and empty."""
+    valid = F.coalesce(F.is_valid_utf8(content.cast("string")), F.lit(True))
+    return F.struct(valid.alias("valid"), F.when(valid, 1.0).otherwise(0.0).alias("confidence"))
+
+
+def is_valid_char(code: Column) -> Column:
+    """Whether a code point may stand in XML 1.0."""
+    inside = code.isin(0x9, 0xA, 0xD) | code.between(0x20, 0xD7FF) | code.between(0xE000, 0xFFFD) | code.between(0x10000, 0x10FFFF)
+    return inside & (((code % 0x10000) < 0xFFFE) | (code == 0x10FFFF))

@@ -88,3 +88,36 @@ def coverage(cases: list[tuple[int, str, str]]) -> Counter[str]:
 
 def frame(spark: SparkSession, n: int, seed: int = 0) -> DataFrame:
     return spark.createDataFrame(suite(n, seed), "doc_id long, kind string, content string")
+
+
+def patterns(elements: DataFrame) -> DataFrame:
+    """What a corpus is made of: (parent_tag, tag, n), by which variations can be drawn."""
+    from pyspark.sql import functions as F
+
+    p = elements.select(F.col("doc_id").alias("p_id"), F.col("node_id").alias("p_node"), F.col("tag").alias("parent_tag"))
+    both = elements.join(p, (F.col("doc_id") == F.col("p_id")) & (F.col("parent_id") == F.col("p_node")), "left")
+    return both.groupBy("parent_tag", "tag").agg(F.count("*").alias("n"))
+
+
+def variation(rows: list[tuple[str | None, str, int]], seed: int, size: int = 20) -> str:
+    """A well-formed text drawn from patterns() rows: each tag gets children in proportion to their counts."""
+    r = random.Random(seed)
+    by: dict[str | None, list[tuple[str, int]]] = {}
+    for parent, tag, n in sorted(rows, key=repr):
+        by.setdefault(parent, []).append((tag, n))
+
+    def pick(parent: str | None) -> str | None:
+        kids = by.get(parent)
+        return r.choices([t for t, _ in kids], [n for _, n in kids])[0] if kids else None
+
+    out, stack = [], [pick(None) or "root"]
+    out.append(f"<{stack[0]}>")
+    for _ in range(size):
+        tag = pick(stack[-1])
+        if tag is None or (len(stack) > 1 and r.random() < 0.4):
+            if len(stack) > 1:
+                out.append(f"</{stack.pop()}>")
+            continue
+        out.append(f"<{tag}>")
+        stack.append(tag)
+    return "".join([*out, *(f"</{t}>" for t in reversed(stack))])

@@ -158,3 +158,16 @@ def serialize_parsed(parsed: DataFrame, style: str = "xml", options: Output = Ou
             yield pa.RecordBatch.from_arrays([batch.column(id_col), pa.array(out, type=pa.string())], names=[id_col, "content"])
 
     return parsed.select(id_col, "elements").mapInArrow(run, f"{id_col} {kind}, content string")
+
+
+def flat_to_xml(flat: DataFrame, id_col: str = "doc_id", order_col: str = "node_id") -> DataFrame:
+    """(id, content) of a flat table: one <item> per row with a child per column that is not null. A document's root row alone gives that element."""
+    from pyspark.sql import functions as F
+
+    from ..functions.markup import escape_text
+
+    cols = [c for c in flat.columns if c not in (id_col, order_col)]
+    body = F.concat_ws("", *[F.when(F.col(c).isNotNull(), F.concat(F.lit(f"<{c}>"), escape_text(F.col(c).cast("string")), F.lit(f"</{c}>"))) for c in cols])
+    item = F.concat(F.lit("<item>"), body, F.lit("</item>"))
+    rows = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order_col, item.alias("x")))), lambda s: s["x"]), "")
+    return flat.groupBy(id_col).agg(F.concat(F.lit("<data>"), rows, F.lit("</data>")).alias("content"))

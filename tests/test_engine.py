@@ -250,3 +250,30 @@ def test_stream(spark, sf, tmp_path):
 def test_generated_cases_parse(spark):
     docs = generate.frame(spark, 60, 3)
     assert parse.documents(docs).where("success").count() == 60
+
+
+def test_adapters(spark):
+    from markgrove import adapters
+
+    e = parse.elements(one(spark, '<r a="1"><b>x</b><c/></r>'))
+    assert adapters.loss(adapters.get("elementtree"), e) == 0 and adapters.loss(adapters.get("xml"), e) == 0
+    assert list(adapters.get("pandas").to_target(e)["tag"]) == ["r", "b", "c"] and adapters.names("text") == ["json", "xml"]
+    adapters.register(adapters.Adapter("none", "text", str, needs=("no_such_module",)))
+    assert "none" not in adapters.names() and "none" in adapters.names(available=False) and adapters.unregister("none")
+    with pytest.raises(KeyError):
+        adapters.get("none")
+    assert adapters.discover() == []
+
+
+def test_flat_back_to_xml_and_variations(spark):
+    e = parse.elements(one(spark, "<r><b>x &amp; y</b></r>"))
+    back = serialize.flat_to_xml(nav.flat(e)).first()["content"]
+    assert back.startswith("<data><item><tag>r</tag>") and parse.documents(one(spark, back)).first()["total_elements"] == 9
+    rows = [tuple(r) for r in generate.patterns(e).collect()]
+    assert sorted(rows, key=repr) == [("r", "b", 1), (None, "r", 1)] and generate.variation(rows, 1).startswith("<r>")
+
+
+def test_char_validity(spark):
+    codes = spark.createDataFrame([(c,) for c in (0, 9, 0x1F, 0x20, 0xD800, 0xFFFE, 0x1FFFE, 0x10FFFF)], "c int")
+    assert [r[0] for r in codes.select(chars.is_valid_char(F.col("c"))).collect()] == [False, True, False, True, False, False, False, True]
+    assert value(spark, chars.utf8_validity(F.lit(b"\xff")))["confidence"] == 0.0
