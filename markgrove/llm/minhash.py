@@ -261,9 +261,10 @@ def classes(docs: DataFrame) -> DataFrame:
     reps = copies.where("id = rep").select("id", "content").distinct()
     banded = sketches.join(reps, ["id", "content"], "left_semi").select("id", "size", F.posexplode("bands").alias("band", "key"))
     shared = banded.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("key")
-    buckets = scratch.table(banded.join(shared, "key"), "buckets")
+    # shared keys and their documents grow with the corpus, so these two joins are by shuffle at every size
+    buckets = scratch.table(banded.join(shared.hint("merge"), "key"), "buckets")
     # the texts of all documents that share a bucket, fetched once
-    texts = scratch.table(docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(buckets.select("id").distinct(), "id"), "texts")
+    texts = scratch.table(docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(buckets.select("id").distinct().hint("merge"), "id"), "texts")
     links = copies.where("id != rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
     found: DataFrame | None = None
     rest, of = buckets.withColumn("of", F.col("id")), None
