@@ -163,47 +163,49 @@ class _Shared:
         return _codec(self.value.value)
 
 
-def _with(df: DataFrame, name: str, kind: T.DataType) -> T.StructType:
-    return T.StructType([f for f in df.schema.fields if f.name != name] + [T.StructField(name, kind)])
+def coded(df: DataFrame, path: str, source_col: str, outputs: dict[str, str]) -> DataFrame:
+    """df with columns made by one kernel, outputs: name -> "ids" or "decoded" (own columns of these names are replaced).
 
-
-def encode(df: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
-    """df with ids_col: array<int>, the ids of text_col under the vocabulary file at path (an own column of that name is replaced)."""
+    source_col is the text to encode; if only "decoded" is asked for, it may be the ids. Decoding always starts from the ids.
+    """
     spark = tune(df.sparkSession)
-    shared, kept = _Shared(spark, path), [c for c in df.columns if c != ids_col]
+    shared, kept = _Shared(spark, path), [c for c in df.columns if c not in outputs]
+    from_text = isinstance(df.schema[source_col].dataType, T.StringType)
+    kinds = {"ids": T.ArrayType(T.IntegerType()), "decoded": T.StringType()}
+    schema = T.StructType([f for f in df.schema.fields if f.name in kept] + [T.StructField(n, kinds[k]) for n, k in outputs.items()])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = shared.codec()
         for batch in batches:
-            each = [codec.encode_bytes(t) if t else b"" for t in batch.column(text_col).to_pylist()]
-            at = np.zeros(len(each) + 1, dtype=np.int32)
-            np.cumsum([len(x) // 4 for x in each], out=at[1:])
-            ids = pa.ListArray.from_arrays(pa.array(at), pa.array(np.frombuffer(b"".join(each), dtype="<i4")))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), ids], names=[*kept, ids_col])
+            if from_text:
+                each = [codec.encode_bytes(t) if t else b"" for t in batch.column(source_col).to_pylist()]
+                at = np.zeros(len(each) + 1, dtype=np.int32)
+                np.cumsum([len(x) // 4 for x in each], out=at[1:])
+                ids = pa.ListArray.from_arrays(pa.array(at), pa.array(np.frombuffer(b"".join(each), dtype="<i4")))
+            else:
+                ids = batch.column(source_col)
+            made = {"ids": ids}
+            if "decoded" in outputs.values():
+                flat, ends = ids.values.to_numpy(zero_copy_only=False), ids.offsets.to_pylist()
+                made["decoded"] = pa.array([codec.decode(flat[a:b].tolist()) for a, b in zip(ends[:-1], ends[1:], strict=True)], type=pa.string())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *(made[k] for k in outputs.values())], names=[*kept, *outputs])
+
+    return df.mapInArrow(run, schema)
 
-    return df.mapInArrow(run, _with(df, ids_col, T.ArrayType(T.IntegerType())))
+
+def encode(df: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
+    """df with ids_col: array<int>, the ids of text_col under the vocabulary file at path."""
+    return coded(df, path, text_col, {ids_col: "ids"})
 
 
 def decode(df: DataFrame, path: str, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
     """df with text_col: string, the text of ids_col; special tokens are written out."""
-    spark = tune(df.sparkSession)
-    shared, kept = _Shared(spark, path), [c for c in df.columns if c != text_col]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = shared.codec()
-        for batch in batches:
-            ids = batch.column(ids_col)
-            flat, at = ids.values.to_numpy(zero_copy_only=False), ids.offsets.to_numpy()
-            texts = [codec.decode(flat[a:b].tolist()) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(texts, type=pa.string())], names=[*kept, text_col])
-
-    return df.mapInArrow(run, _with(df, text_col, T.StringType()))
+    return coded(df, path, ids_col, {text_col: "decoded"})
 
 
 def round_trip(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every document: encoded, then decoded from its ids."""
-    ids = encode(docs.select("doc_id", "text"), path).select("doc_id", "ids")
-    both = decode(ids, path)
+    both = coded(docs.select("doc_id", "text"), path, "text", {"ids": "ids", "decoded": "decoded"})
     return both.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
@@ -215,6 +217,6 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
 def encoded(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, source, n_tokens and ids of every document, after its ids have been decoded and held against its text (a difference is an error)."""
     rows = docs.select("doc_id", "source", F.coalesce("text", F.lit("")).alias("text"))
-    both = decode(encode(rows, path), path)
+    both = coded(rows, path, "text", {"ids": "ids", "decoded": "decoded"})
     checked = F.when(F.col("decoded") == F.col("text"), F.col("ids")).otherwise(F.raise_error(F.lit("a text differs from its decoded ids")))
     return both.select("doc_id", "source", F.size("ids").cast("long").alias("n_tokens"), checked.alias("ids"))
