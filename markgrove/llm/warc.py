@@ -33,7 +33,7 @@ DATE = "2024-01-01T00:00:00Z"
 #: Payloads under MIN_REVISIT bytes are always stored; blocks are cut at SEGMENT bytes; bodies are framed in CHUNK bytes.
 MIN_REVISIT, SEGMENT, CHUNK = 100, 16 << 10, 4096
 
-#: Payload bytes of one archive file, about.
+#: Bytes of one archive file before compression, about.
 ARCHIVE = 32 << 20
 
 
@@ -106,9 +106,12 @@ def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "
                 out += records_of(i, url, payload or b"", digest, first, segment_bytes)
             yield pa.RecordBatch.from_arrays([pa.array(out, type=pa.binary())], names=["value"])
 
+    # a reader holds an archive whole, so its size is bounded, whatever the size of a partition
+    mean = rows.agg(F.avg(F.least(F.length("payload"), F.lit(segment_bytes)))).first()[0] or 0
+    per_file = max(1, int(ARCHIVE / (mean + 600)))
     # the sink writes the bytes of a string as they are
     made = marked.mapInArrow(run, "value binary").select(F.col("value").cast("string").alias("value"))
-    made.write.option("lineSep", "\r\n").option("compression", "gzip").option("maxRecordsPerFile", 200_000).text(path)
+    made.write.option("lineSep", "\r\n").option("compression", "gzip").option("maxRecordsPerFile", per_file).text(path)
 
 
 HEADER = re.compile(rb"([^:\r\n]+):[ \t]*([^\r\n]*)\r\n")
