@@ -84,7 +84,8 @@ def order(calls: DataFrame, scratch: Scratch) -> DataFrame:
     first = calls.join(now.select("call_id"), "call_id", "left_anti").select("call_id", F.lit(0).cast("long").alias("topo_order"))
     done, now = [scratch.table(first, "first")], scratch.table(now, "jumps")
     n, rounds = now.count(), 0
-    while n and 2**rounds <= 2 * (n + 1):  # no chain is longer than n + 1; what is left then hangs on a cycle
+    most = (n + 1).bit_length() + 1  # no chain is longer than n + 1: what is left after so many doublings hangs on a cycle
+    while n and rounds < most:
         at = reduce(DataFrame.unionByName, done).select(F.col("call_id").alias("jump"), "topo_order")
         hit = now.join(at, "jump").select("call_id", (F.col("far") + F.col("topo_order")).alias("topo_order"))
         on = now.select(F.col("call_id").alias("jump"), F.col("jump").alias("next"), F.col("far").alias("more"))
