@@ -28,7 +28,7 @@ from .common import Scratch, components, tune
 THRESHOLD = 0.98
 
 #: Vectors of a shard (expected), neighbours kept per node and layer (twice at the bottom), beam while building.
-SHARD, NEIGHBOURS, BUILD_BEAM = 2048, 12, 40
+SHARD, NEIGHBOURS, BUILD_BEAM = 8192, 12, 40
 
 #: First beam of a search, how far under the threshold it still walks on, vectors audited per unit and the recall to reach.
 BEAM, SLACK, AUDIT, AUDIT_RECALL = 16, 0.04, 128, 0.99
@@ -109,7 +109,6 @@ class Graph:
                 row[:] = self.chosen(near, len(row))
 
     def build(self) -> Graph:
-        top = [0]
         self.entry, height = 0, int(self.levels[0])
         for i in range(1, len(self.v)):
             q, level, start = self.v[i], int(self.levels[i]), [self.entry]
@@ -121,7 +120,6 @@ class Graph:
                 start = [j for _, j in found[-8:]]
             if level > height:
                 self.entry, height = i, level
-        del top
         return self
 
     def near(self, q: np.ndarray, beam: int, floor: float) -> list[int]:
