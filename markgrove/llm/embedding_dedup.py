@@ -2,9 +2,9 @@
 
 Vectors are told apart by label (and length), equal ones collapse to one with a multiplicity, and the rest is dealt into
 shards of bounded size by a hash of the identifier. Each shard becomes a graph; every block of vectors is searched in every
-shard of its label. The beam of a search is widened until an audit against brute force reaches AUDIT_RECALL; while the
-vectors met lie near the threshold, a search goes on beyond its beam, so large groups are walked to their end. Links are
-verified by cosine in double precision. A unit of work hands on the number of links of each vector and the edges of a local
+shard of its label. Links found are verified by cosine in double precision and united; within a united group all cosines are
+taken, so a group larger than the beam is counted whole. The beam of the searches is widened until an audit of the counts
+against brute force reaches AUDIT_RECALL. A unit of work hands on the number of links of each vector and the edges of a local
 spanning forest, never all pairs of a group; components are then united over all units.
 
 Defined results: a null label or identifier, and vectors that are null, empty, zero or hold null or non-finite components, link
@@ -30,8 +30,8 @@ THRESHOLD = 0.98
 #: Vectors of a shard (expected), neighbours kept per node and layer (twice at the bottom), beam while building.
 SHARD, NEIGHBOURS, BUILD_BEAM = 8192, 12, 40
 
-#: First beam of a search, how far under the threshold it still walks on, vectors audited per unit and the recall to reach.
-BEAM, SLACK, AUDIT, AUDIT_RECALL = 16, 0.04, 128, 0.99
+#: First beam of a search, vectors audited per unit and the recall to reach.
+BEAM, AUDIT, AUDIT_RECALL = 16, 128, 0.999
 
 
 class Graph:
@@ -44,18 +44,18 @@ class Graph:
         self.seen, self.stamp = np.zeros(n, dtype=np.int64), 0
         self.entry = int(np.argmax(levels))
 
-    def search(self, q: np.ndarray, start: list[int], beam: int, layer: int, floor: float = 2.0) -> list[tuple[float, int]]:
-        """The best `beam` rows found from start, best last; nodes at least as similar as floor are walked and kept beyond the beam."""
+    def search(self, q: np.ndarray, start: list[int], beam: int, layer: int) -> list[tuple[float, int]]:
+        """The best `beam` rows found from start, best last."""
         self.stamp += 1
         seen, links, v = self.seen, self.links[layer], self.v
-        first = [(float(s), i) for s, i in zip((v[start] @ q).tolist(), start, strict=True)]
+        best = [(float(s), i) for s, i in zip((v[start] @ q).tolist(), start, strict=True)]
         seen[start] = self.stamp
-        todo, best, more = [(-s, i) for s, i in first], first[:], []
+        todo = [(-s, i) for s, i in best]
         heapq.heapify(todo)
         heapq.heapify(best)
         while todo:
             s, i = heapq.heappop(todo)
-            if len(best) >= beam and -s < best[0][0] and -s < floor:
+            if len(best) >= beam and -s < best[0][0]:
                 break
             near = links[i]
             near = near[near >= 0]
@@ -67,15 +67,11 @@ class Graph:
                 if len(best) < beam:
                     heapq.heappush(best, (sim, j))
                 elif sim > best[0][0]:
-                    out = heapq.heapreplace(best, (sim, j))
-                    if out[0] >= floor:
-                        more.append(out)
-                elif sim >= floor:
-                    more.append((sim, j))
+                    heapq.heapreplace(best, (sim, j))
                 else:
                     continue
                 heapq.heappush(todo, (-sim, j))
-        return sorted(best + more)
+        return sorted(best)
 
     def chosen(self, found: list[tuple[float, int]], most: int) -> list[int]:
         """Of candidates by similarity, those that are nearer to the new node than to any taken before; the rest fills up."""
@@ -127,7 +123,7 @@ class Graph:
         start = [self.entry]
         for layer in range(int(self.levels[self.entry]), 0, -1):
             start = [self.search(q, start, 1, layer)[-1][1]]
-        return [i for s, i in self.search(q, start, beam, 0, floor) if s >= floor]
+        return [i for s, i in self.search(q, start, beam, 0) if s >= floor]
 
 
 def unit(vectors: np.ndarray) -> np.ndarray:
@@ -144,23 +140,56 @@ def _levels(ids: np.ndarray) -> np.ndarray:
     return np.floor(-np.log(u) / math.log(NEIGHBOURS)).astype(np.int32)
 
 
-def search_unit(graph: Graph, ids: np.ndarray, exact: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, threshold: float, beam: int = BEAM) -> tuple[list[np.ndarray], int]:
-    """For each query (unit rows, double) the rows of the shard that link with it, and the beam that passed the audit."""
-    slack, n = SLACK, len(ids)
-    single = queries.astype(np.float32)
-    picks = np.argsort(query_ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15), kind="stable")[:AUDIT]
-    truth = [np.flatnonzero(exact @ queries[k] >= threshold) for k in picks]
-    total = sum(map(len, truth))
+class Forest:
+    """Union-find over any hashable nodes; the least node of a tree is its root."""
+
+    def __init__(self) -> None:
+        self.root: dict[int, int] = {}
+
+    def top(self, x: int) -> int:
+        root = self.root
+        while (y := root.setdefault(x, x)) != x:
+            root[x] = root[y]
+            x = root[x]
+        return x
 
-    def linked(k: int) -> np.ndarray:
-        found = np.array(graph.near(single[k], beam, threshold - slack), dtype=np.int64)
-        return found[exact[found] @ queries[k] >= threshold] if len(found) else found
+    def join(self, x: int, y: int) -> None:
+        a, b = self.top(x), self.top(y)
+        if a != b:
+            self.root[max(a, b)] = min(a, b)
 
-    while beam < n:
-        if not total or sum(len(np.intersect1d(linked(k), t)) for k, t in zip(picks, truth, strict=True)) >= AUDIT_RECALL * total:
-            return [linked(k) for k in range(len(queries))], beam
-        beam, slack = 2 * beam, 1.5 * slack
-    return [np.flatnonzero(exact @ q >= threshold) for q in queries], n  # the beam is the shard
+
+def search_unit(graph: Graph, ids: np.ndarray, times: np.ndarray, exact: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, threshold: float, beam: int = BEAM) -> tuple[np.ndarray, Forest, int]:
+    """For each query (unit rows, double) its number of links with the shard (by times, itself left out), the forest of what is linked, and the beam.
+
+    The graph finds neighbours; what they link is united; within a united group all cosines are then taken, so that a group
+    larger than the beam is counted whole. The audit holds those counts against brute force; the beam doubles until it passes,
+    and a beam as large as the shard is brute force.
+    """
+    n, single = len(ids), queries.astype(np.float32)
+    picks = np.argsort(query_ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15), kind="stable")[:AUDIT]
+    truth = sum(int(times[(exact @ queries[k] >= threshold) & (ids != query_ids[k])].sum()) for k in picks)
+    while True:
+        forest = Forest()
+        for k, q in enumerate(query_ids.tolist()):
+            near = np.arange(n) if beam >= n else np.array(graph.near(single[k], beam, threshold - 1e-4), dtype=np.int64)
+            for j in ids[near[exact[near] @ queries[k] >= threshold]].tolist() if len(near) else ():
+                forest.join(q, j)
+        row_of, query_of = ({i: k for k, i in enumerate(x.tolist())} for x in (ids, query_ids))
+        groups: dict[int, list[int]] = {}
+        for x in list(forest.root):
+            groups.setdefault(forest.top(x), []).append(x)
+        counts = np.zeros(len(query_ids), dtype=np.int64)
+        for members in groups.values():
+            if len(members) > 1:
+                rows = np.array([row_of[x] for x in members if x in row_of], dtype=np.int64)
+                asks = np.array([query_of[x] for x in members if x in query_of], dtype=np.int64)
+                for part in (asks[i : i + 512] for i in range(0, len(asks), 512)):
+                    hit = (queries[part] @ exact[rows].T >= threshold) & (query_ids[part][:, None] != ids[rows][None, :])
+                    counts[part] = hit @ times[rows]
+        if beam >= n or counts[picks].sum() >= AUDIT_RECALL * truth:
+            return counts, forest, beam
+        beam *= 2
 
 
 def _graph_row(table: pa.Table) -> pa.Table:
@@ -187,31 +216,13 @@ def _search_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 at += width * len(ids)
             query_ids = np.frombuffer(row["query_ids"], dtype=np.int64)
             queries = np.frombuffer(row["queries"], dtype=np.float64).reshape(len(query_ids), -1)
-            found, _ = search_unit(Graph(exact.astype(np.float32), levels, links), ids, exact, queries, query_ids, THRESHOLD)
-            root: dict[int, int] = {}
-
-            def top(x: int, root: dict[int, int] = root) -> int:
-                while (y := root.setdefault(x, x)) != x:
-                    root[x] = root[y]
-                    x = root[x]
-                return x
-
-            out = []
-            for q, rows in zip(query_ids.tolist(), found, strict=True):
-                near = ids[rows]
-                other = near != q
-                if n := int(times[rows][other].sum()):
-                    edge = None
-                    for j in near[other].tolist():
-                        a, b = top(q), top(j)
-                        if a != b:
-                            root[max(a, b)] = min(a, b)
-                            edge = j
-                    out.append((q, n, edge))
-            forest = [(x, top(x)) for x in root]
-            rows_a = [x for x, _, _ in out] + [x for x, y in forest if x != y]
-            rows_n = [n for _, n, _ in out] + [0] * (len(rows_a) - len(out))
-            rows_b = [None] * len(out) + [y for x, y in forest if x != y]
+            graph = Graph(exact.astype(np.float32), levels, links)
+            counts, forest, _ = search_unit(graph, ids, times, exact, queries, query_ids, THRESHOLD)
+            edges = [(x, y) for x in list(forest.root) if (y := forest.top(x)) != x]
+            some = np.flatnonzero(counts)
+            rows_a = query_ids[some].tolist() + [x for x, _ in edges]
+            rows_n = counts[some].tolist() + [0] * len(edges)
+            rows_b = [None] * len(some) + [y for _, y in edges]
             yield pa.RecordBatch.from_arrays([pa.array(rows_a, type=pa.int64()), pa.array(rows_n, type=pa.int64()), pa.array(rows_b, type=pa.int64())], names=["a", "n", "b"])
 
 
