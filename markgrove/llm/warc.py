@@ -223,16 +223,11 @@ def round_trip(pages: DataFrame) -> DataFrame:
     back = read(pages.sparkSession, path).select("record_id", "page_id", "kind", "refers_to_id", "digest", "problem", F.sha2(payload, 256).alias("own_digest"), F.length(payload).cast("long").alias("bytes"))
     back = scratch.table(back, "records")
     targets = back.where("kind = 'response'").groupBy("record_id").agg(F.min("page_id").alias("to_page"), F.max("bytes").alias("to_bytes"), F.max("own_digest").alias("to_digest"))
-    both = back.join(targets.withColumnRenamed("record_id", "to_id"), F.col("refers_to_id") == F.col("to_id"), "left")
-    revisit = F.col("kind") == "revisit"
-    return both.select(
-        "page_id",
-        F.when(revisit, F.col("to_bytes")).otherwise(F.col("bytes")).alias("payload_bytes"),
-        F.when(revisit, F.col("to_digest")).otherwise(F.col("own_digest")).alias("payload_digest"),
-        F.col("kind").alias("record_type"),
-        F.when(revisit, F.col("to_page")).alias("refers_to"),
-        "problem",
-    )
+    # only revisits are joined: the null reference of all other records would be one key
+    revisits = back.where("kind = 'revisit'").join(targets.withColumnRenamed("record_id", "to_id"), F.col("refers_to_id") == F.col("to_id"), "left")
+    revisits = revisits.select("page_id", F.col("to_bytes").alias("payload_bytes"), F.col("to_digest").alias("payload_digest"), F.col("kind").alias("record_type"), F.col("to_page").alias("refers_to"), "problem")
+    own = back.where("kind != 'revisit'").select("page_id", F.col("bytes").alias("payload_bytes"), F.col("own_digest").alias("payload_digest"), F.col("kind").alias("record_type"), F.lit(None).cast("long").alias("refers_to"), "problem")
+    return own.unionByName(revisits)
 
 
 SQL = """
