@@ -30,6 +30,9 @@ THRESHOLD = 0.98
 #: Vectors of a shard (expected), neighbours kept per node and layer (twice at the bottom), beam while building.
 SHARD, NEIGHBOURS, BUILD_BEAM = 8192, 12, 40
 
+#: Most partitions of the building and searching stages.
+MAX_PARTITIONS = 20_000
+
 #: First beam of a search, vectors audited per unit and the recall to reach.
 BEAM, AUDIT, AUDIT_RECALL = 16, 128, 0.999
 
@@ -241,12 +244,15 @@ def classes(embeddings: DataFrame) -> DataFrame:
     counts = scratch.table(counts, "counts")
     dealt = reps.join(counts, ["label", "dim"]).withColumn("shard", F.pmod(F.xxhash64("rep"), F.col("shards")).cast("int"))
     schema = "label string, dim int, shard int, ids binary, times binary, vectors binary, levels binary, links binary"
-    graphs = scratch.table(dealt.select("label", "dim", "shard", "rep", "times", "embedding").groupBy("label", "dim", "shard").applyInArrow(_graph_row, schema), "graphs")
+    # building and searching take long for their bytes, so partitions are numbered by shards and units, not merged by size
+    shards, units_n = counts.agg(F.sum("shards"), F.sum(F.col("shards") * F.col("shards"))).first()
+    dealt = dealt.select("label", "dim", "shard", "rep", "times", "embedding").repartition(min(2 * int(shards or 1), MAX_PARTITIONS), "label", "dim", "shard")
+    graphs = scratch.table(dealt.groupBy("label", "dim", "shard").applyInArrow(_graph_row, schema), "graphs")
     blocks = graphs.select("label", "dim", F.col("shard").alias("block"), F.col("ids").alias("query_ids"), F.col("vectors").alias("queries"))
     spread = F.explode(F.sequence(F.lit(0), F.col("shards") - 1))
     units = counts.select("label", "dim", "shards", spread.alias("shard")).select("label", "dim", "shard", spread.alias("block"))
     work = units.join(graphs, ["label", "dim", "shard"]).join(blocks, ["label", "dim", "block"])
-    work = work.repartition("label", "dim", "shard", "block").select("ids", "times", "vectors", "levels", "links", "query_ids", "queries")
+    work = work.repartition(min(2 * int(units_n or 1), MAX_PARTITIONS), "label", "dim", "shard", "block").select("ids", "times", "vectors", "levels", "links", "query_ids", "queries")
     found = scratch.table(work.mapInArrow(_search_units, "a long, n long, b long"), "found")
     of = components(found.where("b is not null").select("a", "b"), scratch)
     links = found.groupBy("a").agg(F.sum("n").alias("far"))
