@@ -162,23 +162,45 @@ class Forest:
             self.root[max(a, b)] = min(a, b)
 
 
+def planted(exact: np.ndarray, rows: np.ndarray, threshold: float) -> np.ndarray:
+    """Perturbed copies of rows (unit, double), each by a fixed random direction to a cosine between threshold and 1 with its row."""
+    rng = np.random.default_rng(len(exact))
+    v, aside = exact[rows], rng.normal(size=(len(rows), exact.shape[1]))
+    aside -= (aside * v).sum(axis=1, keepdims=True) * v
+    size = np.sqrt((aside * aside).sum(axis=1, keepdims=True))
+    cosine = 1 - (1 - threshold) * rng.uniform(0.05, 0.95, size=(len(rows), 1))
+    return np.where(size > 1e-9, cosine * v + np.sqrt(1 - cosine * cosine) * aside / np.maximum(size, 1e-9), v)
+
+
 def search_unit(graph: Graph, ids: np.ndarray, times: np.ndarray, exact: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, threshold: float, beam: int = BEAM) -> tuple[np.ndarray, Forest, int]:
     """For each query (unit rows, double) its number of links with the shard (by times, itself left out), the forest of what is linked, and the beam.
 
     The graph finds neighbours; what they link is united; within a united group all cosines are then taken, so that a group
-    larger than the beam is counted whole. The audit holds those counts against brute force; the beam doubles until it passes,
-    and a beam as large as the shard is brute force.
+    larger than the beam is counted whole. The audit holds AUDIT queries and AUDIT perturbed copies of shard rows, each of
+    which has a link at least, against brute force, each by its own recall, so that a large group does not outweigh a pair
+    and no beam passes on queries without links. The beam doubles until the mean recall is reached, and a beam as large as
+    the shard is brute force.
     """
     n, single = len(ids), queries.astype(np.float32)
-    picks = np.argsort(query_ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15), kind="stable")[:AUDIT]
-    truth = sum(int(times[(exact @ queries[k] >= threshold) & (ids != query_ids[k])].sum()) for k in picks)
+    mixed = [np.argsort(x.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15), kind="stable")[:AUDIT] for x in (query_ids, ids)]
+    copies = planted(exact, mixed[1], threshold)
+    single_copies = copies.astype(np.float32)
+    linked = (queries[mixed[0]] @ exact.T >= threshold) & (query_ids[mixed[0]][:, None] != ids[None, :])
+    truth = linked @ times
+    copied = copies @ exact.T >= threshold
+    copied_truth = copied @ times
+    row_of, query_of = ({i: k for k, i in enumerate(x.tolist())} for x in (ids, query_ids))
     while True:
         forest = Forest()
-        for k, q in enumerate(query_ids.tolist()):
-            near = np.arange(n) if beam >= n else np.array(graph.near(single[k], beam, threshold - 1e-4), dtype=np.int64)
-            for j in ids[near[exact[near] @ queries[k] >= threshold]].tolist() if len(near) else ():
-                forest.join(q, j)
-        row_of, query_of = ({i: k for k, i in enumerate(x.tolist())} for x in (ids, query_ids))
+        if beam >= n:
+            for at in range(0, len(queries), 512):
+                for k, j in zip(*np.nonzero(queries[at : at + 512] @ exact.T >= threshold), strict=True):
+                    forest.join(int(query_ids[at + k]), int(ids[j]))
+        else:
+            for k, q in enumerate(query_ids.tolist()):
+                near = np.array(graph.near(single[k], beam, threshold - 1e-4), dtype=np.int64)
+                for j in ids[near[exact[near] @ queries[k] >= threshold]].tolist() if len(near) else ():
+                    forest.join(q, j)
         groups: dict[int, list[int]] = {}
         for x in list(forest.root):
             groups.setdefault(forest.top(x), []).append(x)
@@ -190,7 +212,16 @@ def search_unit(graph: Graph, ids: np.ndarray, times: np.ndarray, exact: np.ndar
                 for part in (asks[i : i + 512] for i in range(0, len(asks), 512)):
                     hit = (queries[part] @ exact[rows].T >= threshold) & (query_ids[part][:, None] != ids[rows][None, :])
                     counts[part] = hit @ times[rows]
-        if beam >= n or counts[picks].sum() >= AUDIT_RECALL * truth:
+        if beam >= n:
+            return counts, forest, beam
+        some = truth > 0
+        recalls = (counts[mixed[0]][some] / truth[some]).tolist()
+        for k, q in enumerate(single_copies):
+            near = [j for j in graph.near(q, beam, threshold - 1e-4) if copied[k, j]]
+            reached = {row_of[x] for top in {forest.top(i) for i in ids[near].tolist() if i in forest.root} for x in groups[top] if x in row_of}
+            got = np.array(sorted(reached.union(near)), dtype=np.int64)
+            recalls.append(float(times[got[copied[k, got]]].sum() / copied_truth[k]) if copied_truth[k] else 1.0)
+        if sum(recalls) >= AUDIT_RECALL * len(recalls):
             return counts, forest, beam
         beam *= 2
 

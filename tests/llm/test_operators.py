@@ -161,6 +161,30 @@ def test_hnsw_recall_of_a_large_group():
     assert len({forest.top(i) for i in range(600)}) == 1
 
 
+class PoorGraph(embedding_dedup.Graph):
+    """Finds large groups with any beam, pairs only with a beam of 64."""
+
+    def near(self, q, beam, floor):
+        found = np.flatnonzero(self.v @ q >= floor).tolist()
+        return found if beam >= 64 or len(found) > 9 else []
+
+
+@pytest.mark.parametrize("hot", [0, 700])
+def test_hnsw_audit_sees_pairs(hot):
+    # pairs beside a hot group; and pairs of which no audited query is one
+    rng = np.random.default_rng(9)
+    ids = np.arange(2000)
+    audited = np.argsort(ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15), kind="stable")[: embedding_dedup.AUDIT]
+    v = rng.normal(size=(2000, 32))
+    v[:hot] = v[0] + 0.02 * rng.normal(size=(hot, 32))
+    free = np.setdiff1d(ids[hot:], audited)[:200] if not hot else ids[hot : hot + 200]
+    v[free[1::2]] = v[free[::2]] + 0.02 * rng.normal(size=(100, 32))
+    v = embedding_dedup.unit(v)
+    g = PoorGraph(v.astype(np.float32), embedding_dedup._levels(ids))
+    counts, _, beam = embedding_dedup.search_unit(g, ids, np.ones(2000, dtype=np.int64), v, v, ids, 0.98)
+    assert (counts == ((v @ v.T) >= 0.98).sum(axis=1) - 1).all() and 64 <= beam < 2000
+
+
 # ---- 3
 
 
