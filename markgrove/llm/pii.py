@@ -41,9 +41,10 @@ PARSERS = {
     "iban": re.compile(r"[ :#.-]{0,3}([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30})(?![A-Za-z0-9])"),
     "ssn": re.compile(r"(?: (?:number|no\.?))?[ :#=]{0,3}([0-9]{3}[- ][0-9]{2}[- ][0-9]{4})(?![0-9])"),
     "account": re.compile(r"(?: (?:number|no\.?))?[ :#=]{1,3}([0-9]{6,17})(?![0-9A-Za-z])"),
-    "secret": re.compile(r"(?: is)?\s{0,2}[:=]\s{0,2}[\"']?([A-Za-z0-9_+/=.~-]{16,512})"),
-    "url_login": re.compile(r"[^\s:/@?#]{1,256}:[^\s/@?#]{1,256}@"),
+    "secret": re.compile(r"(?: is)?\s{0,2}[:=]\s{0,2}[\"']?(?=[A-Za-z0-9_+/=.~-])"),
+    "url_login": re.compile(r"[^\s:/@?#]++:[^\s/@?#]++@"),
 }
+SECRET = re.compile(r"[A-Za-z0-9_+/=.~-]++")
 
 
 def automaton() -> ahocorasick.Automaton:
@@ -75,6 +76,7 @@ def spans_of(text: str) -> list[tuple[str, int, int]]:
     """(kind, start, end) of a text, by kind and start."""
     found: dict[str, list[tuple[int, int]]] = {k: [] for k in KINDS}
     email = ip = card = phone = 0  # where the next match of each base kind may start
+    secret = 0  # the end of the last run tried as a secret; a run that starts before is a part of it
     for last, (anchor, size) in ANCHORS.iter(text):
         start = last + 1 - size
         if anchor == "digit":
@@ -112,8 +114,15 @@ def spans_of(text: str) -> list[tuple[str, int, int]]:
             if (m := PARSERS[anchor].match(text, last + 1)) and start and text[start - 1].isalpha():
                 found[anchor].append(m.span())
         elif (not start or not text[start - 1].isalnum()) and (m := PARSERS[anchor].match(text, last + 1)):
+            if anchor == "secret":
+                if (a := m.end()) >= secret:
+                    run = SECRET.match(text, a)[0]
+                    secret = a + len(run)
+                    if len(run) >= 16 and any(c.isdigit() for c in run):
+                        found[anchor].append((a, secret))
+                continue
             a, b = m.span(1)
-            if (not found[anchor] or a >= found[anchor][-1][1]) and (anchor != "iban" or iban(m[1])) and (anchor != "secret" or any(c.isdigit() for c in m[1])):
+            if (not found[anchor] or a >= found[anchor][-1][1]) and (anchor != "iban" or iban(m[1])):
                 found[anchor].append((a, b))
     return [(k, a, b) for k in KINDS for a, b in found[k]]
 

@@ -257,6 +257,18 @@ def test_added_spans_and_masking(spark):
     assert found[2]["base_sha256"] == hashlib.sha256(b"").hexdigest() and found[3]["spans"] == ""
 
 
+def test_long_secrets_and_logins_whole():
+    for n in (16, 512, 513, 5000):
+        t = "token: " + "a1" * (n // 2) + "b" * (n % 2) + " end"
+        assert pii.spans_of(t) == [("secret", 7, 7 + n)] and pii.masked(t, pii.spans_of(t)) == "token: [SECRET] end"
+        u = "https://" + "u" * n + ":" + "p" * n + "@host/x"
+        assert pii.spans_of(u) == [("url_login", 8, 10 + 2 * n)]
+    t = "token=" + "x" * 20 + ".password: " + "c3" * 9
+    assert pii.spans_of(t) == [("secret", len(t) - 18, len(t))]
+    for t in ("token=" * 100_000, "a://" * 100_000, "a://" + "b:" * 200_000, "password:token=x1" * 50_000):
+        pii.spans_of(t)
+
+
 def test_long_runs_are_linear():
     for t in ("a" * 400_000, "1" * 400_000, "1." * 200_000, "+1" * 100_000, "a@" * 100_000, "1 " * 200_000):
         pii.spans_of(t)
