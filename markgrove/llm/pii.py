@@ -5,7 +5,8 @@ One Aho-Corasick automaton finds the anchors of a text: at-signs, plus signs, di
 account and validates it. Every parser is linear: a run of characters is walked once, whether it holds a match or not.
 
 Defined results: spans are [start, end) in code points, leftmost and non-overlapping within a kind, by kind and then start;
-a null text is empty; a failing match is dropped without another try inside it; repeated rows get the same spans.
+a null text is empty; a failing match is dropped without another try inside it (an IBAN
+is tried at each end of a word); repeated rows get the same spans.
 """
 
 from __future__ import annotations
@@ -38,7 +39,7 @@ DOTTED = re.compile(r"[0-9]++(?:\.[0-9]++)*+")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 PARSERS = {
-    "iban": re.compile(r"[ :#.-]{0,3}([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30})(?![A-Za-z0-9])"),
+    "iban": re.compile(r"[ :#.-]{0,3}([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30})"),
     "ssn": re.compile(r"(?: (?:number|no\.?))?[ :#=]{0,3}([0-9]{3}[- ][0-9]{2}[- ][0-9]{4})(?![0-9])"),
     "account": re.compile(r"(?: (?:number|no\.?))?[ :#=]{1,3}([0-9]{6,17})(?![0-9A-Za-z])"),
     "secret": re.compile(r"(?: is)?\s{0,2}[:=]\s{0,2}[\"']?(?=[A-Za-z0-9_+/=.~-])"),
@@ -46,6 +47,13 @@ PARSERS = {
 }
 SECRET = re.compile(r"[A-Za-z0-9_+/=.~-]++")
 
+#: Characters of an IBAN by country.
+IBAN_SIZES = {x[:2]: int(x[2:]) for x in (
+    "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BI27 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DJ27 DK18 DO28 EE20 EG29 ES24 FI18 FK18 FO18 FR27 GB22 GE22 GI23 "
+    "GL18 GR27 GT28 HN28 HR21 HU28 IE22 IL23 IQ23 IS26 IT27 JO30 KW30 KZ20 LB28 LC32 LI21 LT20 LU20 LV21 LY25 MC27 MD24 ME22 MK19 MN20 MR27 MT31 MU30 NI28 "
+    "NL18 NO15 OM23 PK24 PL28 PS29 PT25 QA29 RO24 RS22 RU33 SA24 SC31 SD18 SE24 SI19 SK24 SM27 SO23 ST25 SV28 TL23 TN24 TR26 UA29 VA22 VG24 XK20 YE30"
+).split()}
+
 
 def automaton() -> ahocorasick.Automaton:
     found = ahocorasick.Automaton()
@@ -72,6 +80,14 @@ def iban(text: str) -> bool:
     return 15 <= len(code) <= 34 and int("".join(str(int(c, 36)) for c in code[4:] + code[:4])) % 97 == 1
 
 
+def iban_end(text: str, start: int, end: int) -> int | None:
+    """Where the IBAN at start ends, of the ends of words up to end: at its country's size, or else the last that validates."""
+    ends = [k for k in range(start + 15, end + 1) if text[k - 1] != " " and (k == len(text) or not (text[k].isascii() and text[k].isalnum()))]
+    size = IBAN_SIZES.get(text[start : start + 2])
+    ends.sort(key=lambda k: (k - start - text.count(" ", start, k) == size, k), reverse=True)
+    return next((k for k in ends if iban(text[start:k])), None)
+
+
 def spans_of(text: str) -> list[tuple[str, int, int]]:
     """(kind, start, end) of a text, by kind and start."""
     found: dict[str, list[tuple[int, int]]] = {k: [] for k in KINDS}
@@ -122,7 +138,9 @@ def spans_of(text: str) -> list[tuple[str, int, int]]:
                         found[anchor].append((a, secret))
                 continue
             a, b = m.span(1)
-            if (not found[anchor] or a >= found[anchor][-1][1]) and (anchor != "iban" or iban(m[1])):
+            if anchor == "iban":
+                b = iban_end(text, a, b)
+            if b and (not found[anchor] or a >= found[anchor][-1][1]):
                 found[anchor].append((a, b))
     return [(k, a, b) for k in KINDS for a, b in found[k]]
 

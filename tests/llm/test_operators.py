@@ -269,6 +269,14 @@ def test_long_secrets_and_logins_whole():
         pii.spans_of(t)
 
 
+def test_iban_before_other_words():
+    for code in ("DE89370400440532013000", "DE89 3704 0044 0532 0130 00", "NO93 8601 1117 947", "MT84MALT011000012345MTLCAST001S"):
+        for rest in ("", " BIC: COBADEFFXXX", " BIC COBADEFFXXX", " 24 hours", " now", ", 12", " A B C D E F G H 1 2 3 4 5 6 7 8"):
+            assert [s for s in pii.spans_of("IBAN " + code + rest) if s[0] == "iban"] == [("iban", 5, 5 + len(code))], code + rest
+    assert not [s for s in pii.spans_of("IBAN DE89370400440532013001 BIC") if s[0] == "iban"]
+    assert not [s for s in pii.spans_of("IBAN DE89370400440532013000x") if s[0] == "iban"]
+
+
 def test_long_runs_are_linear():
     for t in ("a" * 400_000, "1" * 400_000, "1." * 200_000, "+1" * 100_000, "a@" * 100_000, "1 " * 200_000):
         pii.spans_of(t)
