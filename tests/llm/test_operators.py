@@ -322,6 +322,16 @@ def test_backoff_against_brute_force(spark, monkeypatch, order):
         assert out[i][:2] == (n, off) and abs(out[i][2] - s) <= n
 
 
+def test_registered_trigrams(spark, tmp_path):
+    import __spark_entry__
+
+    texts = ["a b c d", "x a b c", "b c d a b c", None]
+    spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], DOCS).write.parquet(f"{tmp_path}/documents.parquet")
+    out = {r["doc_id"]: (r["n_words"], r["n_backed_off"], r["score_micronats"]) for r in __spark_entry__.queries()["op5_stupid_backoff_order3"](spark, str(tmp_path)).collect()}
+    for i, (n, off, s) in enumerate(brute_scores(texts, 3)):
+        assert out[i][:2] == (n, off) and abs(out[i][2] - s) <= n
+
+
 def test_packing_round_trip():
     rng = np.random.default_rng(1)
     keys = np.unique(rng.integers(0, 1 << 63, 500, dtype=np.uint64) * np.uint64(2))
