@@ -6,7 +6,8 @@ escapes). The order of a call is its number of ancestors; it is found by pointer
 log2(n) joins, and a call that never reaches a first call is part of, or hangs on, a cycle.
 
 Defined results: calls that share an identifier are one call (its least turn, then its least name, parent and arguments;
-n_calls says how many); results that share one are one result (the least text; n_results); a result without its call and a
+n_calls says how many); results that share one are one result (the least text; n_results); with variants, as the query
+has them, all that differ stay (see link()); a result without its call and a
 call without its result stay, as "orphan" and "pending"; a row without identifier is "unlinked"; a parent that does not exist
 makes a call a first call; null arguments fail validation; null texts are JSON null. Joins are by identifier, never by
 conversation, so a conversation that holds a third of all rows is not one task's.
@@ -97,19 +98,36 @@ def order(calls: DataFrame, scratch: Scratch) -> DataFrame:
     return reduce(DataFrame.unionByName, done).unionByName(now.select("call_id", F.lit(None).cast("long").alias("topo_order")))
 
 
-def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> DataFrame:
+def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict], variants: bool = False) -> DataFrame:
     """calls: call_id, parent_id, conv_id, turn, name, arguments (JSON). results: call_id, conv_id, turn, text. Other columns are not carried.
 
     One row per call, orphan result or unlinked row: call_id, conv_id, call_turn, result_turn, name, status, topo_order, valid,
-    violations, n_calls, n_results, json.
+    violations, n_calls, n_results, json. With variants, only equal calls, and equal results, of one identifier are one; if
+    several are left, each has a row of its own of status "conflict": beside the other side's if that is one, else alone.
+    n_calls and n_results then count the equal ones.
     """
     scratch = Scratch(calls.sparkSession, "chat")
     least = F.min(F.struct("turn", "conv_id", "name", "parent_id", "arguments")).alias("c")
     one = calls.where("call_id is not null").groupBy("call_id").agg(least, F.count("*").alias("n_calls"))
-    one = scratch.table(one.select("call_id", "n_calls", F.col("c.turn").alias("call_turn"), F.col("c.conv_id").alias("call_conv"), F.col("c.name").alias("name"), F.col("c.parent_id").alias("parent_id"), F.col("c.arguments").alias("arguments")), "calls")
+    one = one.select("call_id", "n_calls", F.col("c.turn").alias("call_turn"), F.col("c.conv_id").alias("call_conv"), F.col("c.name").alias("name"), F.col("c.parent_id").alias("parent_id"), F.col("c.arguments").alias("arguments"))
+    one = scratch.table(one, "calls")
     answer = results.where("call_id is not null").groupBy("call_id").agg(F.min(F.struct("text", "turn", "conv_id")).alias("r"), F.count("*").alias("n_results"))
     answer = answer.select("call_id", "n_results", F.col("r.text").alias("result"), F.col("r.turn").alias("result_turn"), F.col("r.conv_id").alias("result_conv"))
-    both = one.join(order(one.select("call_id", "parent_id"), scratch), "call_id").join(answer, "call_id", "full")
+    ordered = order(one.select("call_id", "parent_id"), scratch)
+    if variants:
+        every = calls.where("call_id is not null").groupBy("call_id", F.col("turn").alias("call_turn"), F.col("conv_id").alias("call_conv"), "name", "parent_id", "arguments").agg(F.count("*").alias("n_calls"))
+        every = scratch.table(every, "each_call")
+        replies = results.where("call_id is not null").groupBy("call_id", F.col("text").alias("result"), F.col("turn").alias("result_turn"), F.col("conv_id").alias("result_conv")).agg(F.count("*").alias("n_results"))
+        replies = scratch.table(replies, "each_result")
+        many = every.groupBy("call_id").agg(F.count("*").alias("of_calls")).join(replies.groupBy("call_id").agg(F.count("*").alias("of_results")), "call_id", "full")
+        many = many.where("of_calls > 1 or of_results > 1").select("call_id", F.coalesce((F.col("of_calls") > 1) & (F.col("of_results") > 1), F.lit(False)).alias("apart"), F.lit(True).alias("conflict"))
+        many = scratch.table(many, "conflicts")
+        # several calls and several results of one identifier are not multiplied: each side keeps to itself
+        left = every.join(ordered, "call_id").join(many, "call_id", "left").withColumn("side", F.when(F.col("apart"), "call").otherwise("both")).drop("apart")
+        right = replies.join(many, "call_id", "left").withColumn("side", F.when(F.col("apart"), "result").otherwise("both")).drop("apart").withColumnRenamed("conflict", "conflict_")
+        both = left.join(right, ["call_id", "side"], "full").withColumn("conflict", F.coalesce("conflict", "conflict_")).drop("side", "conflict_")
+    else:
+        both = one.join(ordered, "call_id").join(answer, "call_id", "full").withColumn("conflict", F.lit(False))
     loose = calls.where("call_id is null").select(F.col("conv_id").alias("call_conv"), F.col("turn").alias("call_turn"), "name", "arguments")
     lone = results.where("call_id is null").select(F.col("conv_id").alias("result_conv"), F.col("turn").alias("result_turn"), F.col("text").alias("result"))
     both = both.unionByName(loose, allowMissingColumns=True).unionByName(lone, allowMissingColumns=True)
@@ -117,7 +135,7 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> Data
     fault = F.lit("no schema")
     for name, schema in schemas.items():
         fault = F.when(F.col("name") == name, violations(F.col("arguments"), schema)).otherwise(fault)
-    status = F.when(F.col("call_id").isNull(), "unlinked").when(F.col("n_calls").isNull(), "orphan").when(F.col("n_results").isNull(), "pending").otherwise("linked")
+    status = F.when(F.col("call_id").isNull(), "unlinked").when(F.col("conflict"), "conflict").when(F.col("n_calls").isNull(), "orphan").when(F.col("n_results").isNull(), "pending").otherwise("linked")
     body = json_object({"id": json_string(F.col("call_id")), "name": json_string(F.col("name")), "arguments": F.coalesce(F.col("arguments"), F.lit("null")), "result": json_string(F.col("result"))})
     faults = F.when(is_call, fault)
     return both.select(
@@ -155,9 +173,9 @@ def exchanges(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     return said, answered
 
 
-def format_conversations(conversations: DataFrame) -> DataFrame:
+def format_conversations(conversations: DataFrame, variants: bool = False) -> DataFrame:
     said, answered = exchanges(conversations)
-    return link(said, answered, {"reply": PROMPT_SCHEMA, "setup": PROMPT_SCHEMA})
+    return link(said, answered, {"reply": PROMPT_SCHEMA, "setup": PROMPT_SCHEMA}, variants)
 
 
 def _sql_string(text: str) -> str:
@@ -167,7 +185,7 @@ def _sql_string(text: str) -> str:
     return f"coalesce('\"' || {out} || '\"', 'null')"
 
 
-#: format_conversations() in DuckDB. Calls depend on the turn before last, so a chain is a run of turns two apart.
+#: format_conversations() in DuckDB, without variants: equal to the query where no turn is repeated with another text. Calls depend on the turn before last, so a chain is a run of turns two apart.
 SQL = f"""
 WITH said AS (
   SELECT conv_id || ':' || turn AS call_id, min(turn) AS call_turn, min(conv_id) AS conv_id,

@@ -63,7 +63,7 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every exchange of all conversations, linked, ordered, validated and serialised."""
-    return chat.format_conversations(read(spark, sf_dir, "conversations"))
+    return chat.format_conversations(read(spark, sf_dir, "conversations"), variants=True)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -1,5 +1,6 @@
 import collections
 import hashlib
+import json
 import random
 import re
 
@@ -506,6 +507,21 @@ def test_long_chains_and_odd_conversations(spark):
     assert chat.format_conversations(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).collect() == []
 
 
+def test_repeated_turns_all_stay(spark, tmp_path):
+    rows = [(1, 0, "user", "p"), (1, 0, "user", "p"), (1, 1, "assistant", "r"), (1, 2, "user", "p1"), (1, 2, "user", "p2"), (1, 3, "assistant", "r1"), (1, 3, "assistant", "r2"), (1, 3, "assistant", "r2")]
+    rows += [(1, 4, "user", "q"), (1, 5, "assistant", "s1"), (1, 5, "assistant", "s2"), (2, 0, "user", "t1"), (2, 0, "system", "t2"), (2, 1, "assistant", "u"), (3, 1, "user", ""), (3, 1, "user", "b"), (4, 1, "assistant", "v"), (4, 1, "assistant", "w")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    out = QUERIES["op10_tool_calls"](spark, str(tmp_path)).collect()
+    got = [(r["call_id"], *(json.loads(r["json"])[k] for k in ("arguments", "result")), r["status"], r["n_calls"], r["n_results"], r["topo_order"]) for r in out]
+    got = sorted((i, (a or {}).get("prompt") or "", t or "", *more) for i, a, t, *more in got)
+    c = "conflict"
+    assert got == [
+        ("1:0", "p", "r", "linked", 2, 1, 0), ("1:2", "", "r1", c, 0, 1, None), ("1:2", "", "r2", c, 0, 2, None), ("1:2", "p1", "", c, 1, 0, 1), ("1:2", "p2", "", c, 1, 0, 1),
+        ("1:4", "q", "s1", c, 1, 1, 2), ("1:4", "q", "s2", c, 1, 1, 2), ("2:0", "t1", "u", c, 1, 1, 0), ("2:0", "t2", "u", c, 1, 1, 0),
+        ("3:1", "", "", c, 1, 0, 0), ("3:1", "b", "", c, 1, 0, 0), ("4:0", "", "v", c, 0, 1, None), ("4:0", "", "w", c, 0, 1, None),
+    ]
+
+
 # ---- shared and pipeline
 
 
