@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import xxhash
@@ -52,7 +55,7 @@ def scratch_root(spark: SparkSession) -> str:
     sc = spark.sparkContext
     root = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not root:
-        if not sc.master.startswith("local["):
+        if not (sc.master == "local" or sc.master.startswith("local[")):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = _local_scratch.setdefault(sc.applicationId, tempfile.mkdtemp(prefix="scratch-"))
     return f"{root.rstrip('/')}/{sc.applicationId}"
@@ -64,6 +67,8 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
         self.n = 0
+        if (made := _made.get()) is not None:
+            made.append(self)
 
     def path(self, name: str) -> str:
         self.n += 1
@@ -76,13 +81,31 @@ class Scratch:
         out._scratch_path = path
         return out
 
+    def remove(self, path: str) -> None:
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+
     def drop(self, *tables: DataFrame | None) -> None:
         """Delete tables that no plan still to be run reads."""
-        jvm, jsc = self.spark._jvm, self.spark._jsc
         for t in tables:
             if t is not None and getattr(t, "_scratch_path", None):
-                p = jvm.org.apache.hadoop.fs.Path(t._scratch_path)
-                p.getFileSystem(jsc.hadoopConfiguration()).delete(p, True)
+                self.remove(t._scratch_path)
+
+
+_made: ContextVar[list[Scratch] | None] = ContextVar("made", default=None)
+
+
+@contextmanager
+def passing_scratch() -> Iterator[None]:
+    """Deletes, at its end, the scratch folders that were made within: for results that have been written elsewhere by then."""
+    made: list[Scratch] = []
+    token = _made.set(made)
+    try:
+        yield
+    finally:
+        _made.reset(token)
+        for s in made:
+            s.remove(s.root)
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
