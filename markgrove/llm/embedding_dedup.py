@@ -1,15 +1,16 @@
 """Near-duplicate vectors by hierarchical navigable small-world graphs, one per shard.
 
-Vectors are told apart by label (and length), equal ones collapse to one with a multiplicity, and the rest is dealt into
-shards of bounded size by a hash of the identifier. Each shard becomes a graph; every block of vectors is searched in every
+Vectors are told apart by label (and length), equal ones collapse to one node with a multiplicity and a number of its own (numbers
+ascend with the least identifier of a node), and the nodes are dealt into shards of bounded size by a hash of that number. Each shard becomes a graph; every block of vectors is searched in every
 shard of its label. Links found are verified by cosine in double precision and united; within a united group all cosines are
 taken, so a group larger than the beam is counted whole. The beam of the searches is widened until an audit of the counts
 against brute force reaches AUDIT_RECALL. A unit of work hands on the number of links of each vector and the edges of a local
 spanning forest, never all pairs of a group; components are then united over all units.
 
 Defined results: a null label or identifier, and vectors that are null, empty, zero or hold null or non-finite components, link
-with nothing; equal vectors link (each counts); rows that repeat an identifier count as vectors of their own in n_links and
-share a component; other columns are not carried.
+with nothing; equal vectors link (each counts); rows that repeat an identifier are vectors of their own, each with its own
+links and component, whether their labels and contents are equal or not; vectors of different lengths do not link; an empty
+table stays empty; other columns, whatever their names, are not carried.
 """
 
 from __future__ import annotations
@@ -27,8 +28,8 @@ from .common import Scratch, components, tune
 
 THRESHOLD = 0.98
 
-#: Vectors of a shard (expected), neighbours kept per node and layer (twice at the bottom), beam while building.
-SHARD, NEIGHBOURS, BUILD_BEAM = 8192, 12, 40
+#: Least vectors of a shard (expected) and most bytes of its vectors; neighbours kept per node and layer (twice at the bottom), beam while building.
+SHARD, SHARD_BYTES, NEIGHBOURS, BUILD_BEAM = 8192, 64 << 20, 12, 40
 
 #: Most partitions of the building and searching stages.
 MAX_PARTITIONS = 20_000
@@ -227,7 +228,7 @@ def search_unit(graph: Graph, ids: np.ndarray, times: np.ndarray, exact: np.ndar
 
 
 def _graph_row(table: pa.Table) -> pa.Table:
-    ids = table.column("rep").to_numpy()
+    ids = table.column("node").to_numpy()
     order = np.argsort(ids.astype(np.uint64) * np.uint64(0xA0761D6478BD642F), kind="stable")
     ids, times = ids[order], table.column("times").to_numpy()[order]
     flat = np.stack(table.column("embedding").to_pylist()).astype(np.float64)[order]
@@ -268,16 +269,19 @@ def classes(embeddings: DataFrame) -> DataFrame:
     good = (F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.col("embedding").isNotNull() & (F.size("embedding") > 0)
             & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("embedding", lambda x: x != 0))
     valid = scratch.table(vectors.where(F.coalesce(good, F.lit(False))).withColumn("same", F.md5(F.to_json("embedding"))), "valid")
-    copies = valid.groupBy("label", "same").agg(F.min("vec_id").alias("rep"), F.count("*").alias("times"))
-    copies = scratch.table(copies, "copies")
-    reps = valid.join(copies, [valid["label"].eqNullSafe(copies["label"]), valid["same"] == copies["same"], valid["vec_id"] == copies["rep"]]).select(valid["label"], F.size("embedding").alias("dim"), "rep", "times", "embedding").dropDuplicates(["label", "dim", "rep"])
-    counts = reps.groupBy("label", "dim").agg(F.ceil(F.count("*") / SHARD).cast("int").alias("shards"))
+    nodes = valid.groupBy("label", "same").agg(F.min("vec_id").alias("rep"), F.count("*").alias("times"), F.any_value("embedding").alias("embedding"))
+    nodes = scratch.table(nodes.withColumn("dim", F.size("embedding")), "nodes")
+    # in the order of identifiers, so that the least node of a component has its least identifier
+    nodes = scratch.table(nodes.orderBy("rep", "label", "same").withColumn("node", F.monotonically_increasing_id()), "numbered")
+    # shards grow with the square root of their label, as all blocks meet all shards, up to what a task may hold
+    size = F.least(F.greatest(F.lit(SHARD), 64 * F.sqrt("n")), F.greatest(F.lit(SHARD), SHARD_BYTES / (8 * F.col("dim"))))
+    counts = nodes.groupBy("label", "dim").agg(F.count("*").alias("n")).select("label", "dim", F.ceil(F.col("n") / size).cast("int").alias("shards"))
     counts = scratch.table(counts, "counts")
-    dealt = reps.join(counts, ["label", "dim"]).withColumn("shard", F.pmod(F.xxhash64("rep"), F.col("shards")).cast("int"))
+    dealt = nodes.join(counts, ["label", "dim"]).withColumn("shard", F.pmod(F.xxhash64("node"), F.col("shards")).cast("int"))
     schema = "label string, dim int, shard int, ids binary, times binary, vectors binary, levels binary, links binary"
     # building and searching take long for their bytes, so partitions are numbered by shards and units, not merged by size
     shards, units_n = counts.agg(F.sum("shards"), F.sum(F.col("shards") * F.col("shards"))).first()
-    dealt = dealt.select("label", "dim", "shard", "rep", "times", "embedding").repartition(min(2 * int(shards or 1), MAX_PARTITIONS), "label", "dim", "shard")
+    dealt = dealt.select("label", "dim", "shard", "node", "times", "embedding").repartition(min(2 * int(shards or 1), MAX_PARTITIONS), "label", "dim", "shard")
     graphs = scratch.table(dealt.groupBy("label", "dim", "shard").applyInArrow(_graph_row, schema), "graphs")
     blocks = graphs.select("label", "dim", F.col("shard").alias("block"), F.col("ids").alias("query_ids"), F.col("vectors").alias("queries"))
     spread = F.explode(F.sequence(F.lit(0), F.col("shards") - 1))
@@ -287,9 +291,11 @@ def classes(embeddings: DataFrame) -> DataFrame:
     found = scratch.table(work.mapInArrow(_search_units, "a long, n long, b long"), "found")
     of = components(found.where("b is not null").select("a", "b"), scratch)
     links = found.groupBy("a").agg(F.sum("n").alias("far"))
-    of = copies.select("label", "same", "rep", "times").join(of.withColumnRenamed("id", "rep"), "rep", "left").join(links.withColumnRenamed("a", "rep"), "rep", "left")
-    of = of.select("label", "same", (F.col("times") - 1 + F.coalesce("far", F.lit(0))).alias("n"), F.coalesce("component_id", "rep").alias("component"))
-    known = valid.select("vec_id", "label", "same").join(of, ["label", "same"]).select("vec_id", "n", "component")
+    least = nodes.select(F.col("node").alias("component_id"), F.col("rep").alias("least"))
+    of = of.join(least, "component_id").select(F.col("id").alias("node"), "least")
+    known = nodes.select("label", "same", "node", "rep", "times").join(of, "node", "left").join(links.withColumnRenamed("a", "node"), "node", "left")
+    known = known.select("label", "same", (F.col("times") - 1 + F.coalesce("far", F.lit(0))).alias("n"), F.coalesce("least", "rep").alias("component"))
+    known = valid.select("vec_id", "label", "same").join(known, ["label", "same"]).select("vec_id", "n", "component")
     rest = vectors.where(~F.coalesce(good, F.lit(False))).select("vec_id", F.lit(0).cast("long").alias("n"), F.col("vec_id").alias("component"))
     out = known.unionByName(rest)
     return out.select("vec_id", F.col("n").alias("n_links"), F.col("component").alias("component_id"), F.col("component").eqNullSafe(F.col("vec_id")).alias("kept"))
