@@ -5,8 +5,10 @@ One Aho-Corasick automaton finds the anchors of a text: at-signs, plus signs, di
 account and validates it. Every parser is linear: a run of characters is walked once, whether it holds a match or not.
 
 Defined results: spans are [start, end) in code points, leftmost and non-overlapping within a kind, by kind and then start;
-a null text is empty; a failing match is dropped without another try inside it (an IBAN
-is tried at each end of a word); repeated rows get the same spans.
+a null text is empty; a failing match is dropped without another try inside it (an IBAN is tried at each end of a word); cues
+are found in any case; texts of any length are scanned whole, in one task each; repeated rows get the same spans; an empty
+table stays empty; other columns, whatever their names, are not carried by find() and digest() unless asked for, and pass
+through redact() untouched.
 """
 
 from __future__ import annotations
@@ -61,14 +63,22 @@ def automaton() -> ahocorasick.Automaton:
         found.add_word(c, ("digit" if c.isdigit() else c, 1))
     for kind, cues in CUES.items():
         for cue in cues:
-            for form in {cue, cue.upper(), cue.capitalize(), cue.title()}:
-                found.add_word(form, (kind, len(form)))
+            found.add_word(cue, (kind, len(cue)))
     found.make_automaton()
     return found
 
 
 ANCHORS = automaton()
 
+#: Lower case of the ASCII letters alone.
+ASCII_LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
+
+
+def lowered(text: str) -> str:
+    """The text in lower case, character by character."""
+    low = text.lower()
+    return low if len(low) == len(text) else text.translate(ASCII_LOWER)
+
 
 def luhn(digits: str) -> bool:
     twice = [sum(divmod(2 * int(d), 10)) for d in digits[-2::-2]]
@@ -93,7 +103,7 @@ def spans_of(text: str) -> list[tuple[str, int, int]]:
     found: dict[str, list[tuple[int, int]]] = {k: [] for k in KINDS}
     email = ip = card = phone = 0  # where the next match of each base kind may start
     secret = 0  # the end of the last run tried as a secret; a run that starts before is a part of it
-    for last, (anchor, size) in ANCHORS.iter(text):
+    for last, (anchor, size) in ANCHORS.iter(lowered(text)):
         start = last + 1 - size
         if anchor == "digit":
             if start >= card:
