@@ -5,15 +5,19 @@ P(grade <= k) = logistic(threshold_k - score). A document is selected by the tai
 Features are hashed and binary: each distinct word (lower case, without
 punctuation at its ends), and for each word shape (classes of characters, runs collapsed) and for
 the share of distinct words the band in which its share of the document lies. Weights are fitted by proximal AdaGrad on
-all batches of a bounded sample of the labelled rows, with a lasso penalty, in one task; scoring covers whole texts.
-
-Defined results: labels with a null, and labels of documents that are not there, are not used; a document labelled more than
-once counts as often; a null text has no words; without usable labels every document gets the middle score 0 and evenly
-spaced thresholds; columns other than doc_id and text are not carried.
+all batches of a bounded sample of the labelled rows, with a lasso penalty, in one task, until the penalised likelihood settles;
+scoring covers whole texts.
+
+Defined results: labels with a null, and labels of documents that are not there, are not used and take no part of the sample;
+a document counts once for each different grade that it is given; a document whose id repeats counts once for each text;
+identifiers may be of any type that joins; a null text has no words; texts of any length are read whole; rows of equal text
+get equal scores; without usable labels every document gets the middle score 0 and evenly spaced thresholds; an empty table
+stays empty; columns other than doc_id and text, whatever their names, are not carried.
 """
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
 
@@ -28,8 +32,9 @@ from .common import tune
 #: Hash space, grades 0 .. GRADES - 1, and the bound of the sample of labelled rows that the model is fitted on.
 FEATURES, GRADES, MAX_LABELLED = 1 << 18, 3, 12_000
 
-#: Rounds of fitting, step, lasso penalty; least tail probability P(grade >= SELECT_GRADE) of a selected document.
-ROUNDS, STEP, LASSO, SELECT_GRADE, SELECT = 120, 0.3, 5e-4, 2, 0.6
+#: Most rounds of fitting, the change of the penalised loss that ends it, step, lasso penalty; least tail probability
+#: P(grade >= SELECT_GRADE) of a selected document.
+ROUNDS, SETTLED, STEP, LASSO, SELECT_GRADE, SELECT = 400, 2e-5, 0.3, 5e-4, 2, 0.6
 
 #: ASCII marks that are not part of a word's feature at its ends.
 PUNCTUATION = b".,;:!?\"'()[]{}"
@@ -43,15 +48,14 @@ def hashed(text: str | bytes) -> int:
 
 
 def shape(word: bytes) -> str:
-    """Classes of a word's characters, runs collapsed, at most eight."""
-    out = ""
+    """Classes of a word's characters, runs collapsed."""
+    out, last = [], ""
     for c in word.decode("utf-8", "replace"):
         kind = "a" if c.islower() else "A" if c.isupper() else "0" if c.isdigit() else "x" if c.isalpha() else c
-        if kind != out[-1:]:
-            out += kind
-            if len(out) == 8:
-                break
-    return out
+        if kind != last:
+            out.append(kind)
+            last = kind
+    return "".join(out)
 
 
 class Words(dict):
@@ -100,11 +104,16 @@ def fit(rows: list[np.ndarray], grades: np.ndarray) -> tuple[np.ndarray, np.ndar
     flat = np.concatenate(rows)
     row = np.repeat(np.arange(len(rows)), sizes)
     square, square_t = np.full(FEATURES, 1e-12), np.full(GRADES - 1, 1e-12)
+    last = math.inf
     for _ in range(ROUNDS):
         s = np.bincount(row, weights[flat], len(rows))
         below = np.hstack([np.zeros((len(rows), 1)), 1 / (1 + np.exp(np.clip(s[:, None] - thresholds, -500, 500))), np.ones((len(rows), 1))])
         high, low = below[np.arange(len(rows)), grades + 1], below[np.arange(len(rows)), grades]
         p = np.maximum(high - low, 1e-9)
+        loss = float(-np.log(p).mean() + LASSO * np.abs(weights).sum())
+        if abs(last - loss) <= SETTLED * max(1.0, abs(loss)):
+            break
+        last = loss
         slope = -np.bincount(flat, (high + low - 1)[row], FEATURES) / len(rows)
         square += slope * slope
         rate = STEP / np.sqrt(square)
@@ -125,22 +134,25 @@ def grade(quality: Column, toxic: Column) -> Column:
 
 def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> tuple[np.ndarray, np.ndarray]:
     """Fit on at most max_labelled of labels (doc_id, grade), those first by a hash of doc_id."""
-    usable = labels.where("doc_id is not null and grade is not null").select(F.col("doc_id").alias("of"), F.col("grade").cast("int").alias("grade"))
-    sample = usable.orderBy(F.xxhash64("of"), "of", "grade").limit(max_labelled)
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("of")).select("doc_id", "text", "grade")
+    order = F.xxhash64(F.col("of").cast("string"))
+    usable = labels.where("doc_id is not null and grade is not null").select(F.col("doc_id").alias("of"), F.col("grade").cast("int").alias("grade")).distinct()
+    there = usable.join(docs.select("doc_id").distinct(), F.col("of") == F.col("doc_id"), "left_semi")
+    sample = there.orderBy(order, "of", "grade").limit(max_labelled)  # a proven bound, so it may be broadcast
+    rows = docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("of")).select(order.alias("place"), "text", "grade")
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            each = [features(t).tobytes() for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("grade"), pa.array(each, type=pa.binary())], names=["doc_id", "grade", "features"])
+            each = [np.sort(features(t)).tobytes() for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("place"), batch.column("grade"), pa.array(each, type=pa.binary())], names=["place", "grade", "features"])
 
     def solve(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("doc_id", "ascending"), ("grade", "ascending")])
-        found = [np.sort(np.frombuffer(x.as_py(), dtype=np.int32)) for x in table.column("features")]
-        weights, thresholds = fit(found, table.column("grade").to_numpy().astype(np.int64))
+        rows = sorted(zip(*(table.column(c).to_pylist() for c in ("place", "grade", "features")), strict=True))
+        weights, thresholds = fit([np.frombuffer(f, dtype=np.int32) for _, _, f in rows], np.array([g for _, g, _ in rows], dtype=np.int64))
         return pa.table({"weights": pa.array([weights.astype(np.float32).tobytes()], type=pa.binary()), "thresholds": pa.array([thresholds.tobytes()], type=pa.binary())})
 
-    model = rows.mapInArrow(extract, "doc_id long, grade int, features binary").groupBy().applyInArrow(solve, "weights binary, thresholds binary").first()
+    # equal rows of a repeated id are one; ids with several texts may still exceed the bound, so it is taken again
+    found = rows.mapInArrow(extract, "place long, grade int, features binary").distinct().orderBy("place", "grade", "features").limit(max_labelled)
+    model = found.groupBy().applyInArrow(solve, "weights binary, thresholds binary").first()
     if model is None:
         return fit([], np.zeros(0, dtype=np.int64))
     return np.frombuffer(model[0], dtype=np.float32).astype(np.float64), np.frombuffer(model[1])
