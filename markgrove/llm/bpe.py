@@ -4,8 +4,9 @@ A piece of text is encoded with a priority queue of (merge rank, position) over
 entries whose symbols have since been merged are stale and skipped, so a piece of n bytes takes O(n log n). Decoding
 concatenates the byte strings of the vocabulary.
 
-Defined results: a null text is the empty text (no ids); other columns pass through untouched; ids that are not in the
-vocabulary are an error; bytes that are no UTF-8 decode to U+FFFD as the tokenizers library does.
+Defined results: a null text is the empty text (no ids); other columns pass through untouched; null ids and ids that are
+not in the vocabulary are an error; null or empty arrays of ids are the empty text; texts of any length are encoded whole, in
+one task each; equal rows get equal ids; an empty table stays empty; bytes that are no UTF-8 decode to U+FFFD as the tokenizers library does.
 """
 
 from __future__ import annotations
@@ -140,6 +141,8 @@ class Codec:
 
     def decode(self, ids: list[int] | None) -> str:
         table = self.table
+        if ids and not 0 <= min(ids) <= max(ids) < len(table):
+            raise ValueError(f"ids outside the vocabulary: {min(ids)} to {max(ids)}")
         return b"".join([table[i] for i in ids or ()]).decode("utf-8", "replace")
 
 
@@ -186,6 +189,8 @@ def coded(df: DataFrame, path: str, source_col: str, outputs: dict[str, str]) ->
                 ids = batch.column(source_col)
             made = {"ids": ids}
             if "decoded" in outputs.values():
+                if ids.values.null_count:
+                    raise ValueError("a null among the ids")
                 flat, ends = ids.values.to_numpy(zero_copy_only=False), ids.offsets.to_pylist()
                 made["decoded"] = pa.array([codec.decode(flat[a:b].tolist()) for a, b in zip(ends[:-1], ends[1:], strict=True)], type=pa.string())
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *(made[k] for k in outputs.values())], names=[*kept, *outputs])
