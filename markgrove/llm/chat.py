@@ -1,20 +1,23 @@
 """Chat formatting by tool-call linking, in DataFrame operations only.
 
 link() joins calls and results by identifier, orders the calls topologically along the calls they depend on, validates
-their arguments against a schema and serialises each exchange as canonical JSON (keys sorted, no white space, shortest
-escapes). The order of a call is its number of ancestors; it is found by pointer doubling, so a chain of n calls takes
+their arguments against a schema and serialises each exchange as canonical JSON (keys sorted at all depths, no white space,
+shortest escapes; numbers as the variant type writes them). The order of a call is its number of ancestors; it is found by pointer doubling, so a chain of n calls takes
 log2(n) joins, and a call that never reaches a first call is part of, or hangs on, a cycle.
 
 Defined results: calls that share an identifier are one call (its least turn, then its least name, parent and arguments;
 n_calls says how many); results that share one are one result (the least text; n_results); with variants, as the query
 has them, all that differ stay (see link()); a result without its call and a
 call without its result stay, as "orphan" and "pending"; a row without identifier is "unlinked"; a parent that does not exist
-makes a call a first call; null arguments fail validation; null texts are JSON null. Joins are by identifier, never by
-conversation, so a conversation that holds a third of all rows is not one task's.
+makes a call a first call; null arguments fail validation; arguments that are no JSON fail it too and are written as a JSON
+string of their text; null texts are JSON null; texts of any length are kept whole; an empty table stays empty; other columns,
+whatever their names, are not carried. Joins are by identifier, never by conversation, so a conversation that holds a third of
+all rows is not one task's.
 """
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -46,36 +49,74 @@ def json_number(value: Column) -> Column:
     return F.coalesce(value.cast("string"), F.lit("null"))
 
 
-#: Names of variant types that satisfy each schema type.
-TYPES = {"string": "^STRING$", "integer": "^BIGINT$", "number": "^(BIGINT|DOUBLE|FLOAT|DECIMAL.*)$", "boolean": "^BOOLEAN$", "object": "^OBJECT.*", "array": "^ARRAY.*"}
+#: Control characters whose \\u escape has a letter; to_json() writes them in upper case.
+LETTERED = [c for c in range(32) if c not in SHORT and f"{c:02x}"[1] in "abcdef"]
+
+
+def canonical(text: Column) -> Column:
+    """JSON of a JSON text with its keys sorted at all depths (by UTF-16 units), without white space; of a text that is no JSON, a JSON string."""
+    out = F.to_json(F.try_parse_json(text))
+    plain = out
+    for c in LETTERED:
+        out = F.regexp_replace(out, rf"((?<!\\)(?:\\\\)*+)\\u{c:04X}", rf"$1\\u{c:04x}")
+    return F.coalesce(F.when(plain.rlike(r"\\u00[01][A-F]"), out).otherwise(plain), json_string(text))
+
+
+#: Names of variant types that satisfy each schema type; an integer is any number without a fraction.
+TYPES = {"string": "^STRING$", "number": "^(BIGINT|DOUBLE|FLOAT|DECIMAL.*)$", "boolean": "^BOOLEAN$", "object": "^OBJECT.*", "array": "^ARRAY.*", "null": "^VOID$"}
+
+
+def _is(kind: Column, number: Column, wanted: str) -> Column:
+    if wanted == "integer":
+        return kind.rlike(TYPES["number"]) & (number == F.floor(number).cast("double"))
+    return kind.rlike(TYPES[wanted])
+
+
+def _step(key: str) -> str:
+    return f'$["{key}"]' if "'" in key else f"$['{key}']"
+
+
+def _faults(value: Column, rule: dict, path: str) -> list[Column]:
+    """One text or null for each demand of the rule on a variant; a value that is not there has no faults."""
+    name, kind = path or "arguments", F.schema_of_variant(value)
+    text, number = F.try_variant_get(value, "$", "string"), F.try_variant_get(value, "$", "double")
+    fits = _is(kind, number, rule["type"]) if "type" in rule else F.lit(True)
+    good, out = value.isNotNull() & fits, [F.when(value.isNotNull() & ~fits, F.lit(f"{name}: not {rule.get('type')}"))]
+
+    def demand(key: str, fails, message: str, types: str) -> None:
+        if key in rule:
+            out.append(F.when(good & kind.rlike(types) & fails(rule[key]), F.lit(f"{name}: {message}")))
+
+    demand("minLength", lambda n: F.length(text) < n, "too short", TYPES["string"])
+    demand("maxLength", lambda n: F.length(text) > n, "too long", TYPES["string"])
+    demand("minimum", lambda n: number < n, "too small", TYPES["number"])
+    demand("maximum", lambda n: number > n, "too large", TYPES["number"])
+    demand("enum", lambda xs: ~F.to_json(value).isin(*[json.dumps(x, sort_keys=True, separators=(",", ":"), ensure_ascii=False) for x in xs]), "not allowed", ".")
+    properties = rule.get("properties", {})
+    for key in sorted({*properties, *rule.get("required", ())}):
+        below = f"{path}.{key}" if path else key
+        child = F.try_variant_get(value, _step(key), "variant")
+        if key in rule.get("required", ()):
+            out.append(F.when(good & child.isNull(), F.lit(f"{below}: missing")))
+        out += _faults(child, properties.get(key, {}), below)
+    if rule.get("additionalProperties") is False:
+        known = F.array(*map(F.lit, sorted(properties))).cast("array<string>")
+        extra = F.array_sort(F.array_except(F.json_object_keys(F.to_json(value)), known))
+        out.append(F.when(good & kind.rlike(TYPES["object"]) & (F.size(extra) > 0), F.concat(F.lit(f"{path}: " if path else ""), F.array_join(extra, ","), F.lit(": unknown"))))
+    if "items" in rule:
+        each = F.transform(F.try_variant_get(value, "$", "array<variant>"), lambda x: F.concat_ws(";", *_faults(x, rule["items"], f"{path}[]")))
+        bad = F.filter(each, lambda x: x != "")
+        out.append(F.when(good & (F.size(bad) > 0), F.array_join(bad, ";")))
+    return out
 
 
 def violations(arguments: Column, schema: dict) -> Column:
-    """The faults of JSON arguments under a schema (type object with properties, required, additionalProperties, minLength, maxLength, minimum, enum), joined by ';'."""
-    v, faults = F.try_parse_json(arguments), []
-    properties = schema.get("properties", {})
-    for name in sorted(properties):
-        rule, path = properties[name], f"$['{name}']"
-        value = F.try_variant_get(v, path, "variant")
-        kind = F.schema_of_variant(value)
-        absent = value.isNull()
-        if name in schema.get("required", ()):
-            faults.append(F.when(absent, F.lit(f"{name}: missing")))
-        wrong = ~absent & ~kind.rlike(TYPES[rule["type"]])
-        faults.append(F.when(wrong, F.lit(f"{name}: not {rule['type']}")))
-        text, number = F.try_variant_get(v, path, "string"), F.try_variant_get(v, path, "double")
-        if "minLength" in rule:
-            faults.append(F.when(~absent & ~wrong & (F.length(text) < rule["minLength"]), F.lit(f"{name}: too short")))
-        if "maxLength" in rule:
-            faults.append(F.when(~absent & ~wrong & (F.length(text) > rule["maxLength"]), F.lit(f"{name}: too long")))
-        if "minimum" in rule:
-            faults.append(F.when(~absent & ~wrong & (number < rule["minimum"]), F.lit(f"{name}: too small")))
-        if "enum" in rule:
-            faults.append(F.when(~absent & ~wrong & ~text.isin(*rule["enum"]), F.lit(f"{name}: not allowed")))
-    if schema.get("additionalProperties") is False:
-        extra = F.array_sort(F.array_except(F.json_object_keys(arguments), F.array(*map(F.lit, sorted(properties)))))
-        faults.append(F.when(F.size(extra) > 0, F.concat(F.array_join(extra, ","), F.lit(": unknown"))))
-    return F.when(v.isNull(), F.lit("no JSON object")).otherwise(F.concat_ws(";", *faults))
+    """The faults of JSON arguments under a schema, joined by ';'; nested objects and the items of arrays are validated too.
+
+    Of JSON Schema: type, properties, required, additionalProperties (false), items, enum, minLength, maxLength, minimum, maximum.
+    """
+    v = F.try_parse_json(arguments)
+    return F.when(v.isNull(), F.lit("no JSON object")).otherwise(F.concat_ws(";", *_faults(v, schema, "")))
 
 
 def order(calls: DataFrame, scratch: Scratch) -> DataFrame:
@@ -136,7 +177,7 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict], variant
     for name, schema in schemas.items():
         fault = F.when(F.col("name") == name, violations(F.col("arguments"), schema)).otherwise(fault)
     status = F.when(F.col("call_id").isNull(), "unlinked").when(F.col("conflict"), "conflict").when(F.col("n_calls").isNull(), "orphan").when(F.col("n_results").isNull(), "pending").otherwise("linked")
-    body = json_object({"id": json_string(F.col("call_id")), "name": json_string(F.col("name")), "arguments": F.coalesce(F.col("arguments"), F.lit("null")), "result": json_string(F.col("result"))})
+    body = json_object({"id": json_string(F.col("call_id")), "name": json_string(F.col("name")), "arguments": canonical(F.col("arguments")), "result": json_string(F.col("result"))})
     faults = F.when(is_call, fault)
     return both.select(
         "call_id",
@@ -174,6 +215,7 @@ def exchanges(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def format_conversations(conversations: DataFrame, variants: bool = False) -> DataFrame:
+    """The exchanges of conversations, linked. As the table has no tool calls, its turns are taken as such (see exchanges())."""
     said, answered = exchanges(conversations)
     return link(said, answered, {"reply": PROMPT_SCHEMA, "setup": PROMPT_SCHEMA}, variants)
 
@@ -185,32 +227,47 @@ def _sql_string(text: str) -> str:
     return f"coalesce('\"' || {out} || '\"', 'null')"
 
 
-#: format_conversations() in DuckDB, without variants: equal to the query where no turn is repeated with another text. Calls depend on the turn before last, so a chain is a run of turns two apart.
+#: format_conversations() with variants in DuckDB. Calls depend on the turn before last, so a chain is a run of turns two apart.
 SQL = f"""
-WITH said AS (
-  SELECT conv_id || ':' || turn AS call_id, min(turn) AS call_turn, min(conv_id) AS conv_id,
-         min(CASE role WHEN 'user' THEN 'reply' WHEN 'system' THEN 'setup' ELSE coalesce(role, 'none') END) AS name,
-         min(text) AS text, count(*) AS n_calls
-  FROM conversations WHERE coalesce(role, 'none') <> 'assistant' GROUP BY conv_id, turn
+WITH c AS (
+  SELECT conv_id, turn, text, CASE role WHEN 'user' THEN 'reply' WHEN 'system' THEN 'setup' ELSE coalesce(role, 'none') END AS name, coalesce(role, '') = 'assistant' AS answers FROM conversations
+), each_call AS (
+  SELECT conv_id || ':' || turn AS call_id, turn AS call_turn, conv_id, name, text, count(*) AS n_calls
+  FROM c WHERE NOT answers AND conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY ALL
+), each_result AS (
+  SELECT conv_id || ':' || (turn - 1) AS call_id, turn AS result_turn, conv_id AS result_conv, text AS result, count(*) AS n_results
+  FROM c WHERE answers AND conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY ALL
+), said AS (
+  SELECT call_id, any_value(call_turn) AS call_turn, any_value(conv_id) AS conv_id, min(name) AS name, count(*) AS of_calls FROM each_call GROUP BY call_id
 ), marked AS (
   SELECT *, CASE WHEN name = 'reply' AND lag(call_turn) OVER w = call_turn - 2 THEN 0 ELSE 1 END AS starts
   FROM said WINDOW w AS (PARTITION BY conv_id, call_turn % 2 ORDER BY call_turn)
 ), runs AS (
   SELECT *, sum(starts) OVER (PARTITION BY conv_id, call_turn % 2 ORDER BY call_turn) AS run FROM marked
+), ordered AS (
+  SELECT call_id, of_calls, row_number() OVER (PARTITION BY conv_id, call_turn % 2, run ORDER BY call_turn) - 1 AS topo_order FROM runs
+), many AS (
+  SELECT coalesce(o.call_id, r.call_id) AS call_id, coalesce(of_calls, 0) > 1 OR coalesce(of_results, 0) > 1 AS conflict, coalesce(of_calls, 0) > 1 AND coalesce(of_results, 0) > 1 AS apart
+  FROM ordered o FULL JOIN (SELECT call_id, count(*) AS of_results FROM each_result GROUP BY call_id) r ON o.call_id = r.call_id
 ), calls AS (
-  SELECT *, row_number() OVER (PARTITION BY conv_id, call_turn % 2, run ORDER BY call_turn) - 1 AS topo_order FROM runs
+  SELECT e.*, topo_order, conflict, CASE WHEN apart THEN 'call' ELSE 'both' END AS side FROM each_call e JOIN ordered USING (call_id) JOIN many USING (call_id)
 ), results AS (
-  SELECT conv_id || ':' || (turn - 1) AS call_id, min(turn) AS result_turn, min(conv_id) AS result_conv, min(text) AS result, count(*) AS n_results
-  FROM conversations WHERE role = 'assistant' GROUP BY conv_id, turn
-), both_ AS (
+  SELECT e.*, conflict, CASE WHEN apart THEN 'result' ELSE 'both' END AS side FROM each_result e JOIN many USING (call_id)
+), joined AS (
   SELECT coalesce(c.call_id, r.call_id) AS call_id, coalesce(c.conv_id, r.result_conv) AS conv_id, call_turn, result_turn, name,
-         CASE WHEN n_calls IS NULL THEN 'orphan' WHEN n_results IS NULL THEN 'pending' ELSE 'linked' END AS status, topo_order,
-         CASE WHEN n_calls IS NULL THEN NULL WHEN name NOT IN ('reply', 'setup') THEN 'no schema'
-              ELSE concat_ws(';', CASE WHEN text IS NULL THEN 'prompt: not string' WHEN length(text) < 1 THEN 'prompt: too short' WHEN length(text) > 2000 THEN 'prompt: too long' END,
-                                  CASE WHEN call_turn < 0 THEN 'turn: too small' END) END AS violations,
-         coalesce(n_calls, 0) AS n_calls, coalesce(n_results, 0) AS n_results,
-         CASE WHEN n_calls IS NULL THEN 'null' ELSE '{{"prompt":' || {_sql_string("text")} || ',"turn":' || call_turn || '}}' END AS arguments, result
-  FROM calls c FULL JOIN results r ON c.call_id = r.call_id
+         CASE WHEN coalesce(c.conflict, r.conflict) THEN 'conflict' WHEN n_calls IS NULL THEN 'orphan' WHEN n_results IS NULL THEN 'pending' ELSE 'linked' END AS status,
+         topo_order, n_calls IS NOT NULL AS is_call, text, coalesce(n_calls, 0) AS n_calls, coalesce(n_results, 0) AS n_results, result
+  FROM calls c FULL JOIN results r ON c.call_id = r.call_id AND c.side = r.side
+  UNION ALL
+  SELECT NULL, conv_id, CASE WHEN NOT answers THEN turn END, CASE WHEN answers THEN turn END, CASE WHEN NOT answers THEN name END, 'unlinked', NULL, NOT answers,
+         CASE WHEN NOT answers THEN text END, 0, 0, CASE WHEN answers THEN text END
+  FROM c WHERE conv_id IS NULL OR turn IS NULL
+), both_ AS (
+  SELECT *, CASE WHEN NOT is_call THEN NULL WHEN name NOT IN ('reply', 'setup') THEN 'no schema'
+                 ELSE concat_ws(';', CASE WHEN text IS NULL THEN 'prompt: not string' WHEN length(text) < 1 THEN 'prompt: too short' WHEN length(text) > 2000 THEN 'prompt: too long' END,
+                                     CASE WHEN call_turn IS NULL THEN 'turn: not integer' WHEN call_turn < 0 THEN 'turn: too small' END) END AS violations,
+         CASE WHEN NOT is_call THEN 'null' ELSE '{{"prompt":' || {_sql_string("text")} || ',"turn":' || coalesce(call_turn::VARCHAR, 'null') || '}}' END AS arguments
+  FROM joined
 )
 SELECT call_id, conv_id, call_turn, result_turn, name, status, topo_order, violations = '' AS valid, violations, n_calls, n_results,
        '{{"arguments":' || arguments || ',"id":' || {_sql_string("call_id")} || ',"name":' || {_sql_string("name")} || ',"result":' || {_sql_string("result")} || '}}' AS json
