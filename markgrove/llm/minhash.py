@@ -9,12 +9,18 @@ shingle stops producing points once its time is later than all registers of the
 Bands of registers give candidate buckets. A bucket is not expanded into pairs: all members are verified against one hub
 (exact weighted Jaccard of the whole texts); the hub is then done with, buckets whose other members are one component already
 are done too, and the rest choose another hub. What is left after HUB_ROUNDS goes through blocks: each bucket is cut into
-blocks of bounded size and every pair of blocks goes through a kernel, which rules out by whole signatures, verifies the rest
-exactly and hands on a spanning forest of the links only. So no bucket is capped, and no link that a bucket holds between two classes is lost.
-
-Defined results: documents are told apart by doc_id (rows of one id are one document; it matches if any of its texts does);
-texts of fewer than five words are one shingle; a text without words, a null text and a null id match nothing (class: the id
-itself, kept); equal texts are one class whatever their number; other columns pass through keep_one().
+blocks of bounded bytes and every pair of blocks goes through a kernel, which rules out by whole signatures, verifies the rest
+exactly and hands on a spanning forest of the links only. So no bucket is capped. What remains quadratic is a bucket of many
+documents that are not near copies of each other and of no hub: each of its B rows meets all blocks of its bucket.
+
+A pair of similarity 0.8 is missed if it shares no band (3.3e-5) or, in a block only, if its estimate falls short by 4.5 standard
+deviations (1.4e-5 for that pair); a link that is missed matters only where no other path joins its two documents.
+
+Defined results: documents are told apart by doc_id (in classes() rows of one id are one document, which matches if any of its
+texts does; keep_one() tells different texts of one id apart); texts of fewer than five words are one shingle; a text without
+words, a null text and a null id match nothing (class: the id itself, kept); equal texts are one class whatever their number;
+texts of any length are read whole, in one task each; an empty table stays empty; other columns, whatever their names, pass
+through keep_one() and are not carried by classes().
 """
 
 from __future__ import annotations
@@ -33,9 +39,9 @@ SHINGLE, THRESHOLD = 5, 0.8
 #: At similarity 0.8 a pair shares no band with probability (1 - 0.8**ROWS)**BANDS = 3.3e-5.
 BANDS, ROWS = 26, 5
 
-#: Hub rounds before the rest goes through blocks; members of one block (expected); by how much an estimate may fall short there
-#: (4.5 standard deviations of 130 registers at similarity 0.8).
-HUB_ROUNDS, BLOCK, SLACK = 2, 1024, 0.16
+#: Hub rounds before the rest goes through blocks; members of a hub that are verified together (expected); bytes of signatures and
+#: hashes of one block (expected); by how much an estimate may fall short there (4.5 standard deviations of 130 registers at 0.8).
+HUB_ROUNDS, HUB_PART, BLOCK_BYTES, SLACK = 2, 512, 32 << 20, 0.16
 
 MASK40 = np.uint64((1 << 40) - 1)
 U = np.uint64
@@ -86,8 +92,9 @@ def signatures(doc: np.ndarray, feature: np.ndarray, weight: np.ndarray, n_docs:
         t = t - np.log(((x >> U(11)).astype(np.float64) + 0.5) * 2.0**-53) / rate
         time = t.astype(np.float32).view(np.uint32).astype(np.uint64) << U(32)
         register = (((y >> U(40)) * U(m)) >> U(24)).astype(np.int64)
-        position = ((x & U(2047)).astype(np.float64) + 0.5) / 2048
-        hit = position < part
+        hit = np.ones(len(d), dtype=bool)
+        cut = np.flatnonzero(part < 1)  # elsewhere the whole interval lies below the weight
+        hit[cut] = ((mix64(y[cut] ^ U(0x9E3779B97F4A7C15)) >> U(11)).astype(np.float64) + 0.5) * 2.0**-53 < part[cut]
         np.minimum.at(best, (d * m + register)[hit], (time | (y & U(0xFFFFFFFF)))[hit])
         alive = d[np.concatenate([[True], d[1:] != d[:-1]])]  # d is in order
         latest[alive] = best.reshape(n_docs, m)[alive].max(axis=1)
@@ -155,7 +162,10 @@ def _sketches(docs: DataFrame) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
-    """Of the pairs (a, b), those whose texts reach the threshold."""
+    """Links (a, b) of the pairs (id, hub, n: members of the hub's bucket) whose texts reach the threshold.
+
+    A hub's text moves once for each part of its members, so a hub of very many members is not one task's.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: tuple[str | None, np.ndarray] = (None, np.zeros(0, dtype=np.uint64))
@@ -165,11 +175,14 @@ def _verified(pairs: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame
                 if last[0] != y:
                     last = (y, shingles([split(y)])[1])
                 good.append(weighted_jaccard(shingles([split(x)])[1], last[1]) >= THRESHOLD)
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(good))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("hub")], names=["a", "b"]).filter(pa.array(good))
 
-    with_x = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("x")), "a")
-    with_both = with_x.join(texts.select(F.col("id").alias("b"), F.col("text").alias("y")), "b")
-    return scratch.table(with_both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "links")
+    part = F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / HUB_PART)).cast("int").alias("part")
+    pairs = scratch.table(pairs.groupBy("id", "hub").agg(F.max("n").alias("n")).select("id", "hub", part), "pairs")
+    members = pairs.join(texts.select("id", F.col("text").alias("x")), "id")
+    hubs = pairs.select("hub", "part").distinct().join(texts.select(F.col("id").alias("hub"), F.col("text").alias("y")), "hub")
+    both = members.join(hubs.hint("merge"), ["hub", "part"])
+    return scratch.table(both.select("id", "hub", "x", "y").mapInArrow(run, "a long, b long"), "links")
 
 
 def multiset_overlap(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> int:
@@ -233,7 +246,7 @@ def _rest_links(rest: DataFrame, texts: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([s.tobytes() for s in signature], type=pa.binary()), pa.array(hashes, type=pa.binary())], names=["id", "signature", "hashes"])
 
     own = texts.join(rest.select("id").distinct(), "id").mapInArrow(sketched, "id long, signature binary, hashes binary")
-    n = rest.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n"))
+    n = rest.groupBy("key").agg(F.ceil(F.sum(8 * F.col("size") + 4 * BANDS * ROWS) / BLOCK_BYTES).cast("int").alias("n"))
     each = rest.join(n, "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("n")).cast("int")).join(own, "id")
     other = F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("other")
     units = each.select("key", "band", "id", "size", "of", "signature", "hashes", "block", other).select("*", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q")).drop("other")
@@ -275,10 +288,10 @@ def classes(docs: DataFrame) -> DataFrame:
             new = scratch.table(_rest_links(rest, texts), "links")
             found = new if found is None else found.union(new)
             break
-        hubs = rest.groupBy("key").agg(F.min(F.struct(F.xxhash64("id"), "id", "size", "of")).alias("h")).select("key", F.col("h.id").alias("hub"), F.col("h.size").alias("hub_size"), F.col("h.of").alias("hub_of"))
+        hubs = rest.groupBy("key").agg(F.min(F.struct(F.xxhash64("id"), "id", "size", "of")).alias("h"), F.count("*").alias("n")).select("key", F.col("h.id").alias("hub"), F.col("h.size").alias("hub_size"), F.col("h.of").alias("hub_of"), "n")
         tried = rest.join(hubs, "key").where("id != hub")
         pairs = tried.where(f"of != hub_of and least(size, hub_size) >= {THRESHOLD} * greatest(size, hub_size)")
-        new = _verified(pairs.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct(), texts, scratch)
+        new = _verified(pairs.select("id", "hub", "n"), texts, scratch)
         found = new if found is None else found.union(new)
         of = components(found, scratch)
         left = tried.select("key", "band", "id", "size").join(of, "id", "left").select("key", "band", "id", "size", F.coalesce("component_id", "id").alias("of"))
@@ -296,14 +309,20 @@ def classes(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One row of each class, that of the least id, with docs' columns; rows of a null id all stay."""
-    of = classes(docs.select("doc_id", "text"))
-    names = docs.columns
-    gone = of.where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
-    left = docs.join(gone, F.col("doc_id").cast("long") == F.col("__gone"), "left_anti")
-    again = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 and doc_id is not null").select(F.col("doc_id").alias("__again"))
+    """One row of each class, that of the least id, with docs' columns; rows of a null id all stay.
+
+    Where ids repeat, each different text of an id is a document of its own (the least digest first), and of rows of equal id and
+    text the one of the least JSON stays.
+    """
+    scratch, names = Scratch(docs.sparkSession, "keep"), docs.columns
+    row = docs.select(F.struct(*names).alias("row"), F.col("doc_id").cast("long").alias("id"), "text")
+    again = row.where("id is not null").groupBy("id").agg(F.count("*").alias("n")).where("n > 1")
     if again.isEmpty():
-        return left
-    # rows that repeat an id: one of them stays
-    single = left.join(again, F.col("doc_id") == F.col("__again"), "left_anti")
-    return single.union(left.join(again, F.col("doc_id") == F.col("__again"), "left_semi").dropDuplicates(["doc_id"]).select(names))
+        gone = classes(row.select(F.col("id").alias("doc_id"), "text")).where("not kept").select(F.col("doc_id").alias("id"))
+        return row.join(gone, "id", "left_anti").select("row.*")
+    row = row.withColumn("digest", F.coalesce(F.md5("text"), F.lit("")))
+    numbered = row.where("id is not null").select("id", "digest").distinct().orderBy("id", "digest").withColumn("key", F.monotonically_increasing_id())
+    keyed = scratch.table(row.join(scratch.table(numbered, "numbered"), ["id", "digest"]).select("key", "row", "text"), "keyed")
+    gone = classes(keyed.select(F.col("key").alias("doc_id"), "text")).where("not kept").select(F.col("doc_id").alias("key")).distinct()
+    left = keyed.join(gone, "key", "left_anti").groupBy("key").agg(F.min_by("row", F.to_json("row")).alias("row"))
+    return left.select("row.*").unionByName(row.where("id is null").select("row.*"))

@@ -420,7 +420,8 @@ def brute_classes(rows):
 @pytest.mark.parametrize("rounds", [3, 0])
 def test_minhash_against_brute_force(spark, monkeypatch, rounds):
     monkeypatch.setattr(minhash, "HUB_ROUNDS", rounds)
-    monkeypatch.setattr(minhash, "BLOCK", 8)
+    monkeypatch.setattr(minhash, "BLOCK_BYTES", 12_000)
+    monkeypatch.setattr(minhash, "HUB_PART", 4)
     rows = [(i, text(i // 6, 150)) for i in range(60)]
     rows = [(i, edited(t, i, i % 6)) if i % 6 else (i, t) for i, t in rows]
     base = text(77, 160)
