@@ -5,14 +5,17 @@ context, down to c(word) / N (a word seen nowhere else counts once). All counts
 own, so a document does not vouch for itself; N is the number of words of the corpus.
 
 The counts are relations partitioned by hash. A plain relation of exploded n-grams would move several times the input, so
-rows are packed: documents are dealt into blocks; a block hands each hash bucket one row that holds its distinct n-grams
-there (sorted 64-bit hashes, as differences) and their counts; a bucket's table adds up the rows of all blocks and answers
-each with the totals, in the row's own order; the answers are joined to the block's documents, whose n-grams are exploded
-and looked up in the kernel, and summed per document. A row holds one n-gram at least, so packing never makes more rows than
-the plain relation, and hot n-grams are added up per block before they move.
-
-Defined results: a null text has no words and a null mean; repeated rows count each in the corpus and are scored alike;
-scores are whole millionths of nats, so sums do not depend on any order; columns other than doc_id and text are not carried.
+rows are packed: the documents of an input partition are dealt, in their order, into blocks of bounded bytes; a block hands
+each hash bucket one row that holds its distinct n-grams there (sorted 64-bit hashes, as differences) and their counts; a
+bucket's table adds up the rows of all blocks and answers each with the totals, in the row's own order; the answers are joined
+to the block's documents, whose n-grams are exploded and looked up in the kernel, and summed per document. A row holds one
+n-gram at least, so packing never makes more rows than the plain relation, and hot n-grams are added up per block before they
+move. Blocks do not depend on what documents hold, so copies and repeated identifiers are spread like any others.
+
+Defined results: a null text has no words and a null mean; repeated rows count each in the corpus and are scored alike; texts
+of any length are read whole (one that exceeds a block is a block of its own); an empty table stays empty; scores are whole
+millionths of nats, so sums do not depend on any order; columns other than doc_id and text, whatever their names, are not
+carried. Rows must come in the same order if a task is repeated, as those of files do; a block that does not is an error.
 """
 
 from __future__ import annotations
@@ -21,13 +24,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import HASHES, Scratch, mix64, tune
 
 #: Production order, backoff factor, and text bytes of a block or bucket (expected).
-ORDER, ALPHA, BLOCK_BYTES = 2, 0.4, 8 << 20
+ORDER, ALPHA, BLOCK_BYTES = 3, 0.4, 8 << 20
+
+#: Blocks are numbered from this multiple of their input partition.
+BLOCK_STEP = 1 << 32
 
 MICRO = 1_000_000
 
@@ -138,6 +145,42 @@ def score_block(texts: list[str | None], order: int, totals: dict[int, np.ndarra
     return sizes, np.bincount(doc[steps > 0], minlength=size), np.bincount(doc[low], minlength=size), sums
 
 
+def _packed(rows: pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+        writer.write_table(rows)
+    return sink.getvalue().to_pybytes()
+
+
+def _blocks(docs: DataFrame) -> DataFrame:
+    """block, rows: the documents of each block as one compressed row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, held, size = TaskContext.get().partitionId() * BLOCK_STEP, [], 0
+        for batch in batches:
+            ends = np.cumsum(np.nan_to_num(pa.compute.binary_length(batch.column("text")).to_numpy(zero_copy_only=False)))
+            at = 0
+            while at < batch.num_rows:
+                before = ends[at - 1] if at else 0
+                end = max(at + 1, int(np.searchsorted(ends, before + BLOCK_BYTES - size, side="right")))
+                held.append(batch.slice(at, end - at))
+                size += ends[end - 1] - before
+                at = end
+                if size >= BLOCK_BYTES or at < batch.num_rows:
+                    yield pa.RecordBatch.from_arrays([pa.array([block], type=pa.int64()), pa.array([_packed(pa.Table.from_batches(held))], type=pa.binary())], names=["block", "rows"])
+                    block, held, size = block + 1, [], 0
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array([block], type=pa.int64()), pa.array([_packed(pa.Table.from_batches(held))], type=pa.binary())], names=["block", "rows"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "block long, rows binary")
+
+
+def _unpacked(table: pa.Table) -> pa.Table:
+    if table.num_rows != 1:
+        raise ValueError("a block is one row")
+    return pa.ipc.open_stream(table.column("rows")[0].as_py()).read_all()
+
+
 def score(docs: DataFrame, order: int = ORDER) -> DataFrame:
     """doc_id, n_words, n_backed_off, score_micronats, mean_score (nats a word) of every row."""
     if not 1 <= order <= len(FACTORS):
@@ -145,13 +188,13 @@ def score(docs: DataFrame, order: int = ORDER) -> DataFrame:
     spark = tune(docs.sparkSession)
     scratch = Scratch(spark, "lm")
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = size // BLOCK_BYTES + 1
-    dealt = docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id", F.substring("text", 1, 100)), F.lit(parts)).cast("int").alias("block"))
+    buckets = size // BLOCK_BYTES + 1
+    packed = _blocks(docs)
 
     def count(table: pa.Table) -> pa.Table:
-        rows = list(count_block(sorted_texts(table)[1], order, parts))
+        rows = list(count_block(_unpacked(table).column("text").to_pylist(), order, buckets))
         n, bucket, keys, counts = zip(*rows, strict=True) if rows else ((), (), (), ())
-        block = pa.array([table.column("block")[0].as_py()] * len(rows), type=pa.int32())
+        block = pa.array([table.column("block")[0].as_py()] * len(rows), type=pa.int64())
         return pa.table({"block": block, "n": pa.array(n, type=pa.int32()), "bucket": pa.array(bucket, type=pa.int32()), "keys": pa.array(keys, type=pa.binary()), "counts": pa.array(counts, type=pa.binary())})
 
     def total(table: pa.Table) -> pa.Table:
@@ -163,48 +206,54 @@ def score(docs: DataFrame, order: int = ORDER) -> DataFrame:
         for n, bucket, totals in zip(*(answers.column(c).to_pylist() for c in ("n", "bucket", "totals")), strict=True):
             by.setdefault(n, []).append((bucket, totals))
         totals = {n: np.concatenate([unpack_counts(t) for _, t in sorted(rows)]) for n, rows in by.items()}
-        ids, texts = sorted_texts(own)
-        words, off, low, sums = score_block(texts, order, totals)
-        return pa.table({"doc_id": ids, **{k: pa.array(v, type=pa.int64()) for k, v in (("n_words", words), ("n_backed_off", off), ("n_low", low), ("sums", sums))}})
+        rows = _unpacked(own)
+        words, off, low, sums = score_block(rows.column("text").to_pylist(), order, totals)
+        return pa.table({"doc_id": rows.column("doc_id"), **{k: pa.array(v, type=pa.int64()) for k, v in (("n_words", words), ("n_backed_off", off), ("n_low", low), ("sums", sums))}})
 
-    counted = dealt.groupBy("block").applyInArrow(count, "block int, n int, bucket int, keys binary, counts binary")
-    answers = counted.groupBy("n", "bucket").applyInArrow(total, "block int, n int, bucket int, totals binary")
+    counted = packed.groupBy("block").applyInArrow(count, "block long, n int, bucket int, keys binary, counts binary")
+    answers = counted.groupBy("n", "bucket").applyInArrow(total, "block long, n int, bucket int, totals binary")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    scored = dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(look_up, f"doc_id {kind}, n_words long, n_backed_off long, n_low long, sums long")
+    scored = packed.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(look_up, f"doc_id {kind}, n_words long, n_backed_off long, n_low long, sums long")
     scored = scratch.table(scored, "scored")
     words = scored.agg(F.sum("n_words")).first()[0] or 1
     value = F.col("sums") - F.col("n_low") * F.lit(int(np.rint(MICRO * np.log(words))))
     return scored.select("doc_id", "n_words", "n_backed_off", value.alias("score_micronats"), F.when(F.col("n_words") > 0, value / F.lit(float(MICRO)) / F.col("n_words")).alias("mean_score"))
 
 
-def sorted_texts(table: pa.Table) -> tuple[pa.ChunkedArray, list[str | None]]:
-    return table.column("doc_id"), table.column("text").to_pylist()
-
-
-#: score() of order 2 in DuckDB.
+#: score() of order 3 in DuckDB.
 SQL = rf"""
 WITH w AS (
   SELECT row_number() OVER () AS d, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents
 ), t AS (
   SELECT d, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS i FROM w
 ), b AS (
-  SELECT d, i, word, lag(word) OVER (PARTITION BY d ORDER BY i) AS before FROM t
+  SELECT d, i, word, lag(word) OVER p AS before, lag(word, 2) OVER p AS first FROM t WINDOW p AS (PARTITION BY d ORDER BY i)
 ), own1 AS (SELECT d, word, count(*) AS n FROM t GROUP BY d, word),
 all1 AS (SELECT word, sum(n) AS n FROM own1 GROUP BY word),
 own2 AS (SELECT d, before, word, count(*) AS n FROM b WHERE before IS NOT NULL GROUP BY d, before, word),
 all2 AS (SELECT before, word, sum(n) AS n FROM own2 GROUP BY before, word),
+own3 AS (SELECT d, first, before, word, count(*) AS n FROM b WHERE first IS NOT NULL GROUP BY d, first, before, word),
+all3 AS (SELECT first, before, word, sum(n) AS n FROM own3 GROUP BY first, before, word),
 total AS (SELECT greatest(count(*), 1) AS n FROM t),
+else1 AS (SELECT d, word, a.n - o.n AS n FROM own1 o JOIN all1 a USING (word)),
+else2 AS (SELECT d, before, word, a.n - o.n AS n FROM own2 o JOIN all2 a USING (before, word)),
+else3 AS (SELECT d, first, before, word, a.n - o.n AS n FROM own3 o JOIN all3 a USING (first, before, word)),
 counts AS (
-  SELECT b.d, b.before, a1.n - o1.n AS c1, a2.n - o2.n AS c2, ac.n - oc.n AS context
-  FROM b JOIN own1 o1 ON b.d = o1.d AND b.word = o1.word JOIN all1 a1 ON b.word = a1.word
-  LEFT JOIN own2 o2 ON b.d = o2.d AND b.before = o2.before AND b.word = o2.word LEFT JOIN all2 a2 ON b.before = a2.before AND b.word = a2.word
-  LEFT JOIN own1 oc ON b.d = oc.d AND b.before = oc.word LEFT JOIN all1 ac ON b.before = ac.word
+  SELECT b.d, b.before, b.first, e1.n AS c1, e2.n AS c2, e3.n AS c3, x1.n AS context1, x2.n AS context2
+  FROM b JOIN else1 e1 ON b.d = e1.d AND b.word = e1.word
+  LEFT JOIN else2 e2 ON b.d = e2.d AND b.before = e2.before AND b.word = e2.word
+  LEFT JOIN else3 e3 ON b.d = e3.d AND b.first = e3.first AND b.before = e3.before AND b.word = e3.word
+  LEFT JOIN else1 x1 ON b.d = x1.d AND b.before = x1.word
+  LEFT JOIN else2 x2 ON b.d = x2.d AND b.first = x2.before AND b.before = x2.word
+), steps AS (
+  SELECT *, coalesce(c3 = 0, false)::INT AS off3, (coalesce(c3 = 0, false)::INT + coalesce(c2 = 0, false)::INT) AS off2 FROM counts
 ), scored AS (
-  SELECT d, CASE WHEN c2 > 0 THEN round_even({MICRO} * ln(c2::DOUBLE / context::DOUBLE), 0)
-                 ELSE round_even({MICRO} * (CASE WHEN before IS NULL THEN 0 ELSE ln({ALPHA}::DOUBLE) END + ln(greatest(c1, 1)::DOUBLE)), 0)
+  SELECT d, CASE WHEN c3 > 0 THEN round_even({MICRO} * ln(c3::DOUBLE / context2::DOUBLE), 0)
+                 WHEN c2 > 0 THEN round_even({MICRO} * (ln({ALPHA}::DOUBLE) * off3 + ln(c2::DOUBLE / context1::DOUBLE)), 0)
+                 ELSE round_even({MICRO} * (ln({ALPHA}::DOUBLE) * off2 + ln(greatest(c1, 1)::DOUBLE)), 0)
                       - (SELECT round_even({MICRO} * ln(n::DOUBLE), 0) FROM total) END::BIGINT AS s,
-         CASE WHEN before IS NOT NULL AND c2 = 0 THEN 1 ELSE 0 END AS off
-  FROM counts
+         CASE WHEN off2 > 0 THEN 1 ELSE 0 END AS off
+  FROM steps
 ), sums AS (SELECT d, sum(s)::BIGINT AS s, sum(off)::BIGINT AS off FROM scored GROUP BY d)
 SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(off, 0)::BIGINT AS n_backed_off, coalesce(s, 0)::BIGINT AS score_micronats,
        CASE WHEN len(ws) > 0 THEN s / {float(MICRO)}::DOUBLE / len(ws) END AS mean_score

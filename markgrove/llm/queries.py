@@ -71,13 +71,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 
-
-def op5_stupid_backoff_order3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """op5_stupid_backoff with trigrams; its SQL holds that query to order 2."""
-    return lm_scoring.score(read(spark, sf_dir, "documents"), 3)
-
-
-#: Queries beside the ten.
-MORE: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op5_stupid_backoff_order3,)}
-
 SQL: dict[str, str] = {"op1_poisson_mix": mixing.SQL, "op3_suffix_array_rules": quality_rules.SQL, "op5_stupid_backoff": lm_scoring.SQL, "op6_warc_segments": warc.SQL, "op10_tool_calls": chat.SQL}
