@@ -24,13 +24,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import HASHES, Scratch, mix64, tune
 
-#: Production order, backoff factor, and text bytes of a block or bucket (expected).
+#: Production order, backoff factor, and text bytes of a block (a bucket has half of its n-grams, about).
 ORDER, ALPHA, BLOCK_BYTES = 3, 0.4, 8 << 20
 
 #: Blocks are numbered from this multiple of their input partition.
@@ -38,6 +39,11 @@ BLOCK_STEP = 1 << 32
 
 MICRO = 1_000_000
 
+#: Level of compression of the texts of a block.
+TEXT_LEVEL = 6
+
+SQUEEZER, EXPANDER = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+
 U = np.uint64
 FACTORS = [U(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
@@ -63,32 +69,51 @@ def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
     return (((keys >> U(32)) * U(buckets)) >> U(32)).astype(np.int64)
 
 
+def _squeezed(data: bytes) -> bytes:
+    """The length of the compressed bytes, then these."""
+    out = SQUEEZER.compress(data)
+    return len(out).to_bytes(8, "little") + out
+
+
+def _expanded(data: bytes, at: int) -> tuple[np.ndarray, int]:
+    """The bytes that _squeezed() put at a place, and the place after them."""
+    end = at + 8 + int.from_bytes(data[at : at + 8], "little")
+    return np.frombuffer(EXPANDER.decompress(data[at + 8 : end]), dtype=np.uint8), end
+
+
 def pack_sorted(keys: np.ndarray) -> bytes:
-    """Ascending 64-bit numbers as differences of as few bytes as the largest needs."""
-    diffs = np.diff(keys, prepend=U(0))
-    width = max(1, (int(diffs[1:].max()).bit_length() + 7) // 8) if len(keys) > 1 else 1
-    return bytes([width]) + int(keys[0]).to_bytes(8, "little") + diffs[1:, None].view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+    """Ascending 64-bit numbers as differences of as few bytes as the largest needs; their two upper bytes, which are small as a rule, compressed."""
+    diffs = np.diff(keys)
+    width = max(1, (int(diffs.max()).bit_length() + 7) // 8) if len(diffs) else 1
+    planes = diffs[:, None].view(np.uint8).reshape(-1, 8)[:, :width]
+    low = max(0, width - 2)
+    return bytes([width]) + int(keys[0]).to_bytes(8, "little") + b"".join(_squeezed(planes[:, k].tobytes()) for k in range(low, width)) + planes[:, :low].tobytes()
 
 
 def unpack_sorted(data: bytes) -> np.ndarray:
-    width = data[0]
-    low = np.frombuffer(data, dtype=np.uint8, offset=9).reshape(-1, width)
-    full = np.zeros((len(low) + 1, 8), dtype=np.uint8)
+    width, at, upper = data[0], 9, []
+    low = max(0, width - 2)
+    for _ in range(low, width):
+        plane, at = _expanded(data, at)
+        upper.append(plane)
+    full = np.zeros((len(upper[0]) + 1, 8), dtype=np.uint8)
     full[0] = np.frombuffer(data, dtype=np.uint8, count=8, offset=1)
-    full[1:, :width] = low
+    if low:
+        full[1:, :low] = np.frombuffer(data, dtype=np.uint8, offset=at).reshape(-1, low)
+    for k, plane in enumerate(upper, low):
+        full[1:, k] = plane
     return np.cumsum(full.view(np.uint64).ravel(), dtype=np.uint64)
 
 
 def pack_counts(counts: np.ndarray) -> bytes:
-    """Counts of a byte each; those of 255 and more are repeated at the end."""
-    large = counts[counts >= 255].astype(np.int64)
-    return len(counts).to_bytes(8, "little") + np.minimum(counts, 255).astype(np.uint8).tobytes() + large.tobytes()
+    """Counts of a byte each, compressed; those of 255 and more are repeated at the end."""
+    return _squeezed(np.minimum(counts, 255).astype(np.uint8).tobytes()) + counts[counts >= 255].astype(np.int64).tobytes()
 
 
 def unpack_counts(data: bytes) -> np.ndarray:
-    n = int.from_bytes(data[:8], "little")
-    out = np.frombuffer(data, dtype=np.uint8, count=n, offset=8).astype(np.int64)
-    out[out == 255] = np.frombuffer(data[8 + n :], dtype=np.int64)
+    low, at = _expanded(data, 0)
+    out = low.astype(np.int64)
+    out[out == 255] = np.frombuffer(data, dtype=np.uint8, offset=at).view(np.int64)
     return out
 
 
@@ -147,7 +172,7 @@ def score_block(texts: list[str | None], order: int, totals: dict[int, np.ndarra
 
 def _packed(rows: pa.Table) -> bytes:
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+    with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", TEXT_LEVEL))) as writer:
         writer.write_table(rows)
     return sink.getvalue().to_pybytes()
 
@@ -188,7 +213,7 @@ def score(docs: DataFrame, order: int = ORDER) -> DataFrame:
     spark = tune(docs.sparkSession)
     scratch = Scratch(spark, "lm")
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = size // BLOCK_BYTES + 1
+    buckets = 2 * (size // BLOCK_BYTES) + 1
     packed = _blocks(docs)
 
     def count(table: pa.Table) -> pa.Table:
