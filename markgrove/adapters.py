@@ -71,12 +71,23 @@ def loss(adapter: Adapter, elements: DataFrame) -> int:
     return a.exceptAll(b).count() + b.exceptAll(a).count()
 
 
+#: Most element rows that an adapter takes to the driver.
+DRIVER_ROWS = 1_000_000
+
+
+def _bounded(elements: DataFrame) -> DataFrame:
+    if elements.limit(DRIVER_ROWS + 1).count() > DRIVER_ROWS:
+        raise ValueError(f"more than {DRIVER_ROWS} elements: adapters are for the driver")
+    return elements
+
+
 def _to_pandas(elements: DataFrame) -> Any:
-    return nav.flat(elements, tuple(nav.attribute_names(elements))).orderBy("doc_id", "node_id").toPandas()
+    return nav.flat(_bounded(elements), tuple(nav.attribute_names(elements))).orderBy("doc_id", "node_id").toPandas()
 
 
 def _trees(elements: DataFrame) -> dict[Any, ElementTree.Element]:
     """One ElementTree per document, on the driver."""
+    elements = _bounded(elements)
     out: dict[Any, dict[int, ElementTree.Element]] = {}
     for r in elements.select("doc_id", "node_id", "parent_id", "tag", "attrs", "text").orderBy("doc_id", "node_id").toLocalIterator():
         made = out.setdefault(r["doc_id"], {})

@@ -37,8 +37,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         return 1
     if args.command == "repair":
         docs = files.decoded(found, args.encoding, config).select("doc_id", "path", F.col("text").alias("content"))
-        repaired = Engine(spark, config).repair(docs.drop("path")).withColumnRenamed("content", "xml")
-        out, ok = docs.select("doc_id", "path").join(repaired, "doc_id").select("path", "xml"), F.lit(True)
+        out, ok = Engine(spark, config).repair(docs, carry=("path",)).select("path", F.col("content").alias("xml")), F.lit(True)
     else:
         summary = files.parse_files(spark, args.path, args.encoding, config)
         valid = F.col("success") & (F.col("repair_count") == 0)

@@ -11,8 +11,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Characters that XML 1.0 does not allow (fixed value), as the inside of a regex class of Java, Python and RE2 alike.
-INVALID = r"\x{0}-\x{8}\x{B}\x{C}\x{E}-\x{1F}\x{FFFE}\x{FFFF}"
+#: Characters that XML 1.0 does not allow, as the inside of a regex class of Java and RE2 alike: control characters, and the
+#: last two of each plane but for U+10FFFF, which stays valid (fixed values).
+INVALID = r"\x{0}-\x{8}\x{B}\x{C}\x{E}-\x{1F}" + "".join(rf"\x{{{p:X}FFFE}}\x{{{p:X}FFFF}}" for p in range(16)).replace("{0FFF", "{FFF") + r"\x{10FFFE}"
 INVALID_CLASS = f"[{INVALID}]"
 
 #: Byte order marks, longest first (fixed values).
@@ -24,6 +25,9 @@ ALIASES = {"utf8": "utf-8", "utf16": "utf-16", "utf32": "utf-32", "iso-8859-1":
 #: Bytes looked at for a declaration, and for statistics.
 DECLARATION_BYTES, SAMPLE_BYTES = 1024, 8192
 
+#: Most issues told of one content.
+MAX_UTF8_ISSUES = 100
+
 #: Encodings that make_valid_utf8 handles in the JVM; others go through Python's codecs.
 NATIVE = ("utf-8", "ascii", "us-ascii")
 
@@ -198,9 +202,28 @@ def chunks(df: DataFrame, id_col: str, text_col: str = "text", size: int = 8192)
 
 
 def utf8_validity(content: Column) -> Column:
-    """struct<valid, confidence>: strict UTF-8 gives 1.0, anything else 0.0; null content is valid and empty."""
+    """struct<valid, confidence, issues>: strict UTF-8 gives 1.0, anything else 0.0 and the places (0-based bytes) of what is wrong; null content is valid and empty."""
     valid = F.coalesce(F.is_valid_utf8(content.cast("string")), F.lit(True))
-    return F.struct(valid.alias("valid"), F.when(valid, 1.0).otherwise(0.0).alias("confidence"))
+    issues = F.when(valid, F.array().cast("array<string>")).otherwise(_utf8_issues(F.when(~valid, content)))
+    return F.struct(valid.alias("valid"), F.when(valid, 1.0).otherwise(0.0).alias("confidence"), issues.alias("issues"))
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _utf8_issues(content: pd.Series) -> pd.Series:
+    def of(raw: bytes | None) -> list[str]:
+        out, at, raw = [], 0, bytes(raw or b"")
+        while at < len(raw):
+            try:
+                raw[at:].decode("utf-8")
+                break
+            except UnicodeDecodeError as e:
+                out.append(f"{e.reason} at byte {at + e.start}")
+                if len(out) == MAX_UTF8_ISSUES:
+                    break
+                at += e.end
+        return out
+
+    return content.map(of)
 
 
 def is_valid_char(code: Column) -> Column:

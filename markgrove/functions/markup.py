@@ -96,9 +96,13 @@ def namespace_prefix(tag: Column) -> Column:
     return F.when(tag.contains(":"), F.substring_index(tag, ":", 1))
 
 
+#: What keeps a text off the quick path (fixed values).
+ODD_BRACKETS, BARE_VALUE = r"<<|>>|<>|><|< /", r"=\s*[a-zA-Z_][a-zA-Z0-9_]*(?=\s|>)"
+
+
 def is_fast_path(text: Column) -> Column:
     """Whether a text looks well-formed enough for a quick lexer: no doubled or crossed brackets, no bare attributes, balanced."""
-    odd = text.rlike(r"<<|>>|<>|><|< /") | text.rlike(r"""<[^>]*\s[\w:-]+=[^"'\s>]""")
+    odd = text.rlike(ODD_BRACKETS) | text.rlike(BARE_VALUE)
     balanced = F.regexp_count(text, F.lit("<")) == F.regexp_count(text, F.lit(">"))
     quotes = (F.regexp_count(text, F.lit('"')) % 2 == 0) & (F.regexp_count(text, F.lit("'")) % 2 == 0)
-    return ~odd & balanced & quotes & F.trim(text).startswith("<") & F.trim(text).endswith(">")
+    return ~odd & balanced & quotes & text.rlike(r"\A\s*<[\s\S]*>\s*\z")

@@ -94,9 +94,7 @@ def patterns(elements: DataFrame) -> DataFrame:
     """What a corpus is made of: (parent_tag, tag, n), by which variations can be drawn."""
     from pyspark.sql import functions as F
 
-    p = elements.select(F.col("doc_id").alias("p_id"), F.col("node_id").alias("p_node"), F.col("tag").alias("parent_tag"))
-    both = elements.join(p, (F.col("doc_id") == F.col("p_id")) & (F.col("parent_id") == F.col("p_node")), "left")
-    return both.groupBy("parent_tag", "tag").agg(F.count("*").alias("n"))
+    return elements.groupBy("parent_tag", "tag").agg(F.count("*").alias("n"))
 
 
 def variation(rows: list[tuple[str | None, str, int]], seed: int, size: int = 20) -> str:

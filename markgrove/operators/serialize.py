@@ -8,7 +8,12 @@ from dataclasses import dataclass, replace
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..functions.markup import escape_text, sanitize_name
+
+#: Entities that mark a text as escaped already, and those without their semicolon (fixed values).
 ENTITY = re.compile(r"&(?:amp|lt|gt|quot|apos|#\d+|#x[0-9a-fA-F]+);")
 OPEN_ENTITY = re.compile(r"&(amp|lt|gt|quot|apos|#\d+|#x[0-9a-fA-F]+)(?![;a-zA-Z0-9])")
 
@@ -146,28 +151,30 @@ def serialize(elements: DataFrame, style: str = "xml", options: Output = Output(
     return elements.select(id_col, *NEEDED).groupBy(id_col).applyInArrow(run, f"{id_col} {kind}, content string")
 
 
-def serialize_parsed(parsed: DataFrame, style: str = "xml", options: Output = Output(), id_col: str = "doc_id") -> DataFrame:
-    """The same of parse()'s nested rows: no shuffle, as a document is one row already."""
+def serialize_parsed(parsed: DataFrame, style: str = "xml", options: Output = Output(), id_col: str = "doc_id", carry: tuple[str, ...] = ()) -> DataFrame:
+    """(id, carry, content) of parse()'s nested rows: no shuffle, as a document is one row already."""
     if style not in FORMATS:
         raise ValueError(f"unknown format: {style}")
-    kind = parsed.schema[id_col].dataType.simpleString()
+    keep = [id_col, *carry]
+    needed = F.transform("elements", lambda e: F.struct(*[e[c].alias(c) for c in NEEDED])).alias("elements")
+    schema = T.StructType([*parsed.select(*keep).schema.fields, T.StructField("content", T.StringType())])
 
     def run(batches):
         for batch in batches:
             out = [render(rows or [], style, options) for rows in batch.column("elements").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(id_col), pa.array(out, type=pa.string())], names=[id_col, "content"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(out, type=pa.string())], names=[*keep, "content"])
 
-    return parsed.select(id_col, "elements").mapInArrow(run, f"{id_col} {kind}, content string")
+    return parsed.select(*keep, needed).mapInArrow(run, schema)
 
 
 def flat_to_xml(flat: DataFrame, id_col: str = "doc_id", order_col: str = "node_id") -> DataFrame:
-    """(id, content) of a flat table: one <item> per row with a child per column that is not null. A document's root row alone gives that element."""
-    from pyspark.sql import functions as F
-
-    from ..functions.markup import escape_text
+    """(id, content) of a flat table: <data> with one <item> per row, which has a child per column that is not null.
 
+    Names of columns are made tag names; values are escaped. A document's rows are gathered in one string, bounded by the document.
+    """
     cols = [c for c in flat.columns if c not in (id_col, order_col)]
-    body = F.concat_ws("", *[F.when(F.col(c).isNotNull(), F.concat(F.lit(f"<{c}>"), escape_text(F.col(c).cast("string")), F.lit(f"</{c}>"))) for c in cols])
+    tags = flat.sparkSession.createDataFrame([tuple(cols)], [f"c{i}" for i in range(len(cols))]).select(*[sanitize_name(F.col(f"c{i}")) for i in range(len(cols))]).first()
+    body = F.concat_ws("", *[F.when(F.col(f"`{c}`").isNotNull(), F.concat(F.lit(f"<{t}>"), escape_text(F.col(f"`{c}`").cast("string")), F.lit(f"</{t}>"))) for c, t in zip(cols, tags, strict=True)])
     item = F.concat(F.lit("<item>"), body, F.lit("</item>"))
     rows = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order_col, item.alias("x")))), lambda s: s["x"]), "")
     return flat.groupBy(id_col).agg(F.concat(F.lit("<data>"), rows, F.lit("</data>")).alias("content"))

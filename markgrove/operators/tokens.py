@@ -74,25 +74,69 @@ def well_formed() -> Column:
     return (F.size("repairs") == 0) & (F.col("confidence") >= 0.9)
 
 
+#: Types that count as errors, as recovered and as synthetic (fixed values).
+ERRORS, RECOVERED, SYNTHETIC = ("ERROR",), ("RECOVERED_CONTENT", "SYNTHETIC_CLOSE"), ("SYNTHETIC_CLOSE", "BALANCED_STRUCTURE")
+
+
 def statistics(tokens: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Per document: counts, rates, least and weighted mean confidence, share of well-formed tokens."""
+    """Per document: numbers of tokens, of errors, of tokens with repairs, recovered and synthetic ones, and their rates; least and weighted mean confidence, share of well-formed tokens."""
     weight = F.coalesce(F.create_map(*[F.lit(x) for kv in WEIGHTS.items() for x in kv])[F.col("type")], F.lit(1.0))
     n = F.count("*")
-    errors = F.count_if(F.col("type").isin("ERROR", "INVALID_CHARS", "MALFORMED_TAG"))
-    repairs = F.sum(F.size("repairs"))
+    numbers = {"error": F.count_if(F.col("type").isin(*ERRORS)), "repair": F.count_if(F.size("repairs") > 0), "recovery": F.count_if(F.col("type").isin(*RECOVERED)), "synthetic": F.count_if(F.col("type").isin(*SYNTHETIC))}
+    names = {"error": "n_errors", "repair": "n_repaired", "recovery": "n_recovered", "synthetic": "n_synthetic"}
     return tokens.groupBy(id_col).agg(
         n.alias("n_tokens"),
-        errors.alias("n_errors"),
-        repairs.alias("n_repairs"),
-        F.count_if(F.col("type").isin("SYNTHETIC_CLOSE", "BALANCED_STRUCTURE")).alias("n_synthetic"),
-        (errors / n).alias("error_rate"),
-        (repairs / n).alias("repair_rate"),
+        *[c.alias(names[k]) for k, c in numbers.items()],
+        *[(c / n).alias(f"{k}_rate") for k, c in numbers.items()],
         F.min("confidence").alias("min_confidence"),
         (F.sum(F.col("confidence") * weight) / F.sum(weight)).alias("confidence"),
         (F.count_if(well_formed()) / n).alias("well_formed_share"),
     )
 
 
+def damped(tokens: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """tokens, those at the place of a repair with a tenth of its impact added to their confidence (changes of 0.01 and less are left out)."""
+    impact = F.aggregate("repairs", F.lit(0.0), lambda n, r: n + r["confidence_impact"])
+    change = 0.1 * F.sum(impact).over(W.partitionBy(id_col, "offset"))
+    new = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("confidence") + F.col("_change")))
+    return tokens.withColumn("_change", change).withColumn("confidence", F.when(F.abs("_change") > 0.01, new).otherwise(F.col("confidence"))).drop("_change")
+
+
+#: The quick lexer's pattern for quoted attributes (fixed value).
+QUICK_ATTRIBUTE = r"""(\w+)=(["'])([^"']*)\2"""
+
+
+def quick(df: DataFrame, id_col: str, content_col: str) -> DataFrame:
+    """(id, seq, type, value): tokens of texts that markup.is_fast_path() takes, all in the JVM; other texts give none.
+
+    Texts of white space are dropped; a declaration is a tag; a tag's name is what comes before its first space, so that <br/> is named br/.
+    """
+    raw = F.regexp_extract_all(F.col(content_col), F.lit(r"<!--[\s\S]*?-->|<!\[CDATA\[[\s\S]*?\]\]>|<[^>]*>|[^<]+"), 0)
+
+    def token(kind: str, value: Column) -> Column:
+        return F.struct(F.lit(kind).alias("type"), value.alias("value"))
+
+    def of(t: Column) -> Column:
+        inner = F.trim(F.substring(t, F.lit(2), F.length(t) - 2))
+        words = F.split(inner, r"\s+")
+        attrs = F.array_join(F.slice(words, 2, F.greatest(F.lit(1), F.size(words))), " ")
+        names, values = F.regexp_extract_all(attrs, F.lit(QUICK_ATTRIBUTE), 1), F.regexp_extract_all(attrs, F.lit(QUICK_ATTRIBUTE), 3)
+        pairs = F.flatten(F.zip_with(names, values, lambda n, v: F.array(token("ATTR_NAME", n), token("ATTR_VALUE", v))))
+        end = F.array(token("TAG_END", F.lit(">")))
+        return (
+            F.when(t.startswith("<!--"), F.array(token("COMMENT", F.substring(t, F.lit(5), F.length(t) - 7))))
+            .when(t.startswith("<![CDATA["), F.array(token("CDATA", F.substring(t, F.lit(10), F.length(t) - 12))))
+            .when(t.startswith("<?"), F.array(token("PROCESSING_INSTRUCTION", F.substring(t, F.lit(3), F.length(t) - 4))))
+            .when(t.startswith("<") & inner.startswith("/"), F.concat(F.array(token("TAG_START", F.lit("</")), token("TAG_NAME", F.trim(F.substring(inner, 2, 1 << 30)))), end))
+            .when(t.startswith("<"), F.concat(F.array(token("TAG_START", F.lit("<")), token("TAG_NAME", F.get(words, 0))), pairs, end))
+            .when(F.trim(F.regexp_replace(t, r"\s", "")) != "", F.array(token("TEXT", t)))
+            .otherwise(F.array().cast("array<struct<type:string,value:string>>"))
+        )
+
+    found = F.flatten(F.transform(raw, of))
+    return df.where(markup.is_fast_path(F.col(content_col))).select(id_col, F.posexplode(found).alias("seq", "t")).select(id_col, "seq", "t.type", "t.value")
+
+
 def type_distribution(tokens: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return tokens.groupBy(id_col, "type").count()
 

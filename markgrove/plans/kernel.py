@@ -25,8 +25,8 @@ ATTRIBUTE = re.compile(
     re.X,
 )
 INSTRUCTION = re.compile(r"<\?([^>?]*(?:\?(?![><])[^>?]*)*)(\?>|\?(?=<)|>|\Z|\?\Z)")
-#: An internal subset is taken as such up to 65536 characters and literals, which keeps lexing linear.
-DECLARATION = re.compile(r"<![^<>\[]*+(?:\[(?:[^\]\"']|\"[^\"]*\"|'[^']*'){0,65536}+\]\s*+)?>")
+DECLARATION = re.compile(r"<![^<>\[]*+")
+SUBSET_MARK, SUBSET_END = re.compile(r"[\]\"']"), re.compile(r"\]\s*+>")
 REST = re.compile(r"\s*\Z")
 PROLOG_FIELD = re.compile(r"""(version|encoding|standalone)\s*=\s*["']([^"']*)["']""")
 VALID_NAME = re.compile(r"[a-zA-Z_:][-a-zA-Z0-9_:.]*")
@@ -46,9 +46,12 @@ HTML_CHILDREN = {
 #: Lexical errors that are kept as invalid characters; later ones become text.
 MAX_RECOVERIES = 50
 
-#: Elements below this depth have no paths (their text would grow with the square of the depth); parent_id still leads up.
+#: By default, elements below this depth have no paths (their text would grow with the square of the depth); parse() takes any bound, or none.
 PATH_DEPTH = 1000
 
+#: Observed mode alone cuts names and values to so many characters.
+NAME_LIMIT, VALUE_LIMIT = 1000, 10_000
+
 QUIRKS = {
     "prolog_is_text": "an instruction before the root becomes the root's text",
     "always_auto_close": "an element with text is closed by any other tag, even if its close tag follows",
@@ -56,6 +59,9 @@ QUIRKS = {
     "slash_ends_bare": "a bare attribute value ends at a slash",
     "strip_all_quotes": "quotes are stripped from both ends of attribute values without limit",
     "fixed_prolog": "version, encoding and standalone of the document keep their defaults",
+    "cut_long": "tag names are cut to NAME_LIMIT and attribute values to VALUE_LIMIT characters",
+    "failing_mismatch": "a close tag that would close more than ten elements is an error and closes none",
+    "lost_trailing": "elements after the root's end hang on nothing and are lost",
 }
 
 
@@ -129,15 +135,46 @@ def sanitize_name(name: str, strict: bool = False) -> str:
     return name if VALID_NAME.fullmatch(name) else "repaired_tag"
 
 
-def clean_name(name: str) -> str:
-    """Names with letters outside ASCII are kept by the contract; other odd names are sanitised."""
-    return name if re.fullmatch(NAME, name) and len(name) <= 1000 else sanitize_name(name)
+def clean_name(name: str, quirks: frozenset[str] = frozenset()) -> str:
+    """Names with letters outside ASCII, and names of any length, are kept by the contract; other odd names are sanitised."""
+    return name if re.fullmatch(NAME, name) and not ("cut_long" in quirks and len(name) > NAME_LIMIT) else sanitize_name(name)
+
+
+def declaration_end(text: str, at: int, known: dict[int, int]) -> int:
+    """Where the declaration <!...> at `at` ends, or -1. An internal subset ends at the first ] outside its literals.
+
+    known holds the end for each mark met in a subset, so that all declarations of a text together take linear time.
+    """
+    at = DECLARATION.match(text, at).end()
+    if text.startswith(">", at):
+        return at + 1
+    if not text.startswith("[", at):
+        return -1
+    met, end, at = [], -1, at + 1
+    nearest = known.get(-1, -1)  # the last first mark found: it is the first one from any place before it, too
+    mark = nearest if nearest >= at else m.start() if (m := SUBSET_MARK.search(text, at)) else len(text)
+    known[-1] = mark
+    while mark < len(text):
+        if mark in known:
+            end = known[mark]
+            break
+        met.append(mark)
+        if text[mark] == "]":
+            m = SUBSET_END.match(text, mark)
+            end = m.end() if m else -1
+            break
+        close = text.find(text[mark], mark + 1)
+        m = SUBSET_MARK.search(text, close + 1) if close >= 0 else None
+        mark = m.start() if m else len(text)
+    known.update(dict.fromkeys(met, end))
+    return end
 
 
 def lex(text: str, quirks: frozenset[str] = frozenset()) -> list[Token]:
     """Tokens of a text; every character is in some token's raw text or value."""
     out: list[Token] = []
     add, at, n, errors = out.append, 0, len(text), 0
+    subsets: dict[int, int] = {}
     while at < n:
         lt = text.find("<", at)
         stop = n if lt < 0 else lt
@@ -177,9 +214,9 @@ def lex(text: str, quirks: frozenset[str] = frozenset()) -> list[Token]:
             else:
                 add(Token("TEXT", m[0].replace("<", "&lt;").replace(">", "&gt;"), at, 0.7, fault, m[0]))
             at = m.end()
-        elif m := (DECLARATION.match(text, at) if text.startswith("<!", at) else None):
-            add(Token("DOCTYPE", m[0][2:-1].strip(), at, raw=m[0]))
-            at = m.end()
+        elif text.startswith("<!", at) and (end := declaration_end(text, at, subsets)) >= 0:
+            add(Token("DOCTYPE", text[at + 2 : end - 1].strip(), at, raw=text[at:end]))
+            at = end
         elif m := CLOSE.match(text, at):
             add(Token("TAG_START", "</", at))
             add(Token("TAG_NAME", m[1], m.start(1)))
@@ -200,7 +237,7 @@ def lex(text: str, quirks: frozenset[str] = frozenset()) -> list[Token]:
 
 def lex_tag(text: str, at: int, m: re.Match[str], out: list[Token], quirks: frozenset[str]) -> int:
     """Tokens of an open tag that starts at `at`; where it ends."""
-    start, first, n = at, len(out), len(text)
+    start, first, n, names = at, len(out), len(text), set()
     out.append(Token("TAG_START", "<", at))
     out.append(Token("TAG_NAME", m[1], m.start(1)))
     at = m.end()
@@ -219,7 +256,11 @@ def lex_tag(text: str, at: int, m: re.Match[str], out: list[Token], quirks: froz
             out.append(Token("TAG_END", a["end"], a.start("end")))
             return at
         if a["name"]:
-            out.append(Token("ATTR_NAME", a["name"], a.start("name")))
+            if a["name"] in names:
+                out.append(Token("ATTR_NAME", a["name"], a.start("name"), 0.95, ("duplicate_attribute", "attribute of a name met before", -0.05)))
+            else:
+                out.append(Token("ATTR_NAME", a["name"], a.start("name")))
+            names.add(a["name"])
             for kind in ("double", "single", "bare"):
                 value = a[kind]
                 if value is None:
@@ -266,11 +307,14 @@ class Builder:
         self.by_name: dict[str, int] = {}
         self.starts: list[int] = []  # of each element, the index of its TAG_START
         self.early: list[str] = []
+        self.lost: list[str] = []  # open elements of a lost subtree
 
     def note(self, severity: str, message: str, component: str, offset: int | None = None) -> None:
         self.doc.diagnostics.append(Diagnostic(severity, message, component, offset))
 
     def add_text(self, value: str) -> None:
+        if self.lost:
+            return
         where = self.stack[-1] if self.stack else (0 if self.doc.elements else -1)
         if where < 0:
             self.early.append(value)
@@ -279,6 +323,10 @@ class Builder:
 
     def open(self, i: int, tag: str, attrs: dict[str, str], closed: bool) -> None:
         elements, stack = self.doc.elements, self.stack
+        if self.lost:
+            if not closed:
+                self.lost.append(tag)
+            return
         if stack:
             top = elements[stack[-1]]
             has_close = self.starts[stack[-1]] in self.closes and "always_auto_close" not in self.quirks
@@ -287,6 +335,10 @@ class Builder:
                 self.doc.repairs_applied += 1
                 self.pop()
         if not stack and elements:  # the root has been closed: what follows hangs on it
+            if "lost_trailing" in self.quirks:
+                if not closed:
+                    self.lost.append(tag)
+                return
             parent = 0
             repair = Repair("trailing_content", f"<{tag}> after the root was attached to it", 0.1)
             self.doc.repairs_applied += 1
@@ -318,11 +370,17 @@ class Builder:
 
     def close(self, tag: str, offset: int) -> None:
         stack, elements = self.stack, self.doc.elements
-        if not stack:
+        if tag in self.lost:
+            while self.lost.pop() != tag:
+                pass
+        elif not stack:
             self.note("WARNING", "Closing tag without matching opening tag", "structure_repair", offset)
         elif elements[stack[-1]].tag == tag:
             self.pop()
         elif self.by_name.get(tag):
+            if "failing_mismatch" in self.quirks and tag not in {elements[i].tag for i in stack[-10:]}:
+                self.note("ERROR", "Confidence impact must be between 0.0 and 1.0", "xml_tree_builder", offset)
+                return
             closed = []
             while not closed or closed[-1].tag != tag:
                 closed.append(self.pop())
@@ -363,13 +421,13 @@ class Builder:
         while i < n:
             t = tokens[i]
             if t.type == "TAG_START":
-                tag, k, attrs, name = clean_name(tokens[i + 1].value), i + 2, {}, None
+                tag, k, attrs, name = clean_name(tokens[i + 1].value, self.quirks), i + 2, {}, None
                 while (kind := tokens[k].type) not in ("TAG_END", "SYNTHETIC_CLOSE"):
                     if kind == "ATTR_NAME":
                         name = tokens[k].value
                     elif name is not None:
                         attrs.pop(name, None)  # the last of a name wins, at its own place
-                        attrs[name], name = tokens[k].value[:10_000], None
+                        attrs[name], name = tokens[k].value[: VALUE_LIMIT if "cut_long" in self.quirks else None], None
                     k += 1
                 if t.value == "<":
                     self.open(i, tag, attrs, tokens[k].value == "/>")
@@ -395,11 +453,10 @@ class Builder:
             self.doc.repairs.append(repair)
             self.doc.repairs_applied += 1
             self.note("INFO", f"Auto-closed {left} unclosed elements", "structure_repair")
-        number(self.doc)
         return self.doc
 
 
-def number(doc: Document) -> None:
+def number(doc: Document, path_depth: int | None = PATH_DEPTH) -> None:
     """Pre-order is the order of the list, but for what was attached to the root late, which comes last anyway. Fill post and the paths."""
     elements = doc.elements
     for i in range(len(elements) - 1, -1, -1):
@@ -416,21 +473,23 @@ def number(doc: Document) -> None:
         if e.parent < 0:
             e.path, e.flat_path = f"/{e.tag}", "/"
             continue
-        if e.depth > PATH_DEPTH:
+        if path_depth is not None and e.depth > path_depth:
             continue
         above = elements[e.parent]
         e.path = f"{above.path}/{e.tag}" + (f"[{k}]" if same[e.parent, e.tag] > 1 else "")
         e.flat_path = f"/{e.tag}[{e.child_idx}]" if above.flat_path == "/" else f"{above.flat_path}{e.tag}[{e.child_idx}]"
 
 
-def parse(text: str | None, mode: str = "contract") -> Document:
-    """The document of a text. Never raises: a failure gives success=False and a CRITICAL diagnostic."""
+def parse(text: str | None, mode: str = "contract", path_depth: int | None = PATH_DEPTH) -> Document:
+    """The document of a text; paths down to path_depth (None: all). Never raises: a failure gives success=False and a CRITICAL diagnostic."""
     quirks = frozenset(QUIRKS) if mode == "observed" else frozenset()
     try:
         content = text or ""
         if mode != "observed" and content[:1] == "﻿":
             content = content[1:]
-        return Builder(lex(content, quirks), quirks).build()
+        doc = Builder(lex(content, quirks), quirks).build()
+        number(doc, path_depth)
+        return doc
     except Exception as e:  # the contract: one bad document must not fail a job
         return Document(success=False, diagnostics=[Diagnostic("CRITICAL", f"Tree building failed: {e}", "xml_tree_builder")])
 
@@ -439,13 +498,13 @@ def positions(tokens: list[Token], text: str) -> list[tuple[int, int]]:
     """1-based line and column (tab stops of 8) of each token; offsets ascend."""
     out, at, line, col = [], 0, 1, 1
     for t in tokens:
-        for c in text[at : t.offset]:
-            if c == "\n":
-                line, col = line + 1, 1
-            elif c == "\t":
+        part = text[at : t.offset]
+        if "\n" in part:
+            line, col, part = line + part.count("\n"), 1, part[part.rfind("\n") + 1 :]
+        for k, piece in enumerate(part.split("\t")):
+            if k:
                 col = (col - 1) // 8 * 8 + 9
-            else:
-                col += 1
+            col += len(piece)
         at = max(at, t.offset)
         out.append((line, col))
     return out

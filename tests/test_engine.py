@@ -96,13 +96,15 @@ def test_parsing_does_not_depend_on_partitions(spark, sf):
 
 def test_validation_levels(spark):
     parsed = parse.parse(one(spark, '<r a="1" A="2"><x:y/><xmlz q="a&amp;b"/></r>')).cache()
-    e, d = parsed.select("doc_id", F.inline("elements")), parsed.drop("elements")
-    n = [validate.validate(e, d, level).count() for level in validate.LEVELS]
+    n = [validate.validate(parsed, level).count() for level in validate.LEVELS]
     assert n == [2, 3, 4, 4]
-    v = validate.verdicts(validate.validate(e, d, "strict"), d).first()
+    v = validate.verdicts(parsed, "strict").first()
     assert (v["valid"], v["error_count"], v["warning_count"], round(v["confidence"], 6)) == (False, 3, 1, 0.7)
-    empty = parse.parse(one(spark, ""))
-    assert validate.validate(empty.select("doc_id", F.inline("elements")), empty, "minimal").first()["message"] == "Document has no root element"
+    assert validate.validate(parse.parse(one(spark, "")), "minimal").first()["message"] == "Document has no root element"
+    odd = parse.parse(one(spark, "<?xml version='1.1' encoding='koi8-r'?><r xmlns:p='u'><p:a/></r>"))
+    assert [r["message"] for r in validate.validate(odd, "pedantic").collect()] == ["Non-standard XML version: 1.1", "Non-standard encoding: koi8-r"]
+    broken = parsed.withColumn("elements", F.filter("elements", lambda e: e["node_id"] > 0))
+    assert validate.validate(broken, "minimal").where("message like '%inconsistency'").count() == 2
 
 
 def test_optimizer(spark):
@@ -128,7 +130,7 @@ def test_token_filters_and_assembly(spark):
     assert tokens.TokenFilter(types=("TEXT",)).apply(t).count() == 2 and tokens.TokenFilter("exclude", ("TEXT",)).apply(t).where("type = 'TEXT'").count() == 0
     assert tokens.TokenFilter(min_confidence=0.95).apply(t).where("type = 'COMMENT'").count() == 0
     assert tokens.TokenFilter(pattern="ONE", case_sensitive=False, max_results=1).apply(t).first()["value"] == "one "
-    assert tokens.last_attributes(t).first()["value"] == "2" and tokens.statistics(t).first()["n_repairs"] == 1
+    assert tokens.last_attributes(t).first()["value"] == "2" and tokens.statistics(t).first()["n_repaired"] == 2
     assert tokens.type_distribution(t).where("type = 'TEXT'").first()["count"] == 2
     raw = spark.createDataFrame([(1, i, "TEXT", x, i, 0.5) for i, x in enumerate(["Hello ", " world", "!"])], "doc_id long, seq int, type string, value string, offset int, confidence double")
     merged = tokens.merge_text(raw).first()
@@ -180,12 +182,11 @@ def test_policy(spark, text, reason):
 
 
 def test_reports(spark):
-    parsed = parse.parse(one(spark, "<a><b>x</a></c>"))
-    e, d = parsed.select("doc_id", F.inline("elements")), parsed.drop("elements")
-    r = report.comprehensive(d, validate.verdicts(validate.validate(e, d), d))
+    parsed = parse.parse(one(spark, "<a><b>x</a></c>"), want=("elements", "diagnostics", "documents"))
+    r = report.comprehensive(validate.with_verdict(validate.with_issues(parsed)))
     for style, start in (("json", "{"), ("text", "health:"), ("xml", "<report>"), ("html", "<table>")):
         assert report.export(r, style).first()["content"].startswith(start)
-    assert value(spark, report.health(F.lit(0), F.lit(6), F.lit(0))) == "POOR" and value(spark, report.repair_impact(F.lit(7))) == "moderate"
+    assert value(spark, report.health(F.lit(0), F.lit(6), F.lit(0))) == "POOR" and value(spark, report.repair_impact(F.lit(7))).startswith("Moderate repairs")
     assert round(value(spark, report.overall_confidence(F.lit(1.0), F.lit(None).cast("double"), F.lit(0.5))), 6) == round((0.5 + 0.15) / 0.8, 6)
     base, now = (spark.createDataFrame([("q", v)], "k string, mean double") for v in (10.0, 12.0))
     assert report.regressions(now, base, ["k"]).first()["verdict"] == "regression"
