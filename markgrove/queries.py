@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import oracle
 from .functions import chars, markup, security
 from .operators import nav, optimize, parse, recovery, report, serialize, tokens, validate
 
@@ -38,14 +39,7 @@ def page_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 TAG = r"regexp_extract(token, '^</?([A-Za-z_:][A-Za-z0-9_:.-]*)', 1)"
-LEXED = f"""
-lexed AS (
-  SELECT page_id, unnest(range(len(ts))) AS seq, unnest(ts) AS token FROM (SELECT page_id, regexp_extract_all(html, '{markup.LEX}') AS ts FROM pages)
-), toks AS (
-  SELECT *, CASE WHEN starts_with(token, '<!--') THEN 'COMMENT' WHEN starts_with(token, '<![CDATA[') THEN 'CDATA' WHEN starts_with(token, '<?') THEN 'PI'
-                 WHEN starts_with(token, '<!') THEN 'DOCTYPE' WHEN starts_with(token, '</') THEN 'CLOSE' WHEN token = '<' THEN 'STRAY'
-                 WHEN starts_with(token, '<') THEN 'OPEN' ELSE 'TEXT' END AS class FROM lexed
-)"""
+LEXED = oracle.LEXED
 
 
 # ---- lexing and token analytics
@@ -281,10 +275,10 @@ def policy_rejections(spark, sf_dir):
     return table(spark, sf_dir, "pages").groupBy(F.coalesce(reason, F.lit("accepted")).alias("reason")).agg(F.count("*").alias("n"))
 
 
-@query()
+@query(oracle.REJECTIONS.replace("{depth}", "20"))
 def policy_rejections_by_nesting(spark, sf_dir):
     """The policy with true nesting depth."""
-    reason = security.rejection(F.col("html"), security.Policy(max_element_depth=60))
+    reason = security.rejection(F.col("html"), security.Policy(max_element_depth=20))
     return table(spark, sf_dir, "pages").groupBy(F.coalesce(reason, F.lit("accepted")).alias("reason")).agg(F.count("*").alias("n"))
 
 
@@ -432,24 +426,30 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), F.col("html").alias("content"), "url")
 
 
-@query()
+def broken(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages with a stray bracket before each heading, a list's close tag cut short, and an open comment at the end."""
+    return pages(spark, sf_dir).withColumn("content", F.expr(oracle.BROKEN.replace("html", "content")))
+
+
+@query(oracle.ELEMENTS_BY_TAG)
 def parse_pages_elements(spark, sf_dir):
     """Per tag: elements, mean depth, share repaired."""
     e = parse.elements(pages(spark, sf_dir))
     return e.groupBy("tag").agg(F.count("*").alias("n"), F.round(F.avg("depth"), 6).alias("mean_depth"), F.round(F.avg((F.size("repairs") > 0).cast("double")), 6).alias("repaired_share"))
 
 
-@query()
+@query(oracle.REPAIRS_BY_TYPE)
 def repairs_by_type(spark, sf_dir):
     return parse.repairs(parse.elements(pages(spark, sf_dir))).groupBy("repair_type", "tag").agg(F.count("*").alias("n"), F.round(F.sum("confidence_impact"), 6).alias("impact"))
 
 
-@query()
+@query(oracle.SUMMARIES)
 def documents_summary(spark, sf_dir):
-    return parse.documents(pages(spark, sf_dir))
+    found = parse.documents(pages(spark, sf_dir))
+    return found.withColumns({c: F.round(c, 6) for c in ("confidence", "repair_impact")})
 
 
-@query()
+@query(oracle.REPORTS)
 def comprehensive_report(spark, sf_dir):
     """Health, confidence, errors, repairs and recommendations of every page, validated at the strictest level and optimised: one kernel pass, one row in and one row out."""
     parsed = parse.parse(pages(spark, sf_dir), want=("elements", "diagnostics", "documents"))
@@ -459,31 +459,33 @@ def comprehensive_report(spark, sf_dir):
     return found.select(*plain)
 
 
-@query()
+@query(oracle.CATEGORIZED)
 def diagnostics_categorized(spark, sf_dir):
     return report.categorized(parse.diagnostics(pages(spark, sf_dir)))
 
 
-@query()
+@query(oracle.TOKEN_STATISTICS)
 def kernel_token_statistics(spark, sf_dir):
-    found = tokens.statistics(parse.tokens(pages(spark, sf_dir)))
+    found = tokens.statistics(parse.tokens(broken(spark, sf_dir)))
     rates = ("error_rate", "repair_rate", "recovery_rate", "synthetic_rate", "min_confidence", "confidence", "well_formed_share")
     return found.select("doc_id", "n_tokens", "n_errors", "n_repaired", "n_recovered", "n_synthetic", *[F.round(c, 6).alias(c) for c in rates])
 
 
-@query()
+@query(oracle.RECOVERIES)
 def recovery_history(spark, sf_dir):
-    broken = pages(spark, sf_dir).withColumn("content", F.concat(F.replace("content", F.lit("<h1>"), F.lit("< <h1>")), F.lit("<!-- open")))
-    return recovery.success_rates(recovery.history(parse.tokens(broken))).select("strategy", "n", F.round("success_rate", 6).alias("success_rate"), F.round("mean_confidence", 6).alias("mean_confidence"))
+    entries = recovery.history(parse.tokens(broken(spark, sf_dir)))
+    return recovery.success_rates(entries).select("strategy", "n", F.round("success_rate", 6).alias("success_rate"), F.round("mean_confidence", 6).alias("mean_confidence"))
 
 
-@query()
+@query(oracle.MERGED)
 def merged_text_tokens(spark, sf_dir):
-    merged = tokens.merge_text(parse.tokens(pages(spark, sf_dir)))
+    """Doubled brackets are texts of their own, which meet each other and the text before them."""
+    doubled = pages(spark, sf_dir).withColumn("content", F.replace("content", F.lit("<p>"), F.lit("<<<p>")))
+    merged = tokens.merge_text(parse.tokens(doubled))
     return merged.groupBy("doc_id").agg(F.count("*").alias("n_tokens"), F.sum("n_merged").alias("n_before"))
 
 
-@query()
+@query(oracle.ROUND_TRIP)
 def serialize_pages(spark, sf_dir):
     """Repaired pages as XML, with the XML's digest; parsing it again gives as many elements."""
     parsed = parse.parse(pages(spark, sf_dir))
