@@ -151,22 +151,28 @@ def serialize(elements: DataFrame, style: str = "xml", options: Output = Output(
     return elements.select(id_col, *NEEDED).groupBy(id_col).applyInArrow(run, f"{id_col} {kind}, content string")
 
 
-def serialize_parsed(parsed: DataFrame, style: str = "xml", options: Output = Output(), id_col: str = "doc_id", carry: tuple[str, ...] = ()) -> DataFrame:
-    """(id, carry, content) of parse()'s nested rows: no shuffle, as a document is one row already."""
-    if style not in FORMATS:
-        raise ValueError(f"unknown format: {style}")
+def serialize_all(parsed: DataFrame, styles: dict[str, str], options: Output = Output(), id_col: str = "doc_id", carry: tuple[str, ...] = ()) -> DataFrame:
+    """(id, carry, a column of text for each of styles: name -> format) of parse()'s nested rows: no shuffle, as a document is one row already."""
+    if unknown := set(styles.values()) - set(FORMATS):
+        raise ValueError(f"unknown format: {sorted(unknown)}")
     keep = [id_col, *carry]
     needed = F.transform("elements", lambda e: F.struct(*[e[c].alias(c) for c in NEEDED])).alias("elements")
-    schema = T.StructType([*parsed.select(*keep).schema.fields, T.StructField("content", T.StringType())])
+    schema = T.StructType([*parsed.select(*keep).schema.fields, *(T.StructField(n, T.StringType()) for n in styles)])
 
     def run(batches):
         for batch in batches:
-            out = [render(rows or [], style, options) for rows in batch.column("elements").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(out, type=pa.string())], names=[*keep, "content"])
+            docs = batch.column("elements").to_pylist()
+            made = [pa.array([render(rows or [], style, options) for rows in docs], type=pa.string()) for style in styles.values()]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *made], names=[*keep, *styles])
 
     return parsed.select(*keep, needed).mapInArrow(run, schema)
 
 
+def serialize_parsed(parsed: DataFrame, style: str = "xml", options: Output = Output(), id_col: str = "doc_id", carry: tuple[str, ...] = ()) -> DataFrame:
+    """(id, carry, content) of parse()'s nested rows in one format."""
+    return serialize_all(parsed, {"content": style}, options, id_col, carry)
+
+
 def flat_to_xml(flat: DataFrame, id_col: str = "doc_id", order_col: str = "node_id") -> DataFrame:
     """(id, content) of a flat table: <data> with one <item> per row, which has a child per column that is not null.
 

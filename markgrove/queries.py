@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import oracle
+from . import answers, oracle
 from .functions import chars, markup, security
 from .operators import nav, optimize, parse, recovery, report, serialize, tokens, validate
 
@@ -501,6 +501,57 @@ def quality_health(spark, sf_dir):
     return n.withColumn("health", report.health(F.lit(0), F.col("errors"), F.col("warnings")))
 
 
+# ---- malformed documents with known answers
+
+
+def malformed(spark: SparkSession, sf_dir: str, cases: tuple[int, ...] | None = None) -> DataFrame:
+    """Each nation in each template of a malformed document; doc_id is 100 times the case plus the nation."""
+    kinds = F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(t).alias("template")) for k, t in enumerate(answers.TEMPLATES) if cases is None or k in cases])
+    each = table(spark, sf_dir, "nation").select("n_nationkey", "n_name", F.inline(kinds))
+    content = F.replace(F.replace("template", F.lit("{n}"), F.col("n_name")), F.lit("{k}"), F.col("n_nationkey").cast("string"))
+    return each.select((F.col("kind") * 100 + F.col("n_nationkey")).cast("long").alias("doc_id"), content.alias("content"))
+
+
+@query(answers.ELEMENTS_SQL)
+def malformed_elements(spark, sf_dir):
+    """CDATA, prolog, dotted names, stray brackets, repeated and bare attributes, every kind of missing and misplaced tag, unfinished constructs."""
+    e = parse.elements(malformed(spark, sf_dir))
+    attrs = F.array_join(F.transform("attrs", lambda a: F.concat(a["name"], F.lit("="), a["value"])), ";")
+    repairs = F.array_join(F.transform("repairs", lambda r: F.concat(r["repair_type"], F.lit(":"), F.round(r["confidence_impact"], 6).cast("string"))), ";")
+    return e.select("doc_id", "node_id", "tag", "parent_id", "depth", "text", attrs.alias("attrs"), F.array_join("comments", "").alias("comments"), F.array_join("pis", "").alias("pis"), repairs.alias("repairs"))
+
+
+@query(answers.DOCUMENTS_SQL)
+def malformed_documents(spark, sf_dir):
+    found = parse.documents(malformed(spark, sf_dir)).where("success")
+    return found.select("doc_id", F.round("confidence", 6).alias("confidence"), "version", "encoding", "standalone", "repairs_applied", "repair_count", "warning_count")
+
+
+@query(answers.NOTES_SQL)
+def malformed_diagnostics(spark, sf_dir):
+    return parse.diagnostics(malformed(spark, sf_dir)).select("doc_id", "severity", "message")
+
+
+@query(answers.XML_SQL)
+def malformed_xml(spark, sf_dir):
+    """Repaired documents, plain and pretty."""
+    parsed = trees(malformed(spark, sf_dir, tuple(r[0] for r in answers.XML)))
+    return serialize.serialize_all(parsed, {"plain": "xml", "pretty": "xml_pretty"}, serialize.Output(declaration=False))
+
+
+@query(answers.TOKENS_SQL)
+def malformed_tokens(spark, sf_dir):
+    parsed = parse.parse(malformed(spark, sf_dir, tuple(r[0] for r in answers.TOKENS)), want=("tokens",))
+    joined = F.array_join(F.transform("tokens", lambda t: F.concat(t["type"], F.lit("="), t["value"])), "|")
+    return parsed.select("doc_id", joined.alias("tokens"), F.size(F.filter("tokens", lambda t: F.size(t["repairs"]) > 0)).alias("n_repaired"))
+
+
+@query(answers.ISSUES_SQL)
+def malformed_issues(spark, sf_dir):
+    """All rules of the strictest validation."""
+    return validate.validate(parse.parse(malformed(spark, sf_dir)), "pedantic").select("doc_id", "issue_type", "severity", "message")
+
+
 # ---- relational extras over markup
 
 
