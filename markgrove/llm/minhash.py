@@ -6,9 +6,11 @@ a register and a position in the interval, and counts if its position lies below
 its earliest point, so two documents agree in a register with the probability of their weighted Jaccard similarity. A
 shingle stops producing points once its time is later than all registers of the document, which is what makes it quick.
 
-Bands of registers give candidate buckets. A bucket is not expanded into pairs: all members are verified against one hub
-(exact weighted Jaccard of the whole texts); the hub is then done with, buckets whose other members are one component already
-are done too, and the rest choose another hub. What is left after HUB_ROUNDS goes through blocks: each bucket is cut into
+Bands of registers give candidate buckets. A bucket is not expanded into pairs: it falls into parts by a hash of its members, as
+many as the root of the corpus, the members of a part are verified against its hub (exact weighted Jaccard of the whole texts)
+and the hubs of the parts against one of them; so no step gathers a large bucket in one task. In a bucket whose parts have one
+member each, that hub has met all and is done with; buckets whose members are one component are done too, and the rest choose
+other hubs. What is left after HUB_ROUNDS goes through blocks: each bucket is cut into
 blocks of bounded bytes and every pair of blocks goes through a kernel, which rules out by whole signatures, verifies the rest
 exactly and hands on a spanning forest of the links only. So no bucket is capped. What remains quadratic is a bucket of many
 documents that are not near copies of each other and of no hub: each of its B rows meets all blocks of its bucket.
@@ -25,6 +27,7 @@ through keep_one() and are not carried by classes().
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,7 +44,7 @@ BANDS, ROWS = 26, 5
 
 #: Hub rounds before the rest goes through blocks; members of a hub that are verified together (expected); bytes of signatures and
 #: hashes of one block (expected); by how much an estimate may fall short there (4.5 standard deviations of 130 registers at 0.8).
-HUB_ROUNDS, HUB_PART, BLOCK_BYTES, SLACK = 2, 512, 32 << 20, 0.16
+HUB_ROUNDS, HUB_PART, BLOCK_BYTES, SLACK = 2, 512, 8 << 20, 0.16
 
 MASK40 = np.uint64((1 << 40) - 1)
 U = np.uint64
@@ -253,7 +256,7 @@ def _rest_links(rest: DataFrame, texts: DataFrame) -> DataFrame:
 
     def compare(table: pa.Table) -> pa.Table:
         band, block, of, size, ids = (table.column(c).to_numpy() for c in ("band", "block", "of", "size", "id"))
-        signature = np.stack([np.frombuffer(x.as_py(), dtype=np.uint32) for x in table.column("signature")])
+        signature = np.frombuffer(b"".join(table.column("signature").to_pylist()), dtype=np.uint32).reshape(len(ids), -1)
         hashes = [np.frombuffer(x.as_py(), dtype=np.uint64) for x in table.column("hashes")]
         left, right = np.flatnonzero(block == block.min()), np.flatnonzero(block == block.max())
         links = block_links(int(band[0]), ids, of, size, signature, hashes, left, right)
@@ -268,8 +271,12 @@ def classes(docs: DataFrame) -> DataFrame:
     spark = tune(docs.sparkSession)
     scratch = Scratch(spark, "minhash")
     sketches = scratch.table(_sketches(docs), "sketches")
-    first = sketches.groupBy("content").agg(F.min("id").alias("rep"))
-    copies = scratch.table(sketches.join(first, "content").select("id", "rep", "content", "size"), "copies")
+    # a part at a time, so that a text of very many copies is not one task's
+    part = F.pmod(F.xxhash64(F.lit("part"), "id"), F.lit(max(1, math.isqrt(sketches.count())))).cast("int").alias("part")
+    slim = sketches.select("id", "content", "size", part)
+    least = slim.groupBy("content", "part").agg(F.min("id").alias("least"))
+    first = least.join(least.groupBy("content").agg(F.min("least").alias("rep")), "content").select("content", "part", "rep")
+    copies = scratch.table(slim.join(first, ["content", "part"]).select("id", "rep", "content", "size"), "copies")
     # one document of each text stands for its copies
     reps = copies.where("id = rep").select("id", "content").distinct()
     banded = sketches.join(reps, ["id", "content"], "left_semi").select("id", "size", F.posexplode("bands").alias("band", "key"))
@@ -280,7 +287,7 @@ def classes(docs: DataFrame) -> DataFrame:
     texts = scratch.table(docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(buckets.select("id").distinct().hint("merge"), "id"), "texts")
     links = copies.where("id != rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
     found: DataFrame | None = None
-    rest, of = buckets.withColumn("of", F.col("id")), None
+    rest, of = buckets.select("key", "band", part, "id", "size", F.col("id").alias("of")), None
     for turn in range(HUB_ROUNDS + 1):
         if rest.isEmpty():
             break
@@ -288,15 +295,20 @@ def classes(docs: DataFrame) -> DataFrame:
             new = scratch.table(_rest_links(rest, texts), "links")
             found = new if found is None else found.union(new)
             break
-        hubs = rest.groupBy("key").agg(F.min(F.struct(F.xxhash64("id"), "id", "size", "of")).alias("h"), F.count("*").alias("n")).select("key", F.col("h.id").alias("hub"), F.col("h.size").alias("hub_size"), F.col("h.of").alias("hub_of"), "n")
-        tried = rest.join(hubs, "key").where("id != hub")
-        pairs = tried.where(f"of != hub_of and least(size, hub_size) >= {THRESHOLD} * greatest(size, hub_size)")
-        new = _verified(pairs.select("id", "hub", "n"), texts, scratch)
+        hub = F.min(F.struct(F.xxhash64(F.lit(turn), "id").alias("order"), "id", "size", "of")).alias("hub")
+        parts = rest.groupBy("key", "part").agg(hub, F.count("*").alias("n"))
+        tops = parts.groupBy("key").agg(F.min("hub").alias("top"), F.count("*").alias("n_parts"), F.max("n").alias("most"))
+        hubs = scratch.table(parts.join(tops, "key"), "hubs")
+        of_part = rest.join(hubs, ["key", "part"]).select(F.struct("id", "size", "of").alias("x"), F.col("hub").alias("y"), "n")
+        of_hubs = hubs.select(F.struct("hub.id", "hub.size", "hub.of").alias("x"), F.col("top").alias("y"), F.col("n_parts").alias("n"))
+        pairs = of_part.union(of_hubs).where(f"x.id != y.id and x.of != y.of and least(x.size, y.size) >= {THRESHOLD} * greatest(x.size, y.size)")
+        new = _verified(pairs.select("x.id", F.col("y.id").alias("hub"), "n"), texts, scratch)
         found = new if found is None else found.union(new)
         of = components(found, scratch)
-        left = tried.select("key", "band", "id", "size").join(of, "id", "left").select("key", "band", "id", "size", F.coalesce("component_id", "id").alias("of"))
+        left = rest.drop("of").join(hubs.select("key", "part", F.when(F.col("most") == 1, F.col("top.id")).alias("done")), ["key", "part"]).where("done is null or id != done")
+        left = scratch.table(left.join(of, "id", "left").select("key", "band", "part", "id", "size", F.coalesce("component_id", "id").alias("of")), "left")
         many = left.groupBy("key").agg(F.min("of").alias("low"), F.max("of").alias("high")).where("low < high").select("key")
-        rest = scratch.table(left.join(many, "key"), "rest")
+        rest = scratch.table(left.join(hubs.select("key", "part").join(many, "key"), ["key", "part"]).select("key", "band", "part", "id", "size", "of"), "rest")
     if found is not None:
         links = links.union(found)
     of = components(links, scratch).withColumnRenamed("component_id", "class_id")
