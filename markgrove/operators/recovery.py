@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -109,3 +109,24 @@ def severity(reason: str, around: str = "", errors: int = 0) -> float:
         score += more if any(w in reason.lower() for w in words) else 0
     score += 0.2 if "<>" in around else 0.1 if any(not c.isalnum() and not c.isspace() for c in around) else 0
     return min(1.0, score + (0.2 if errors > 5 else 0))
+
+
+def pattern_key(error_type: str, state: str, around: str) -> str:
+    """What a successful strategy is remembered by: the error, the lexer's state and the first twenty characters around."""
+    return f"{error_type}:{state}:{around[:20]}"
+
+
+def detailed_report(entries: DataFrame) -> DataFrame:
+    """One row over a history: entries, rates, and maps (of at most as many keys as there are strategies, kinds of error and bins) of counts and success rates."""
+
+    def counted(label: Column, name: str, value: Column | None = None) -> Column:
+        return F.map_from_entries(F.array_sort(F.collect_list(F.struct(label.alias("key"), (F.col("n") if value is None else value).alias("value"))))).alias(name)
+
+    whole = entries.agg(F.count("*").alias("total_entries"), F.avg(F.col("success").cast("double")).alias("overall_success_rate"), F.avg("confidence").alias("average_confidence"))
+    by_strategy = success_rates(entries).agg(counted(F.col("strategy"), "strategy_counts"), counted(F.col("strategy"), "strategy_success_rates", F.col("success_rate")))
+    by_error = entries.groupBy("error_type").agg(F.count("*").alias("n")).agg(counted(F.col("error_type"), "error_types"))
+    bins = F.least(F.lit(4), F.floor(F.col("confidence") * 5)).cast("int").alias("bin")
+    by_bin = entries.groupBy(bins).agg(F.count("*").alias("n")).agg(counted(F.col("bin"), "confidence_distribution"))
+    names = [*whole.columns, "strategy_counts", "strategy_success_rates", "error_types", "confidence_distribution"]
+    parts = whole.unionByName(by_strategy, allowMissingColumns=True).unionByName(by_error, allowMissingColumns=True).unionByName(by_bin, allowMissingColumns=True)
+    return parts.agg(*[F.any_value(n, ignoreNulls=True).alias(n) for n in names])

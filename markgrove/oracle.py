@@ -162,6 +162,28 @@ SELECT p.page_id AS doc_id, true AS success, round(greatest(0.0::DOUBLE, 1.0 - 0
        round(coalesce(r.impact, 0) + coalesce(d.impact, 0), 6) AS repair_impact, coalesce(g.n, 0) AS diagnostic_count, 0 AS error_count, coalesce(g.warnings, 0) AS warning_count
 FROM pages p LEFT JOIN e USING (page_id) LEFT JOIN applied a USING (page_id) LEFT JOIN r USING (page_id) LEFT JOIN d USING (page_id) LEFT JOIN g USING (page_id)"""
 
+RESULTS = f"""WITH RECURSIVE {TREE}, e AS (
+  SELECT page_id, count(*) AS n, sum(n_attrs) AS attrs, max(depth) AS deep FROM elements GROUP BY page_id
+), r AS (
+  SELECT page_id, repair_type, impact::DOUBLE AS impact, 0 AS own FROM element_repairs UNION ALL SELECT page_id, repair_type, impact::DOUBLE, 1 FROM document_repairs
+), h AS (
+  SELECT page_id, count(*) AS n, sum(own) AS own, sum(impact) AS impact FROM r GROUP BY page_id
+), k AS (
+  SELECT page_id, string_agg('"' || repair_type || '":' || n, ',' ORDER BY repair_type) AS j FROM (SELECT page_id, repair_type, count(*) AS n FROM r GROUP BY ALL) GROUP BY page_id
+), g AS (
+  SELECT page_id, sum(n) AS n, string_agg('"' || severity || '":' || n, ',' ORDER BY severity) AS j FROM (SELECT page_id, severity, count(*) AS n FROM notes GROUP BY ALL) GROUP BY page_id
+), c AS (
+  SELECT page_id, greatest(0.0::DOUBLE, 1.0 - 0.05::DOUBLE * coalesce(a.n, 0)) AS confidence FROM pages LEFT JOIN applied a USING (page_id)
+)
+SELECT c.page_id AS doc_id, true AS success, round(confidence, 6) AS confidence, e.n AS element_count, e.attrs AS attribute_count, e.deep AS max_depth, coalesce(h.n, 0) AS repair_count, coalesce(h.n, 0) > 0 AS has_repairs,
+       coalesce(g.n, 0) AS total_diagnostics, false AS has_errors, '{{' || coalesce(g.j, '') || '}}' AS diagnostics_by_severity, CASE WHEN g.n > 0 THEN '{{"structure_repair":' || g.n || '}}' ELSE '{{}}' END AS diagnostics_by_component,
+       coalesce(h.own, 0) AS document_repairs, coalesce(h.n - h.own, 0) AS element_repairs, '{{' || coalesce(k.j, '') || '}}' AS repair_types, round(coalesce(h.impact, 0), 6) AS repair_impact_on_confidence,
+       round(CASE WHEN confidence > 0 THEN confidence ELSE 1.0 END, 6) AS overall_confidence
+FROM c LEFT JOIN e USING (page_id) LEFT JOIN h USING (page_id) LEFT JOIN k USING (page_id) LEFT JOIN g USING (page_id)"""
+
+WINDOWS = f"""WITH s AS ({SUMMARIES})
+SELECT (1700000000 + 37 * doc_id) // 600 * 600 AS window_start, count(*) AS n_documents, round(avg(confidence), 6) AS mean_confidence, sum(repair_count) AS repairs, 0 AS failures FROM s GROUP BY 1"""
+
 CATEGORIZED = f"""WITH RECURSIVE {TREE} SELECT {CATEGORY} AS category, severity, count(*) AS n FROM notes GROUP BY 1, 2"""
 
 ROUND_TRIP = f"""WITH RECURSIVE {XML}
@@ -261,3 +283,10 @@ REJECTIONS = f"""WITH {LEXED}, s AS (
   FROM pages LEFT JOIN d USING (page_id)
 )
 SELECT coalesce(reason, 'accepted') AS reason, count(*) AS n FROM p GROUP BY 1"""
+
+
+RECOVERY_REPORT = f"""WITH {_BROKEN_COUNTS}, x AS (SELECT sum(strays) AS strays, sum(cut) AS cut, count(*) AS open FROM b)
+SELECT strays + cut + open AS total_entries, round((cut + open) / (strays + cut + open), 6) AS overall_success_rate, round((0.1::DOUBLE * strays + 0.8::DOUBLE * (cut + open)) / (strays + cut + open), 6) AS average_confidence,
+       '{{"insert_missing_structure":' || cut || ',"skip_until_valid":' || strays || ',"treat_as_text":' || open || '}}' AS strategy_counts,
+       '{{"insert_missing_structure":1.0,"skip_until_valid":0.0,"treat_as_text":1.0}}' AS strategy_success_rates,
+       '{{"error_recovery":' || (strays + cut) || ',"unclosed_comment":' || open || '}}' AS error_types, '{{"0":' || strays || ',"4":' || (cut + open) || '}}' AS confidence_distribution FROM x"""

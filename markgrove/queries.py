@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from . import answers, oracle
 from .functions import chars, markup, security
 from .operators import nav, optimize, parse, recovery, report, serialize, tokens, validate
+from .streaming import stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -172,16 +173,39 @@ def tag_sanitize(spark, sf_dir):
 
 
 def dirty(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents with control characters in the place of full stops."""
-    return table(spark, sf_dir, "documents").select("doc_id", F.translate("text", ".", "\x01").alias("text"))
+    """Documents with control characters in the place of full stops, and a non-character beyond the first plane in that of commas."""
+    text = F.replace(F.translate("text", ".", "\x01"), F.lit(","), F.lit("\U0001fffe"))
+    return table(spark, sf_dir, "documents").select("doc_id", text.alias("text"))
 
 
-@query("WITH t AS (SELECT doc_id, replace(text, '.', chr(1)) AS x FROM documents) SELECT doc_id, md5(regexp_replace(x, '[\\x{1}-\\x{8}\\x{B}\\x{C}\\x{E}-\\x{1F}]', chr(65533), 'g')) AS replaced, md5(regexp_replace(x, '[\\x{1}-\\x{8}\\x{B}\\x{C}\\x{E}-\\x{1F}]', '', 'g')) AS removed, (length(x) - length(replace(x, chr(1), '')))::BIGINT AS n_invalid FROM t")
+_DIRTY = "replace(replace(text, '.', chr(1)), ',', chr(131070))"
+_BAD = "[\\x{1}-\\x{8}\\x{B}\\x{C}\\x{E}-\\x{1F}\\x{1FFFE}]"
+
+
+@query(f"WITH t AS (SELECT doc_id, {_DIRTY} AS x FROM documents) SELECT doc_id, md5(regexp_replace(x, '{_BAD}', chr(65533), 'g')) AS replaced, md5(regexp_replace(x, '{_BAD}', '', 'g')) AS removed, (length(x) - length(replace(replace(x, chr(1), ''), chr(131070), '')))::BIGINT AS n_invalid FROM t")
 def invalid_chars_clean(spark, sf_dir):
     text = F.col("text")
     return dirty(spark, sf_dir).select("doc_id", F.md5(chars.transform(text)).alias("replaced"), F.md5(chars.transform(text, chars.TransformConfig("removal"))).alias("removed"), chars.invalid_count(text).cast("long").alias("n_invalid"))
 
 
+@query(f"SELECT doc_id, md5(replace(replace(text, '.', '&#1;'), ',', '&#131070;')) AS escaped, md5(replace({_DIRTY}, chr(1), '<1>')) AS mapped, md5({_DIRTY}) AS preserved, CASE WHEN contains(text, '.') THEN 'Control character: U+0001' END AS reason FROM documents")
+def char_strategies(spark, sf_dir):
+    """Escape, custom mapping and preservation, and the reason of the first change to a control character."""
+    text = F.col("text")
+    mapped = chars.transform(text, chars.TransformConfig("preservation", mappings={"\x01": "<1>"}))
+    reason = F.when(text.contains("\x01"), chars.issue(F.ascii(F.lit("\x01"))))
+    return dirty(spark, sf_dir).select("doc_id", F.md5(chars.transform(text, chars.TransformConfig("escape"))).alias("escaped"), F.md5(mapped).alias("mapped"), F.md5(chars.transform(text, chars.TransformConfig("preservation"))).alias("preserved"), reason.alias("reason"))
+
+
+@query("SELECT n_nationkey AS doc_id, n_nationkey % 3 = 0 AS valid, CASE n_nationkey % 3 WHEN 0 THEN '' WHEN 1 THEN 'invalid start byte at byte 1; unexpected end of data at byte 3' ELSE 'invalid continuation byte at byte 0' END AS issues FROM nation")
+def utf8_issues(spark, sf_dir):
+    """UTF-8 validity and the places of what is wrong, of three contents."""
+    key = F.col("n_nationkey")
+    content = F.when(key % 3 == 0, F.unhex(F.lit("63C3A9"))).when(key % 3 == 1, F.unhex(F.lit("61FF62E282"))).otherwise(F.unhex(F.lit("C32841")))
+    found = table(spark, sf_dir, "nation").select(key.alias("doc_id"), chars.utf8_validity(content).alias("v"))
+    return found.select("doc_id", "v.valid", F.array_join("v.issues", "; ").alias("issues"))
+
+
 @query("WITH t AS (SELECT lang, length(text) - length(replace(text, '.', '')) AS n FROM documents) SELECT lang, count(*) FILTER (n = 0) AS clean, count(*) FILTER (n BETWEEN 1 AND 9) AS few, count(*) FILTER (n > 9) AS many FROM t GROUP BY lang")
 def invalid_char_histogram(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("lang", chars.invalid_count(F.translate("text", ".", "\x01")).alias("n"))
@@ -260,10 +284,48 @@ def block_decision(spark, sf_dir):
     return security.decisions(pages, "page_id", "permissive", types=_RE2_TYPES)
 
 
-@query()
+#: Hostile texts for the patterns that need Java's engine, by the remainder of a key.
+_STRUCTURAL = (
+    F.concat(F.lit("<b>"), F.repeat(F.lit("<b>x</b>"), 12), F.lit("</b>")),
+    F.concat(F.lit("<w"), F.repeat(F.lit(" a='1'"), 25), F.lit(">")),
+    F.concat(F.lit("<w>"), F.repeat(F.lit("."), 10_000), F.lit("</w>")),
+    F.repeat(F.lit("<n> "), 250),
+    F.concat(F.lit("<w"), F.repeat(F.lit(' a="1"'), 200), F.lit(">")),
+    F.concat(F.lit("<d>"), F.repeat(F.lit("QUJD"), 250), F.lit("==</d>")),
+    F.lit('<d encoding="gzip">content-encoding: deflate</d>'),
+    F.lit("<b><b>x</b></b>"),
+)
+_STRUCTURAL_ANSWERS = answers.values((
+    (0, "quadratic_blowup", 1, "medium"), (1, "quadratic_blowup", 2, "medium"), (2, "resource_exhaustion", 1, "high"), (3, "resource_exhaustion", 2, "high"), (4, "quadratic_blowup", 2, "medium"),
+    (4, "resource_exhaustion", 3, "high"), (5, "zip_bomb", 1, "critical"), (6, "zip_bomb", 2, "critical"), (6, "zip_bomb", 3, "critical"),
+), "kind, attack_type, pattern_no, threat_level")
+
+
+@query(f"SELECT attack_type, pattern_no, threat_level, count(*) AS n_documents, count(*) AS n_matches FROM customer JOIN {_STRUCTURAL_ANSWERS} ON c_custkey % 8 = kind GROUP BY ALL")
 def threats_structural(spark, sf_dir):
     """The patterns that need Java's engine: back references, possessive and long repetitions."""
-    return security.audit(security.scan(hostile(spark, sf_dir), "page_id", types=("quadratic_blowup", "resource_exhaustion", "zip_bomb")))
+    text = F.lit("")
+    for k, t in enumerate(_STRUCTURAL):
+        text = F.when(F.col("c_custkey") % 8 == k, t).otherwise(text)
+    docs = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), text.alias("content"))
+    found = security.scan(docs, "doc_id", types=("quadratic_blowup", "resource_exhaustion", "zip_bomb"))
+    return found.groupBy("attack_type", "pattern_no", "threat_level").agg(F.count("*").alias("n_documents"), F.sum("n_matches").alias("n_matches"))
+
+
+@query("SELECT n_nationkey AS doc_id, CASE n_nationkey % 3 WHEN 0 THEN 1 ELSE 0 END AS n FROM nation WHERE n_nationkey % 3 = 0")
+def threats_nested_entities(spark, sf_dir):
+    """Entities of three references, beside a lone ampersand; two references, or three ampersands, are none."""
+    key = F.col("n_nationkey")
+    text = F.when(key % 3 == 0, F.lit('<!ENTITY x "a & b &c; &d; & &e; f">')).when(key % 3 == 1, F.lit('<!ENTITY x "&c; & &d;">')).otherwise(F.lit('<!ENTITY x "& & &">'))
+    found = security.scan(table(spark, sf_dir, "nation").select(key.alias("doc_id"), text.alias("content")), "doc_id", types=("billion_laughs",))
+    return found.where("pattern_no = 3").select("doc_id", F.col("n_matches").alias("n"))
+
+
+@query(f"WITH p AS (SELECT page_id, {_HTML} AS h FROM pages), t AS ({_SCAN}), b AS (SELECT page_id, bool_or(threat_level IN ('critical', 'high')) AS blocked FROM t WHERE n > 0 GROUP BY page_id), c AS (SELECT attack_type, count(*) AS n FROM t WHERE n > 0 GROUP BY 1) SELECT count(*) AS total_requests, count(*) FILTER (blocked) AS blocked_requests, round(count(*) FILTER (blocked) / count(*), 6) AS block_rate, (SELECT sum(n) FROM c) AS threats_detected, (SELECT '{{' || string_agg('\"' || attack_type || '\":' || n, ',' ORDER BY attack_type) || '}}' FROM c) AS threat_types FROM p LEFT JOIN b USING (page_id)")
+def security_statistics(spark, sf_dir):
+    pages = hostile(spark, sf_dir)
+    found = security.statistics(security.decisions(pages, "page_id", "strict", types=_RE2_TYPES), security.scan(pages, "page_id", types=_RE2_TYPES))
+    return found.withColumn("block_rate", F.round("block_rate", 6)).withColumn("threat_types", F.to_json("threat_types"))
 
 
 @query(r"""WITH r AS (SELECT page_id, CASE WHEN regexp_matches(html, '[\x01-\x08\x0B\x0C\x0E-\x1F]') THEN 'control_characters' WHEN list_max(list_transform(string_split(html, chr(10)), lambda l: length(l))) > 100000 THEN 'line_too_long'
@@ -552,6 +614,115 @@ def malformed_issues(spark, sf_dir):
     return validate.validate(parse.parse(malformed(spark, sf_dir)), "pedantic").select("doc_id", "issue_type", "severity", "message")
 
 
+# ---- summaries, quick lexing and changes of documents
+
+
+@query(oracle.RESULTS)
+def result_summaries(spark, sf_dir):
+    """Parsing statistics, diagnostics by severity and component, repairs by type, confidence breakdown."""
+    parsed = parse.parse(pages(spark, sf_dir), want=("elements", "diagnostics", "documents"))
+    found = parse.result_summary(parsed)
+    maps = ("diagnostics_by_severity", "diagnostics_by_component", "repair_types")
+    rounded = {c: F.round(c, 6) for c in ("confidence", "repair_impact_on_confidence")} | {c: F.to_json(c) for c in maps}
+    return found.withColumns(rounded).withColumn("overall_confidence", F.round("confidence_breakdown.overall_confidence", 6)).drop("confidence_breakdown")
+
+
+@query(f"WITH i AS ({answers.ISSUES_SQL}), n AS (SELECT doc_id, count(*) FILTER (severity = 'ERROR') AS e, count(*) FILTER (severity = 'WARNING') AS w FROM i GROUP BY 1), d AS ({answers.DOCUMENTS_SQL}) SELECT doc_id, coalesce(e, 0) = 0 AS valid, coalesce(e, 0) AS error_count, coalesce(w, 0) AS warning_count, CASE WHEN e > 0 THEN 1 - least(0.9, 0.1 * e) WHEN w > 0 THEN 1 - least(0.5, 0.05 * w) ELSE 1.0 END::DOUBLE AS confidence FROM d LEFT JOIN n USING (doc_id)")
+def validation_verdicts(spark, sf_dir):
+    return validate.verdicts(parse.parse(malformed(spark, sf_dir)), "pedantic").withColumn("confidence", F.round("confidence", 6))
+
+
+@query("SELECT n_nationkey::BIGINT AS doc_id, true AS success, 1.0::DOUBLE AS confidence, 3 AS total_optimizations, 5 AS elements_affected, 1622 AS memory_saved_bytes, 4 AS elements_processed FROM nation")
+def optimization_summaries(spark, sf_dir):
+    return optimize.optimization_summary(trees(nations(spark, sf_dir)))
+
+
+@query("SELECT n_nationkey::BIGINT AS doc_id, tag, n_children, attrs FROM nation, (VALUES ('nation', 1, 'id,region'), ('name', 0, '')) AS v(tag, n_children, attrs)")
+def optimized_elements(spark, sf_dir):
+    """What is left of each document after all passes."""
+    return optimize.optimize(trees(nations(spark, sf_dir))).select("doc_id", "tag", "n_children", F.array_join("attrs.name", ",").alias("attrs"))
+
+
+@query("""SELECT n_nationkey::BIGINT AS doc_id, '<nation id="' || n_nationkey || '" region="' || n_regionkey || '" memo=""><name>' || n_name || '</name><added>' || n_regionkey || '</added><note/><empty/></nation>' AS content FROM nation""")
+def child_inserted(spark, sf_dir):
+    """A new child at the second place, then the document as XML."""
+    changed = nav.with_child(trees(nations(spark, sf_dir)), F.lit(0), "added", parse.attribute_in(F.get("elements", 0)["attrs"], "region"), F.lit(1))
+    return serialize.serialize_parsed(changed, "xml", serialize.Output(declaration=False))
+
+
+@query("SELECT n_nationkey::BIGINT AS doc_id, 3 AS n, 'note,empty' AS others FROM nation")
+def subtree_removed(spark, sf_dir):
+    """Documents without the subtree of their name."""
+    e = trees(nations(spark, sf_dir))
+    left = nav.without(e, nav.find_all(e, "name").select("doc_id", "node_id"))
+    return left.groupBy("doc_id").agg(F.count("*").alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("depth") > 0, F.struct("node_id", "tag")))), lambda x: x["tag"]), ",").alias("others"))
+
+
+@query("SELECT n_nationkey::BIGINT AS doc_id, 'nation' AS tag, n_regionkey::VARCHAR AS region FROM nation WHERE n_nationkey = 3")
+def nav_by_id(spark, sf_dir):
+    return nav.element_by_id(trees(nations(spark, sf_dir)), "3").select("doc_id", "tag", parse.attribute("region").alias("region"))
+
+
+@query("SELECT o_custkey AS doc_id, o_orderpriority AS text FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS k FROM orders JOIN customer ON o_custkey = c_custkey) WHERE k = 1")
+def nav_first_child(spark, sf_dir):
+    """The first child of each customer's first order."""
+    e = parse.elements(customers(spark, sf_dir), tags=["priority"])
+    found = nav.first_child(e, "order", "priority")
+    return found.groupBy("doc_id").agg(F.min_by("text", "parent_node").alias("text"))
+
+
+@query("WITH o AS (SELECT o_custkey FROM orders JOIN customer ON o_custkey = c_custkey) SELECT * FROM (SELECT '/customer/orders/order' AS parent_path, 2 * count(*) AS n FROM o UNION ALL SELECT '/customer/orders', count(*) FROM o UNION ALL SELECT '/customer', 2 * count(DISTINCT o_custkey) FROM o) ORDER BY n DESC LIMIT 5")
+def top_parent_paths(spark, sf_dir):
+    return nav.top_parent_paths(parse.elements(customers(spark, sf_dir)))
+
+
+@query("SELECT l_returnflag AS flag, count(*) AS n, round(sum(round(l_extendedprice, 2) * l_quantity), 0) AS total FROM lineitem GROUP BY 1")
+def price_times_quantity(spark, sf_dir):
+    """Money of each flag, from records whose prices have a currency sign and thousands' commas."""
+    item = xml("item", F.concat(xml("price", F.concat(F.lit("$"), F.format_number("l_extendedprice", 2))), xml("quantity", F.col("l_quantity").cast("string"))), flag=F.col("l_returnflag"))
+    docs = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("doc_id")).agg(xml("order", F.array_join(F.collect_list(item), "")).alias("content"))
+    r = nav.records(parse.elements(docs), "item", ("price", "quantity"), ("flag",))
+    return r.groupBy("flag").agg(F.count("*").alias("n"), F.round(F.sum(nav.number(F.col("price")) * nav.number(F.col("quantity"))), 0).alias("total"))
+
+
+_QUICK = ('<note id="{k}">{n}</note>', '<a data-id="{k}" t=\'q\'>{n} <br/> </a>', "<a>{n}<b>x</b></a>", "<a b=c>{n}</a>")
+_QUICK_ANSWERS = answers.values((
+    (0, "TAG_START=<|TAG_NAME=note|ATTR_NAME=id|ATTR_VALUE={k}|TAG_END=>|TEXT={n}|TAG_START=</|TAG_NAME=note|TAG_END=>"),
+    (1, "TAG_START=<|TAG_NAME=a|ATTR_NAME=id|ATTR_VALUE={k}|ATTR_NAME=t|ATTR_VALUE=q|TAG_END=>|TEXT={n} |TAG_START=<|TAG_NAME=br/|TAG_END=>|TAG_START=</|TAG_NAME=a|TAG_END=>"),
+), "kind, tokens")
+
+
+@query(f"SELECT n_nationkey AS doc_id, {answers.filled('tokens')} AS tokens FROM nation JOIN {_QUICK_ANSWERS} ON n_nationkey % 4 = kind")
+def quick_tokens(spark, sf_dir):
+    """The quick lexer takes well-formed documents without touching tags and quotes left out; it leaves the others."""
+    text = F.lit("")
+    for k, t in enumerate(_QUICK):
+        text = F.when(F.col("n_nationkey") % 4 == k, F.lit(t.replace("{n}<b>x</b>", "{n}<b></b>"))).otherwise(text)
+    text = F.replace(F.replace(text, F.lit("{n}"), F.col("n_name")), F.lit("{k}"), F.col("n_nationkey").cast("string"))
+    found = tokens.quick(table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("doc_id"), text.alias("content")), "doc_id", "content")
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", F.concat("type", F.lit("="), "value").alias("t")))), lambda x: x["t"]), "|")
+    return found.groupBy("doc_id").agg(joined.alias("tokens"))
+
+
+@query(oracle.WINDOWS)
+def quality_windows(spark, sf_dir):
+    """Quality by event-time window, the streaming aggregation on a static table."""
+    timed = pages(spark, sf_dir).withColumn("ts", F.timestamp_seconds(F.lit(1_700_000_000) + 37 * F.col("doc_id")))
+    found = stream.quality_by_window(stream.summaries(timed, "doc_id", "content", "ts"), "ts")
+    return found.select(F.unix_timestamp("window_start").alias("window_start"), "n_documents", F.round("mean_confidence", 6).alias("mean_confidence"), "repairs", "failures")
+
+
+@query(oracle.RECOVERY_REPORT)
+def recovery_report(spark, sf_dir):
+    found = recovery.detailed_report(recovery.history(parse.tokens(broken(spark, sf_dir))))
+    return found.select("total_entries", F.round("overall_success_rate", 6).alias("overall_success_rate"), F.round("average_confidence", 6).alias("average_confidence"), *[F.to_json(c).alias(c) for c in ("strategy_counts", "strategy_success_rates", "error_types", "confidence_distribution")])
+
+
+@query("""SELECT n_nationkey::BIGINT AS doc_id, '{' || chr(10) || '  "nation": {' || chr(10) || '    "@id": "' || n_nationkey || '",' || chr(10) || '    "@region": "' || n_regionkey || '",' || chr(10) || '    "@memo": "",' || chr(10) || '    "name": {' || chr(10) || '      "#text": "' || n_name || '"' || chr(10) || '    },' || chr(10) || '    "note": {},' || chr(10) || '    "empty": {}' || chr(10) || '  }' || chr(10) || '}' AS content FROM nation""")
+def json_pretty(spark, sf_dir):
+    return serialize.serialize_parsed(trees(nations(spark, sf_dir)), "json_pretty")
+
+
 # ---- relational extras over markup
 
 
