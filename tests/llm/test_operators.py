@@ -1,15 +1,18 @@
 import collections
 import hashlib
 import json
+import math
+import os
 import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import same_rows
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from pyspark.sql import Row
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from markgrove.llm import bpe, chat, classifier, common, embedding_dedup, lm_scoring, minhash, mixing, pii, quality_rules, warc
@@ -33,6 +36,10 @@ def edited(t, seed, n=1):
     return " ".join(w)
 
 
+#: Columns with the names of results and of internals.
+CLASHES = [f"{k} AS {n}" for k, n in enumerate("kept copy_no shuffle_key row id key size part block rows of cdf blocks u spans n_words place grade ids decoded class_id content digest".split())]
+
+
 def odd_docs(spark):
     """Nulls in any column, empty and long texts, ties, repeated rows."""
     a = text(1)
@@ -52,11 +59,13 @@ def test_query_matches_sql(spark, sf, duck, name):
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - {"op2_hnsw_dedup", "op6_warc_segments", "op10_tool_calls"}))
 def test_odd_and_empty_documents(spark, tmp_path, sf, name):
     d = str(tmp_path)
-    odd_docs(spark).selectExpr("*", "lang AS kept").write.parquet(f"{d}/documents.parquet")
+    odd_docs(spark).selectExpr("*", *CLASHES).write.parquet(f"{d}/documents.parquet")
     spark.createDataFrame([(1, 1, 0), (2, 0, 0), (3, None, 1), (None, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
     rows = QUERIES[name](spark, d).collect()
     if name != "op1_poisson_mix":
         assert len(rows) == 14
+    else:
+        assert {"copy_no", "copy_no_", "shuffle_key", "shuffle_key_"} <= set(rows[0].asDict())
     empty = f"{d}/none"
     spark.createDataFrame([], DOCS).write.parquet(f"{empty}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{empty}/labels.parquet")
@@ -96,15 +105,29 @@ def test_poisson_cdf(spark):
     assert spark.range(1).select(mixing.poisson_cdf(F.lit(0.0))).first()[0] == [1.0]
 
 
-def test_mix_refuses_clashing_names(spark):
-    with pytest.raises(ValueError):
-        mixing.mix(spark.createDataFrame([(1, "a", "s", 1)], "doc_id long, text string, source string, copy_no long"))
+def test_large_rates_are_dealt_in_blocks(spark):
+    # one small source beside a large one: its document is copied about a million times, in blocks of a bounded rate
+    docs = spark.createDataFrame([(1, "a", "s"), (2, "b" * 2_000_000, "t"), (3, None, "u")], "doc_id long, text string, source string")
+    mixed = mixing.mix(docs)
+    n = {r["doc_id"]: r["count"] for r in mixed.groupBy("doc_id").count().collect()}
+    assert abs(n[1] / 1_000_000 - 1) < 0.01 and mixed.where("doc_id = 1").select("copy_no").distinct().count() == n[1]
+    sizes = [r[0] for r in mixed.selectExpr("spark_partition_id() AS p").groupBy("p").count().select("count").collect()]
+    assert max(sizes) < 1.2 * sum(sizes) / len(sizes)
+
+
+def test_equal_rows_are_dealt_evenly(spark):
+    docs = spark.createDataFrame([(None, None, "s")] * 900 + [(7, "x", "s")] * 900, "doc_id long, text string, source string")
+    mixed = mixing.mix(docs, epochs=20.0)
+    sizes = [r[0] for r in mixed.selectExpr("spark_partition_id() AS p").groupBy("p").count().select("count").collect()]
+    assert len(sizes) == 2 and max(sizes) < 1.1 * sum(sizes) / 2
+    assert len({r["count"] for r in mixed.groupBy("doc_id").count().collect()}) <= 2
 
 
 # ---- 2
 
 
 def brute_links(rows):
+    """(vec_id, links, least vec_id reachable) of every row that has an id, each row a vector of its own."""
     ids = [r[0] for r in rows]
     n, comp = [0] * len(rows), list(range(len(rows)))
 
@@ -131,8 +154,7 @@ def brute_links(rows):
     return sorted((ids[i], n[i], least[top(i)]) for i in range(len(rows)) if ids[i] is not None)
 
 
-def test_hnsw_against_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(embedding_dedup, "SHARD", 100)
+def some_vectors():
     rng = np.random.default_rng(3)
     rows, k = [], 0
     for label in range(3):
@@ -142,14 +164,47 @@ def test_hnsw_against_brute_force(spark, monkeypatch):
                 v = center + rng.normal(size=16) * rng.choice([0.02, 0.1, 0.25])
                 rows.append((k, [float(np.float32(x)) for x in v], label))
                 k += 1
+    return rows, k
+
+
+def test_hnsw_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(embedding_dedup, "SHARD", 100)
+    monkeypatch.setattr(embedding_dedup, "SHARD_BYTES", 1)
+    rows, k = some_vectors()
     rows += [(k + i, rows[0][1], 0) for i in range(3)] + [(k + 3, [0.0] * 16, 0), (k + 4, None, 0), (k + 5, [None] + [1.0] * 15, 0), (k + 6, [float("nan")] * 16, 1), (k + 7, rows[0][1], None), (k + 8, [], 2), (None, rows[0][1], 0)]
-    out = embedding_dedup.classes(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").selectExpr("*", "1 AS rep", "2 AS node", "3 AS same", "4 AS n_links", "5 AS times", "6 AS dim", "7 AS kept")
+    out = embedding_dedup.classes(frame).collect()
     assert len(out) == len(rows)
     assert sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in out if r["vec_id"] is not None) == brute_links(rows)
     assert all(r["kept"] == (r["vec_id"] == r["component_id"]) for r in out)
     assert embedding_dedup.classes(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).collect() == []
 
 
+@pytest.mark.parametrize("shard", [40, 8192])
+def test_hnsw_with_repeated_ids(spark, monkeypatch, shard):
+    # ids repeat with different and equal vectors, within and across labels
+    monkeypatch.setattr(embedding_dedup, "SHARD", shard)
+    monkeypatch.setattr(embedding_dedup, "SHARD_BYTES", 1)
+    rows, k = some_vectors()
+    rows = [(i % 97, v, label) for i, v, label in rows] + [(i % 31, v, label) for i, v, label in rows[:50]] + [rows[5]] * 3 + [(5, rows[0][1], 1), (5, rows[0][1], 2), (6, rows[0][1], 1), (7, rows[0][1], 2)]
+    out = embedding_dedup.classes(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()
+    assert sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in out) == brute_links(rows)
+
+
+def test_hnsw_recall_of_each_unit():
+    rng = np.random.default_rng(11)
+    for n, groups in ((300, 0), (1500, 40), (2500, 3)):
+        v = rng.normal(size=(n, 24))
+        for g in range(groups):
+            at = rng.choice(n, size=int(rng.integers(2, 60)), replace=False)
+            v[at] = v[at[0]] + 0.03 * rng.normal(size=(len(at), 24))
+        v, ids = embedding_dedup.unit(v), np.arange(n) * 3
+        graph = embedding_dedup.Graph(v.astype(np.float32), embedding_dedup._levels(ids)).build()
+        counts, _, _ = embedding_dedup.search_unit(graph, ids, np.ones(n, dtype=np.int64), v, v, ids, 0.98)
+        truth = ((v @ v.T) >= 0.98).sum(axis=1) - 1
+        assert (counts <= truth).all() and counts.sum() >= 0.99 * truth.sum() and np.mean(counts[truth > 0] / truth[truth > 0]) > 0.99 if groups else not truth.any()
+
+
 def test_hnsw_recall_of_a_large_group():
     # 600 vectors around one center, 900 others
     rng = np.random.default_rng(5)
@@ -258,6 +313,65 @@ def test_added_spans_and_masking(spark):
     assert found[2]["base_sha256"] == hashlib.sha256(b"").hexdigest() and found[3]["spans"] == ""
 
 
+CUES = {"iban": "iban", "ssn": "ssn|social security", "account": "account|acct", "secret": "token|secret|password|passwd|api_key|apikey|api-key"}
+
+
+def brute_added(t):
+    """The added kinds by plain search: every cue in turn, every end of an account tried."""
+    out = []
+    for kind, cues in CUES.items():
+        until = 0
+        for m in re.finditer(f"(?=({cues}))", t, re.I | re.A):
+            a = m.start()
+            if a and t[a - 1].isalnum():
+                continue
+            # cues that begin at one place end one after another
+            for cue in sorted((c for c in cues.split("|") if t[a : a + len(c)].lower() == c), key=len):
+                rest, at = t[a + len(cue) :], a + len(cue)
+                if kind == "secret":
+                    if (x := re.match(r"(?: is)?\s{0,2}[:=]\s{0,2}[\"']?([A-Za-z0-9_+/=.~-]+)", rest)) and at + x.start(1) >= until:
+                        until = at + x.end(1)
+                        if len(x[1]) >= 16 and any(c in "0123456789" for c in x[1]):
+                            out.append((kind, at + x.start(1), until))
+                    continue
+                span = None
+                if kind == "ssn":
+                    x = re.match(r"(?: (?:number|no\.?))?[ :#=]{0,3}(\d{3}[- ]\d{2}[- ]\d{4})(?!\d)", rest, re.A)
+                    span = x and (at + x.start(1), at + x.end(1))
+                elif kind == "account":
+                    x = re.match(r"(?: (?:number|no\.?))?[ :#=]{1,3}(\d{6,17})(?![0-9A-Za-z])", rest, re.A)
+                    span = x and (at + x.start(1), at + x.end(1))
+                elif x := re.match(r"[ :#.-]{0,3}([A-Z]{2}\d{2}(?: ?[A-Z0-9]){11,30})", rest, re.A):
+                    b = at + x.start(1)
+                    ends = [e for e in range(b + 15, at + x.end(1) + 1) if t[e - 1] != " " and not (e < len(t) and t[e].isascii() and t[e].isalnum())]
+                    good = [e for e in ends if 15 <= len(c := t[b:e].replace(" ", "")) <= 34 and int("".join(str("0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ".index(y)) for y in c[4:] + c[:4])) % 97 == 1]
+                    own = [e for e in good if len(t[b:e].replace(" ", "")) == pii.IBAN_SIZES.get(t[b : b + 2])]
+                    span = (b, (own or good)[-1]) if good else None
+                if span and span[0] >= until:
+                    until = span[1]
+                    out.append((kind, *span))
+    for m in re.finditer("://", t):
+        if m.start() and t[m.start() - 1].isalpha() and (x := re.match(r"[^\s:/@?#]+:[^\s/@?#]+@", t[m.end() :])):
+            out.append(("url_login", m.end(), m.end() + x.end()))
+    return out
+
+
+PARTS = ["IBAN ", "iban:", "Iban", "SSN ", "social security no. ", "Account number: ", "acct#", "token=", "ApiKey: ", "PASSWORD is ", "api_key='", "https://", "a", " ", "DE89370400440532013000", "DE89 3704 0044 0532 0130 00", "GB82WEST12345698765432", "BIC", "078-05-1120", "078 05 11201", "123456", "12345678901234567890", "abcdef0123456789XY", "user:pw@host", "x:y", "@", "é", ".", "\n"]
+
+
+@settings(max_examples=500, deadline=None)
+@given(st.lists(st.sampled_from(PARTS), max_size=7).map("".join))
+def test_added_spans_against_brute_force(t):
+    assert [s for s in pii.spans_of(t) if s[0] not in BASE] == brute_added(t)
+
+
+def test_cues_in_any_case_and_length_changing_letters():
+    for cue in ("ApiKey", "apiKEY", "API_key", "PassWord"):
+        assert [s[0] for s in pii.spans_of(f"İİ {cue}=abcdef0123456789abcdef")] == ["secret"]
+    t = "İ token=abcdef0123456789abcdef"
+    assert pii.masked(t, pii.spans_of(t)) == "İ token=[SECRET]"
+
+
 def test_long_secrets_and_logins_whole():
     for n in (16, 512, 513, 5000):
         t = "token: " + "a1" * (n // 2) + "b" * (n % 2) + " end"
@@ -328,7 +442,7 @@ def test_registered_trigrams(spark, tmp_path):
 
     texts = ["a b c d", "x a b c", "b c d a b c", None]
     spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], DOCS).write.parquet(f"{tmp_path}/documents.parquet")
-    out = {r["doc_id"]: (r["n_words"], r["n_backed_off"], r["score_micronats"]) for r in __spark_entry__.queries()["op5_stupid_backoff_order3"](spark, str(tmp_path)).collect()}
+    out = {r["doc_id"]: (r["n_words"], r["n_backed_off"], r["score_micronats"]) for r in __spark_entry__.queries()["op5_stupid_backoff"](spark, str(tmp_path)).collect()}
     for i, (n, off, s) in enumerate(brute_scores(texts, 3)):
         assert out[i][:2] == (n, off) and abs(out[i][2] - s) <= n
 
@@ -340,6 +454,19 @@ def test_packing_round_trip():
     assert lm_scoring.unpack_sorted(lm_scoring.pack_sorted(keys[:1])).tolist() == keys[:1].tolist()
     counts = np.array([1, 254, 255, 256, 10**9, 0])
     assert (lm_scoring.unpack_counts(lm_scoring.pack_counts(counts)) == counts).all()
+    for width in (1, 7, 9, 20, 40, 63):
+        keys = np.unique(rng.integers(0, 1 << width, 300, dtype=np.uint64))
+        assert (lm_scoring.unpack_sorted(lm_scoring.pack_sorted(keys)) == keys).all()
+
+
+def test_blocks_are_bounded_whatever_documents_hold(spark, monkeypatch):
+    monkeypatch.setattr(lm_scoring, "BLOCK_BYTES", 1000)
+    docs = spark.createDataFrame([(None, "same head " * 9)] * 200 + [(1, "y " * 4000), (2, None), (3, "")], "doc_id long, text string")
+    rows = [lm_scoring._unpacked(pa.table({"rows": [r["rows"]]})).column("text").to_pylist() for r in lm_scoring._blocks(docs).collect()]
+    assert sum(map(len, rows)) == 203 and all(len(b) == 1 or sum(len(t or "") for t in b) <= 1000 + 90 for b in rows) and len(rows) >= 19
+    texts = [t for b in rows for t in b]
+    out = lm_scoring.score(docs).collect()
+    assert sorted((r["n_words"], r["n_backed_off"]) for r in out) == sorted((n, off) for n, off, _ in brute_scores(texts, 3))
 
 
 # ---- 6
@@ -348,7 +475,8 @@ def test_packing_round_trip():
 def test_warc_round_trip(spark):
     long_ = "\r\n0\r\n\r\nWARC/1.1\r\n" + "x€" * 40_000
     rows = [(1, "http://a/1", "short"), (2, "http://a/2", "short"), (3, "u", long_), (4, "u\r\nX: y", long_), (5, None, None), (6, "", ""), (None, "n", long_), (3, "u", long_), (7, "b", "y" * 100), (8, "b", "y" * 100), (9, "c", "é" * 20_000)]
-    out = warc.round_trip(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "1 AS payload", "2 AS digest", "3 AS record_type", "4 AS refers_to", "5 AS record_id", "6 AS kind")
+    out = warc.round_trip(frame).collect()
     assert len(out) == len(rows) and all(r["problem"] is None for r in out)
     got = collections.Counter((r["page_id"], r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in out)
     want = collections.Counter()
@@ -394,6 +522,69 @@ def test_classifier_on_held_out_rows(spark):
     assert all(abs(r["expected_grade"] - 1) <= 1 and 0 <= r["tail_probability"] <= 1 for r in held)
 
 
+def brute_loss(rows, grades, weights, thresholds):
+    """The penalised negative log-likelihood of the cumulative-link model, one row at a time."""
+    total = 0.0
+    for r, g in zip(rows, grades, strict=True):
+        s = sum(weights[i] for i in r)
+        below = [0.0, *(1 / (1 + math.exp(s - t)) for t in thresholds), 1.0]
+        total -= math.log(max(below[g + 1] - below[g], 1e-9))
+    return total / len(rows) + classifier.LASSO * sum(abs(w) for w in weights)
+
+
+def test_fit_against_the_likelihood(monkeypatch):
+    # no small step in any weight or threshold lowers the penalised loss: the optimum, as the loss is convex
+    monkeypatch.setattr(classifier, "FEATURES", 12)
+    monkeypatch.setattr(classifier, "ROUNDS", 20_000)
+    monkeypatch.setattr(classifier, "SETTLED", 1e-12)
+    rng = np.random.default_rng(5)
+    rows = [np.flatnonzero(rng.random(12) < 0.4).astype(np.int32) for _ in range(150)]
+    true = rng.normal(size=12)
+    grades = np.array([int(np.digitize(true[r].sum() + rng.logistic(), [-0.5, 1.0])) for r in rows])
+    weights, thresholds = classifier.fit(rows, grades)
+    least = brute_loss(rows, grades, weights, thresholds)
+    for k in range(12):
+        for step in (-0.02, 0.02):
+            moved = weights.copy()
+            moved[k] += step
+            assert brute_loss(rows, grades, moved, thresholds) > least - 1e-6
+    for k in range(2):
+        for step in (-0.02, 0.02):
+            moved = thresholds.copy()
+            moved[k] += step
+            assert brute_loss(rows, grades, weights, moved) > least - 1e-6
+    assert thresholds[0] < thresholds[1]
+
+
+def test_scores_against_brute_force(spark, sf):
+    docs, labels = common.read(spark, sf, "documents"), common.read(spark, sf, "labels")
+    rated = labels.select("doc_id", classifier.grade(labels["quality"], labels["toxic"]).alias("grade"))
+    weights, thresholds = classifier.train(docs, rated)
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    for r in QUERIES["op7_ordinal_quality"](spark, sf).collect():
+        s = sum(float(np.float32(weights[i])) for i in classifier.features(texts[r["doc_id"]]))
+        above = [1 / (1 + math.exp(t - s)) for t in thresholds]
+        assert abs(r["score"] - s) < 1e-6 and abs(r["expected_grade"] - sum(above)) < 1e-6 and abs(r["tail_probability"] - above[1]) < 1e-6
+        assert r["kept"] == (r["tail_probability"] >= classifier.SELECT)
+
+
+def test_whole_words_make_shapes():
+    assert classifier.shape(b"a1" * 20 + b"X") == "a0" * 20 + "A" and classifier.shape(b"a1" * 20) != classifier.shape(b"a1" * 21)
+
+
+def test_labels_of_other_documents_and_string_ids(spark):
+    docs = spark.createDataFrame([(f"d{i}", text(i) if i % 2 else "bad " * 30) for i in range(40)] + [("d1", text(1))] * 50 + [("d1", text(99))], "doc_id string, text string")
+    labels = [(f"d{i}", i % 2, 0) for i in range(40)]
+    absent = [(f"gone{i}", 1, 1) for i in range(500)]
+    some = spark.createDataFrame(labels + labels + [(None, 1, 1), ("d3", None, 0)], "doc_id string, quality int, toxic int")
+    more = some.union(spark.createDataFrame(absent, some.schema))
+    a, b = (classifier.select(docs, x).orderBy("doc_id", "score").collect() for x in (some, more))
+    assert a == b and {r["kept"] for r in a if r["doc_id"] == "d2"} == {False} and {r["kept"] for r in a if r["doc_id"] == "d3"} == {True}
+    rated = more.select("doc_id", classifier.grade(more["quality"], more["toxic"]).alias("grade"))
+    few = classifier.train(docs, rated, max_labelled=10)
+    assert np.abs(few[0]).sum() > 0  # absent documents take no part of a small sample
+
+
 # ---- 8
 
 
@@ -438,6 +629,44 @@ def test_minhash_against_brute_force(spark, monkeypatch, rounds):
     assert kept.columns == ["doc_id", "text", "class_id", "id"] and sorted(i for i in ids if i is not None) == sorted({*brute_classes(rows).values()}) and ids.count(None) == 1
 
 
+def test_near_copies_move_in_proportion(spark, monkeypatch):
+    # all copies are of one class: the pairs that are verified, and the rows of blocks, grow with the copies, not with their square
+    moved = []
+    table = common.Scratch.table
+
+    def counting(self, df, name):
+        out = table(self, df, name)
+        if name in ("pairs", "rest"):
+            moved.append(out.count())
+        return out
+
+    monkeypatch.setattr(common.Scratch, "table", counting)
+    base, n = text(77, 80), {}
+    for copies in (300, 1200):
+        moved.clear()
+        docs = spark.createDataFrame([(i, edited(base, i, 1)) for i in range(copies)], "doc_id long, text string")
+        out = minhash.classes(docs).collect()
+        assert {r["class_id"] for r in out} == {0}
+        n[copies] = sum(moved)
+    assert n[1200] < 6 * n[300]
+
+
+def test_repeated_ids_keep_their_different_texts(spark):
+    a, b = text(1, 150), text(2, 150)
+    rows = [(7, a, "x"), (7, b, "y"), (7, a, "w"), (3, edited(a, 9, 1), "v"), (8, b, "u"), (None, a, "n"), (None, a, "n")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").selectExpr("*", "1 AS id", "2 AS key", "map('a', 1) AS row", "3 AS digest")
+    kept = sorted((r["doc_id"] or -1, r["lang"]) for r in minhash.keep_one(docs).collect())
+    assert kept == [(-1, "n"), (-1, "n"), (3, "v"), (7, "y")] and minhash.keep_one(docs).columns == docs.columns
+
+
+def test_signatures_of_heavy_weights_are_unbiased():
+    f = minhash.mix64(np.arange(3, dtype=np.uint64) + np.uint64(7)) & minhash.MASK40
+    x, y = np.array([9000, 20_000, 5]), np.array([8999 // 2, 30_000, 5])
+    a, b = (minhash.signatures(np.zeros(3, dtype=np.int64), f, w, 1, 8192)[0] for w in (x, y))
+    true = np.minimum(x, y).sum() / np.maximum(x, y).sum()
+    assert abs((a == b).mean() - true) < 4 * np.sqrt(true * (1 - true) / 8192)
+
+
 def test_signatures_are_unbiased():
     rng = np.random.default_rng(2)
     x, y = rng.integers(0, 9, 80), rng.integers(0, 9, 80)
@@ -478,6 +707,15 @@ def test_bpe_decodes_any_ids():
         assert CODEC.decode(ids) == library().decode(ids, skip_special_tokens=False)
 
 
+@pytest.mark.parametrize("ids", [[-1], [0, 10**6], [5, None]])
+def test_bpe_refuses_other_ids(spark, ids):
+    if None not in ids:
+        with pytest.raises(ValueError):
+            CODEC.decode(ids)
+    with pytest.raises(Exception, match="ids|null"):
+        bpe.decode(spark.createDataFrame([(ids,)], "ids array<int>"), BPE).collect()
+
+
 def test_bpe_query(spark, sf):
     docs = {r["doc_id"]: r["text"] for r in common.read(spark, sf, "documents").collect()}
     for r in QUERIES["op9_bpe"](spark, sf).collect():
@@ -501,6 +739,40 @@ def test_tool_calls(spark):
     assert out["c"]["n_calls"] == 2 and out["q"]["status"] == "orphan" and out["unlinked4"]["name"] == "f" and out["unlinked5"]["valid"] is None
 
 
+def test_canonical_arguments(spark):
+    texts = ['{ "b": 1,  "a":{"z":[1, {"y":2,"x":null}],"c":"q\\u0001\\u000b \\\\u000B é😀"} }', "not json", None, '"s"', "[3, 2]", '{"a":1,"a":2}', "", '{"n":123456789012345678901234567890}']
+    out = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(chat.canonical(F.col("t"))).collect()]
+    assert out == ['{"a":{"c":"q\\u0001\\u000b \\\\u000B é😀","z":[1,{"x":null,"y":2}]},"b":1}', '"not json"', "null", '"s"', "[3,2]", '"{\\"a\\":1,\\"a\\":2}"', '""', '{"n":123456789012345678901234567890}']
+    assert all(json.loads(x) is not ... for x in out)
+
+
+def test_nested_schemas(spark):
+    inner = {"type": "object", "properties": {"k": {"type": "integer", "maximum": 5}}, "required": ["k"], "additionalProperties": False}
+    schema = {"type": "object", "properties": {"o": inner, "l": {"type": "array", "items": {"properties": {"z": {"enum": [1, "a", None]}}, "required": ["z"]}}, "n": {"type": "integer"}, "x'y": {"type": "boolean"}}}
+    cases = {
+        '{"o":{"k":7,"q":1}}': "o.k: too large;o: q: unknown",
+        '{"o":{}}': "o.k: missing",
+        '{"l":[{"z":1},{"z":2},{},{"z":null}]}': "l[].z: not allowed;l[].z: missing",
+        '{"n":12345678901234567890123}': "",
+        '{"n":1.0}': "",
+        '{"n":1.5,"l":{}}': "l: not array;n: not integer",
+        '{"x\'y":1}': "x'y: not boolean",
+        "[1]": "arguments: not object",
+        "nope": "no JSON object",
+    }
+    out = {r[0]: r[1] for r in spark.createDataFrame([(t,) for t in cases], "t string").select("t", chat.violations(F.col("t"), schema)).collect()}
+    assert out == cases
+
+
+def test_odd_conversations_match_sql(spark, duck, tmp_path):
+    rows = [(1, 0, "user", "p"), (1, 0, "user", "p"), (1, 1, "assistant", "r"), (1, 2, "user", "p1"), (1, 2, "user", "p2"), (1, 3, "assistant", "r1"), (1, 3, "assistant", "r2"), (1, 4, "user", "q\x1f\x0b\\u001F")]
+    rows += [(2, 0, "user", "t1"), (2, 0, "system", "t2"), (2, 1, "assistant", "u"), (2, 2, "user", "z"), (None, 1, "user", "x"), (5, None, "user", None), (5, None, "assistant", "k"), (6, 3, None, "k"), (6, 4, "tool", "k" * 3000), (7, -1, "user", "y"), (8, 0, "user", None)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").selectExpr("*", "1 AS call_id", "2 AS name", "3 AS arguments", "4 AS side", "5 AS conflict").write.parquet(f"{tmp_path}/conversations.parquet")
+    con = duck.cursor()
+    con.execute(f"CREATE SCHEMA odd; SET schema = 'odd'; CREATE VIEW conversations AS SELECT * FROM read_parquet('{tmp_path}/conversations.parquet/*.parquet')")
+    same_rows(QUERIES["op10_tool_calls"](spark, str(tmp_path)), con, SQL["op10_tool_calls"])
+
+
 def test_long_chains_and_odd_conversations(spark):
     rows = [(1, t, "user" if t % 2 == 0 else "assistant", f"m{t}") for t in range(300)] + [(2, None, "user", None), (None, 0, None, ""), (3, 0, "system", None), (3, 1, "user", ""), (3, 1, "user", "b"), (3, 9, "assistant", None)]
     out = chat.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
@@ -546,36 +818,82 @@ def test_components(spark, pairs):
 def test_pipeline_against_brute_force(spark, sf):
     docs = {r["doc_id"]: r for r in common.read(spark, sf, "documents").collect()}
 
+    def covered(w, n):
+        """Places in windows of n words that the text holds twice or more."""
+        seen = collections.Counter(tuple(w[i : i + n]) for i in range(len(w) - n + 1))
+        return {p for i in range(len(w) - n + 1) if seen[tuple(w[i : i + n])] > 1 for p in range(i, i + n)}
+
     def passes(t):
         w = t.split()
-        longest = quality_rules.longest_repeats(np.array([hash(x) & 0xFFFFFFFF for x in w], dtype=np.int64), np.full(len(w), len(w)))
-        near = {p for i, m in enumerate(longest) if m >= 3 for p in range(i, i + 3)}
-        far = {p for i, m in enumerate(longest) if m >= quality_rules.REPEAT_WORDS for p in range(i, i + m)}
-        return len(w) >= 50 and 100 * len(near) <= 50 * len(w) and len(far) <= quality_rules.MAX_COVERED * len(w) and max(longest, default=0) <= quality_rules.MAX_LONGEST
+        near, far, long_ = (covered(w, n) for n in (3, quality_rules.REPEAT_WORDS, quality_rules.MAX_LONGEST + 1))
+        return len(w) >= 50 and 100 * len(near) <= 50 * len(w) and len(far) <= quality_rules.MAX_COVERED * len(w) and not long_
+
+    def masked(t):
+        out, at, until = [], 0, -1
+        for a, b, kind in sorted((a, b, k) for k, a, b in brute_spans(t) + brute_added(t)):
+            if a >= until:
+                out += [t[at:a], f"[{kind.upper()}]"]
+            until = at = max(b, until)
+        return "".join([*out, t[at:]])
 
     good = [(i, r["text"]) for i, r in sorted(docs.items()) if passes(r["text"])]
     of = brute_classes(good)
     left = {i: t for i, t in good if of[i] == i}
-    texts = {i: pii.masked(t, pii.spans_of(t)) for i, t in left.items()}
+    texts = {i: masked(t) for i, t in left.items()}
     chars = collections.Counter()
     for i, t in texts.items():
         chars[docs[i]["source"]] += len(t)
     copies = collections.Counter()
     for i in texts:
         s = docs[i]["source"]
-        rate, u, k = sum(chars.values()) / len(chars) / chars[s], (int(hashlib.md5(f"{mixing.SEED}/{i}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52, 0
-        p = cdf = np.exp(-rate)
-        while cdf < u:
-            k += 1
-            p *= rate / k
-            cdf += p
-        copies[i] = k
+        rate = sum(chars.values()) / len(chars) / chars[s]
+        blocks = max(1, math.ceil(rate / mixing.BLOCK_RATE))
+        for b in range(blocks):
+            u, k = (int(hashlib.md5(f"{mixing.SEED}/{i}/b{b}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52, 0
+            p = cdf = np.exp(-rate / blocks)
+            while cdf < u:
+                k += 1
+                p *= rate / blocks / k
+                cdf += p
+            copies[i] += k
     out = corpus_pipeline.run(spark, sf).collect()
     assert collections.Counter(r["doc_id"] for r in out) == +copies
     for r in out:
         assert r["ids"] == library().encode(texts[r["doc_id"]], add_special_tokens=False).ids
 
 
+def test_pipeline_takes_odd_input(spark, tmp_path):
+    d = str(tmp_path)
+    long_ = text(50, 30_000)
+    rows = [(i, text(i, 80), "en", f"s{i % 3}", 1) for i in range(20)]
+    rows += [(1, text(1, 80), "en", "s1", 1), (1, text(60, 80), "en", "s1", 1), (None, text(61, 80), None, None, None), (None, text(61, 80), None, None, None), (30, None, "en", "s", 0), (31, "", "en", "s", 0), (32, long_, "en", "s0", None), (33, edited(long_, 3), "en", "s0", None)]
+    spark.createDataFrame(rows, DOCS).selectExpr("*", *CLASHES).write.parquet(f"{d}/documents.parquet")
+    out = corpus_pipeline.run(spark, d).collect()
+    ids = {r["doc_id"] for r in out}
+    assert out and not ids & {30, 31, 33} and {r["source"] for r in out} <= {"s0", "s1", "s2", None}
+    docs = common.read(spark, d, "documents")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        columns = docs.columns
+        docs = stage(spark, docs, d)
+        assert docs.columns == columns, name
+    spark.createDataFrame([], DOCS).write.parquet(f"{d}/none/documents.parquet")
+    assert corpus_pipeline.run(spark, f"{d}/none").collect() == []
+
+
+def test_pipeline_leaves_its_result_alone_in_scratch(spark, sf, monkeypatch):
+    roots = []
+    init = common.Scratch.__init__
+
+    def noting(self, spark, name):
+        init(self, spark, name)
+        roots.append(self.root)
+
+    monkeypatch.setattr(common.Scratch, "__init__", noting)
+    assert corpus_pipeline.run(spark, sf).count() > 0
+    left = [r for r in roots if os.path.isdir(r) and os.listdir(r)]
+    assert len(roots) > 3 and [os.path.basename(r).split("-")[0] for r in left] == ["pipeline"] and len(os.listdir(left[0])) == 1
+
+
 def test_stages_keep_the_columns_of_documents(spark, sf):
     docs = common.read(spark, sf, "documents")
     for name, stage in corpus_pipeline.STAGES[:-1]:
