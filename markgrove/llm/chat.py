@@ -68,7 +68,7 @@ TYPES = {"string": "^STRING$", "number": "^(BIGINT|DOUBLE|FLOAT|DECIMAL.*)$", "b
 
 def _is(kind: Column, number: Column, wanted: str) -> Column:
     if wanted == "integer":
-        return kind.rlike(TYPES["number"]) & (number == F.floor(number).cast("double"))
+        return kind.rlike(TYPES["number"]) & (number % F.lit(1.0) == 0)
     return kind.rlike(TYPES[wanted])
 
 
