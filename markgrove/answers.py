@@ -117,13 +117,13 @@ NOTES = (
 
 #: Repaired documents, plain and pretty (lines divided by ¶, indents by two spaces), without declaration, of the first cases.
 XML = (
-    (3, "<r>{n}&lt;{k}<a>x</a></r>", "<r>¶  {n}&lt;{k}¶  <a>x</a>¶</r>"),
+    (3, "<r>{n}&lt;{k}<a>x</a></r>", "<r>¶{n}&lt;{k}¶  <a>x</a>¶</r>"),
     (4, '<r><a x="{k}" y="3">{n}</a></r>', '<r>¶  <a x="{k}" y="3">{n}</a>¶</r>'),
     (5, "<r><a>{n}</a><b>t</b></r>", "<r>¶  <a>{n}</a>¶  <b>t</b>¶</r>"),
-    (6, "<r>{n}<br/><a/><t>late</t></r>", "<r>¶  {n}¶  <br/>¶  <a/>¶  <t>late</t>¶</r>"),
-    (7, "<r><!-- {n} - x --><a>y</a></r>", "<r>¶  <!-- {n} - x -->¶  <a>y</a>¶</r>"),
-    (8, "<r><?p {n}?><a>y</a></r>", "<r>¶  <?p {n}?>¶  <a>y</a>¶</r>"),
-    (10, '<r><a href="{n}">x<a>y</a></a></r>', '<r>¶  <a href="{n}">¶    x¶    <a>y</a>¶  </a>¶</r>'),
+    (6, "<r>{n}<br/><a/><t>late</t></r>", "<r>¶{n}¶  <br/>¶  <a/>¶  <t>late</t>¶</r>"),
+    (7, "<r><!-- {n} - x --><a>y</a></r>", "<r>¶<!-- {n} - x -->¶  <a>y</a>¶</r>"),
+    (8, "<r><?p {n}?><a>y</a></r>", "<r>¶<?p {n}?>¶  <a>y</a>¶</r>"),
+    (10, '<r><a href="{n}">x<a>y</a></a></r>', '<r>¶  <a href="{n}">¶x¶    <a>y</a>¶  </a>¶</r>'),
     (12, '<r a="x &gt; {n}" b="&amp;lt;">z</r>', '<r a="x &gt; {n}" b="&amp;lt;">z</r>'),
     (16, "", ""),
 )

@@ -117,16 +117,27 @@ def pattern_key(error_type: str, state: str, around: str) -> str:
 
 
 def detailed_report(entries: DataFrame) -> DataFrame:
-    """One row over a history: entries, rates, and maps (of at most as many keys as there are strategies, kinds of error and bins) of counts and success rates."""
+    """One row over a history: entries, rates, and maps of counts and success rates by strategy, kind of error and confidence bin.
 
-    def counted(label: Column, name: str, value: Column | None = None) -> Column:
-        return F.map_from_entries(F.array_sort(F.collect_list(F.struct(label.alias("key"), (F.col("n") if value is None else value).alias("value"))))).alias(name)
-
-    whole = entries.agg(F.count("*").alias("total_entries"), F.avg(F.col("success").cast("double")).alias("overall_success_rate"), F.avg("confidence").alias("average_confidence"))
-    by_strategy = success_rates(entries).agg(counted(F.col("strategy"), "strategy_counts"), counted(F.col("strategy"), "strategy_success_rates", F.col("success_rate")))
-    by_error = entries.groupBy("error_type").agg(F.count("*").alias("n")).agg(counted(F.col("error_type"), "error_types"))
+    The history is counted once by all three, which leaves as few rows as there are combinations; the maps come from these.
+    """
     bins = F.least(F.lit(4), F.floor(F.col("confidence") * 5)).cast("int").alias("bin")
-    by_bin = entries.groupBy(bins).agg(F.count("*").alias("n")).agg(counted(F.col("bin"), "confidence_distribution"))
-    names = [*whole.columns, "strategy_counts", "strategy_success_rates", "error_types", "confidence_distribution"]
-    parts = whole.unionByName(by_strategy, allowMissingColumns=True).unionByName(by_error, allowMissingColumns=True).unionByName(by_bin, allowMissingColumns=True)
-    return parts.agg(*[F.any_value(n, ignoreNulls=True).alias(n) for n in names])
+    counted = entries.groupBy("strategy", "error_type", bins).agg(F.count("*").alias("n"), F.count_if("success").alias("good"), F.sum("confidence").alias("confidence"))
+    row = counted.agg(F.array_sort(F.collect_list(F.struct("strategy", "error_type", "bin", "n", "good", "confidence"))).alias("c"))
+
+    def total(rows: Column, field: str) -> Column:
+        return F.aggregate(rows, F.lit(0.0), lambda a, x: a + x[field])
+
+    def by(field: str, value) -> Column:
+        names = F.array_sort(F.array_distinct(F.transform("c", lambda x: x[field])))
+        return F.map_from_arrays(names, F.transform(names, lambda k: value(F.filter("c", lambda x: x[field] == k))))
+
+    def n_of(rows: Column) -> Column:
+        return total(rows, "n").cast("long")
+
+    n = total(F.col("c"), "n")
+    return row.select(
+        n.cast("long").alias("total_entries"), F.try_divide(total(F.col("c"), "good"), n).alias("overall_success_rate"), F.try_divide(total(F.col("c"), "confidence"), n).alias("average_confidence"),
+        by("strategy", n_of).alias("strategy_counts"), by("strategy", lambda rows: total(rows, "good") / total(rows, "n")).alias("strategy_success_rates"),
+        by("error_type", n_of).alias("error_types"), by("bin", n_of).alias("confidence_distribution"),
+    )

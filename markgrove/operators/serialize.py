@@ -79,7 +79,7 @@ def to_xml(rows: list[dict], o: Output = Output(), style: str = "xml") -> str:
             continue
         parts = [*(r.get("comments") or [] if o.comments else []), *(r.get("pis") or [] if o.instructions else []), *([text.strip() if style == "xml_minified" else text] if text else [])]
         if pretty and inner:
-            body = "\n".join([*(f"{pad}{o.indent}{p}" for p in parts if p.strip()), *inner])
+            body = "\n".join([*(p for p in parts if p.strip()), *inner])
             done[r["node_id"]] = f"{pad}<{head}>\n{body}\n{pad}</{r['tag']}>"
         else:
             done[r["node_id"]] = f"{pad}<{head}>{''.join([*parts, *inner])}</{r['tag']}>"

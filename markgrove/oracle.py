@@ -125,12 +125,12 @@ XML = f"""{TREE}, pieces AS (
 ), escaped AS (
   SELECT page_id, node, CASE WHEN regexp_matches(text, '&(amp|lt|gt|quot|apos|#[0-9]+|#x[0-9a-fA-F]+);') THEN text ELSE replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') END AS text FROM repaired
 ), inside AS (
-  SELECT e.page_id, e.node, p.post, e.tag, coalesce(h.attrs, '') AS attrs, coalesce(c.text, '') || coalesce(t.text, '') AS body, p.post > e.node OR coalesce(c.text, '') <> '' OR coalesce(t.text, '') <> '' AS filled
+  SELECT e.page_id, e.node, p.post, e.tag, coalesce(h.attrs, '') AS attrs, coalesce(c.text, '') || coalesce(t.text, '') AS body, p.post > e.node OR coalesce(t.text, '') <> '' AS filled
   FROM elements e JOIN posts p USING (page_id, node) LEFT JOIN heads h USING (page_id, node) LEFT JOIN comments c USING (page_id, node) LEFT JOIN escaped t USING (page_id, node)
 ), events AS (
-  SELECT page_id, node AS place, 1 AS kind, node, CASE WHEN p.post > p.node OR length(body) > 0 THEN '<' || tag || attrs || '>' || body ELSE '<' || tag || attrs || '/>' END AS part FROM inside p
+  SELECT page_id, node AS place, 1 AS kind, node, CASE WHEN filled THEN '<' || tag || attrs || '>' || body ELSE '<' || tag || attrs || '/>' END AS part FROM inside p
   UNION ALL
-  SELECT page_id, post, 2, node, '</' || tag || '>' FROM inside WHERE post > node OR length(body) > 0
+  SELECT page_id, post, 2, node, '</' || tag || '>' FROM inside WHERE filled
 ), written AS (
   SELECT page_id, string_agg(part, '' ORDER BY place, kind, -node) AS xml FROM events GROUP BY page_id
 )"""

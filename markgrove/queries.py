@@ -286,14 +286,14 @@ def block_decision(spark, sf_dir):
 
 #: Hostile texts for the patterns that need Java's engine, by the remainder of a key.
 _STRUCTURAL = (
-    F.concat(F.lit("<b>"), F.repeat(F.lit("<b>x</b>"), 12), F.lit("</b>")),
-    F.concat(F.lit("<w"), F.repeat(F.lit(" a='1'"), 25), F.lit(">")),
-    F.concat(F.lit("<w>"), F.repeat(F.lit("."), 10_000), F.lit("</w>")),
-    F.repeat(F.lit("<n> "), 250),
-    F.concat(F.lit("<w"), F.repeat(F.lit(' a="1"'), 200), F.lit(">")),
-    F.concat(F.lit("<d>"), F.repeat(F.lit("QUJD"), 250), F.lit("==</d>")),
-    F.lit('<d encoding="gzip">content-encoding: deflate</d>'),
-    F.lit("<b><b>x</b></b>"),
+    "<b>" + "<b>x</b>" * 12 + "</b>",
+    "<w" + " a='1'" * 25 + ">",
+    "<w>" + "." * 10_000 + "</w>",
+    "<n> " * 250,
+    "<w" + ' a="1"' * 200 + ">",
+    "<d>" + "QUJD" * 250 + "==</d>",
+    '<d encoding="gzip">content-encoding: deflate</d>',
+    "<b><b>x</b></b>",
 )
 _STRUCTURAL_ANSWERS = answers.values((
     (0, "quadratic_blowup", 1, "medium"), (1, "quadratic_blowup", 2, "medium"), (2, "resource_exhaustion", 1, "high"), (3, "resource_exhaustion", 2, "high"), (4, "quadratic_blowup", 2, "medium"),

@@ -278,3 +278,119 @@ def test_char_validity(spark):
     codes = spark.createDataFrame([(c,) for c in (0, 9, 0x1F, 0x20, 0xD800, 0xFFFE, 0x1FFFE, 0x10FFFF)], "c int")
     assert [r[0] for r in codes.select(chars.is_valid_char(F.col("c"))).collect()] == [False, True, False, True, False, False, False, True]
     assert value(spark, chars.utf8_validity(F.lit(b"\xff")))["confidence"] == 0.0
+
+
+#: Queries that parse documents, and the Python passes of each: one kernel, or a chain of them without a join.
+PASSES = {"serialize_pages": 3, "serialize_roundtrip": 2, "json_compact": 2, "json_pretty": 2, "malformed_xml": 2, "child_inserted": 2, "subtree_removed": 2}
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES))
+def test_documents_are_parsed_once(spark, sf, name):
+    plan = QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    passes = plan.count("MapInArrow") + plan.count("FlatMapGroupsInArrow")
+    assert passes <= PASSES.get(name, 1)
+    if passes:
+        own_joins = {"parse_orders_nested", "pivot_records", "nav_children", "nav_by_attribute", "nav_find_all", "nav_paths", "nav_first_child", "ancestors_range_join", "tree_stats", "top_parent_paths"}
+        assert plan.count("Join") == (1 if name in own_joins | {"subtree_removed"} else 0), name  # orders are joined to customers before they are parsed
+
+
+def test_sql_parser_against_the_kernel(spark, duck):
+    """Random tag soup in the language of the SQL parser: the two parsers share no code."""
+    import random
+
+    from markgrove import oracle
+    from markgrove.plans import kernel
+
+    r = random.Random(8)
+    parts = ["<a>", "</a>", "<b x=\"1\">", "</b>", "<p>", "</p>", "<ul>", "<li>", "</li>", "</ul>", "t ", " u", "<i/>", "<!-- c -->", "<div>", "</div>"]
+    docs = [(i, "".join(r.choice(parts) for _ in range(r.randrange(25)))) for i in range(400)]
+    con = duck.cursor()
+    con.execute("CREATE SCHEMA soup; SET schema = 'soup'; CREATE TABLE pages (page_id BIGINT, html VARCHAR)")
+    con.executemany("INSERT INTO pages VALUES (?, ?)", docs)
+    theirs = con.execute(f"WITH RECURSIVE {oracle.TREE} SELECT page_id, node, parent, depth, tag, n_attrs FROM elements ORDER BY 1, 2").fetchall()
+    repairs = con.execute(f"WITH RECURSIVE {oracle.TREE} SELECT page_id, node, tag, repair_type, round(impact::DOUBLE, 6) FROM element_repairs ORDER BY ALL").fetchall()
+    notes = con.execute(f"WITH RECURSIVE {oracle.TREE} SELECT page_id, message, severity FROM notes ORDER BY ALL").fetchall()
+    xml = dict(con.execute(f"WITH RECURSIVE {oracle.XML} SELECT page_id, xml FROM written").fetchall())
+    parsed = {i: kernel.parse(t) for i, t in docs}
+    assert theirs == [(i, k, e.parent if e.parent >= 0 else None, e.depth, e.tag, len(e.attrs)) for i, d in parsed.items() for k, e in enumerate(d.elements)]
+    assert repairs == sorted((i, k, e.tag, x.repair_type, round(x.confidence_impact, 6)) for i, d in parsed.items() for k, e in enumerate(d.elements) for x in e.repairs)
+    assert notes == sorted((i, x.message, x.severity) for i, d in parsed.items() for x in d.diagnostics if "No tokens" not in x.message)
+    frame = spark.createDataFrame(docs, "doc_id long, content string")
+    mine = {row["doc_id"]: row["content"] for row in serialize.serialize_parsed(parse.parse(frame, want=("elements",)), "xml", serialize.Output(declaration=False)).collect()}
+    assert {i: x for i, x in mine.items() if x} == xml
+
+
+def test_inputs_that_cannot_be_read(spark, tmp_path):
+    e = engine.Engine(spark)
+    (tmp_path / "a.dat").write_text("<a><b/></a>")
+    good = e.parse(tmp_path / "a.dat", want=("documents", "diagnostics")).first()
+    assert good["success"] and good["total_elements"] == 2 and [d["severity"] for d in good["diagnostics"]] == ["INFO"]
+    for path, message in ((tmp_path / "none.xml", "File not found"), (tmp_path, "Not a file")):
+        bad = e.parse(path, want=("elements", "documents")).first()
+        assert (bad["success"], bad["confidence"], bad["error_count"]) == (False, 0.0, 1) and bad["diagnostics"][0]["severity"] == "CRITICAL" and message in bad["diagnostics"][0]["message"]
+    assert e.parse("<a/>", correlation_id="x-1").first()["correlation_id"] == "x-1"
+
+
+def test_files_of_a_flat_folder(spark, tmp_path):
+    (tmp_path / "in" / "deep").mkdir(parents=True)
+    for name in ("a.xml", "b.svg", "deep/c.xml"):
+        (tmp_path / "in" / name).write_text("<a/>")
+    assert files.read_files(spark, str(tmp_path / "in")).count() == 3 and files.read_files(spark, str(tmp_path / "in"), recursive=False).count() == 1
+    row = files.parse_files(spark, str(tmp_path / "in")).first()
+    assert row["diagnostics"] == [] and row["input_bytes"] == 4
+
+
+def test_security_events(spark):
+    told = []
+
+    def failing(event):
+        raise RuntimeError("a handler's own fault")
+
+    e = engine.Engine(spark, handlers=(failing, told.append))
+    row = e.audit(e.docs("<?php javascript:"))
+    assert (row["total_requests"], row["blocked_requests"], row["threat_types"]) == (1, 1, {"injection": 2}) and told[0]["type"] == "scan_finished"
+    e.reconfigured(global__security_level="paranoid")
+    assert [t["type"] for t in told] == ["scan_finished", "policy_updated"]
+    found = security.described(security.scan(one(spark, "<?php"), "doc_id")).first()
+    assert found["description"].startswith("XML Injection") and found["mitigation"].startswith("Validate and sanitize")
+
+
+def test_children_are_inserted_in_order(spark):
+    e = parse.parse(one(spark, "<r><a><x/></a><b/></r>"), want=("elements",))
+
+    def xml(frame):
+        return serialize.serialize_parsed(frame, "xml", serialize.Output(declaration=False)).first()["content"]
+
+    assert [xml(nav.with_child(e, F.lit(0), "n", F.lit("t"), F.lit(k))) for k in (0, 1, 2)] == ["<r><n>t</n><a><x/></a><b/></r>", "<r><a><x/></a><n>t</n><b/></r>", "<r><a><x/></a><b/><n>t</n></r>"]
+    assert xml(nav.with_child(e, F.lit(2), "n", F.lit(None).cast("string"))) == "<r><a><x><n/></x></a><b/></r>" and xml(nav.with_child(e, F.lit(None), "n", F.lit("t"))) == "<r><a><x/></a><b/></r>"
+    twice = nav.with_child(nav.with_child(e, F.lit(0), "n", F.lit("1"), F.lit(0)), F.lit(0), "n", F.lit("2"), F.lit(0))
+    assert xml(twice) == "<r><n>2</n><n>1</n><a><x/></a><b/></r>" and nav.descendants(twice, "a").count() == 1
+    with pytest.raises(Exception, match="no such place"):
+        nav.with_child(e, F.lit(0), "n", F.lit("t"), F.lit(3)).collect()
+
+
+def test_element_rows_do_as_nested_ones(spark):
+    frame = parse.parse(one(spark, "<r><a><t id='k'>1</t></a><t>2</t></r>"), want=("elements",))
+    flat = parse.rows(frame)
+    for f in (lambda e: nav.descendants(e, "r", "t"), lambda e: nav.full_text(e, "r"), lambda e: nav.find(e, "r", "t"), lambda e: nav.element_by_id(e, "k").select("node_id"), lambda e: nav.stats(e)):
+        assert sorted(map(str, f(frame).collect())) == sorted(map(str, f(flat).collect()))
+    part = flat.where("node_id != 1")
+    assert nav.descendants(part, "r").count() == 2
+
+
+def test_damped_confidence_and_profile(spark):
+    t = tokens.damped(parse.tokens(one(spark, "<a <b>x"))).where("type = 'SYNTHETIC_CLOSE'").first()
+    assert round(t["confidence"], 6) == 0.79
+    cut = tokens.damped(parse.tokens(one(spark, "<r><![CDATA[x"))).where("type = 'CDATA'").first()
+    assert round(cut["confidence"], 6) == 0.67
+    layers = spark.createDataFrame([("s", "lex", 900.0, 1 << 20, 10), ("s", "build", 600.0, 1 << 20, 9 << 20)], "session_id string, layer_name string, duration_ms double, input_size long, memory_delta long")
+    p = report.profile(layers).first()
+    assert (p["total_duration_ms"], p["slowest_layer"], p["slowest_share"]) == (1500.0, "lex", 0.6) and p["advice"] == ["slow", "low throughput", "most time in lex", "much memory for its input"]
+
+
+def test_other_queries_work_without_the_corpus_operators():
+    import subprocess
+    import sys
+
+    code = "import sys; sys.modules['markgrove.llm'] = None; import __spark_entry__ as e; q = e.queries(); assert 'parse_pages_elements' in q and 'pipeline' not in q and not [n for n in q if n[:2] == 'op' and n[2].isdigit()] and set(e.oracle_sql()) <= set(q)"
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=__file__.rsplit("/tests/", 1)[0])
