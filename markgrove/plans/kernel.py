@@ -61,6 +61,8 @@ QUIRKS = {
     "fixed_prolog": "version, encoding and standalone of the document keep their defaults",
     "cut_long": "tag names are cut to NAME_LIMIT and attribute values to VALUE_LIMIT characters",
     "failing_mismatch": "a close tag that would close more than ten elements is an error and closes none",
+    "doctype_is_text": "of a declaration the first nine characters are lost, the tenth is invalid and the rest is text",
+    "open_self_closed": "a tag that ends with /> stays open, and one without attributes gets a child named _",
     "lost_trailing": "elements after the root's end hang on nothing and are lost",
 }
 
@@ -214,6 +216,10 @@ def lex(text: str, quirks: frozenset[str] = frozenset()) -> list[Token]:
             else:
                 add(Token("TEXT", m[0].replace("<", "&lt;").replace(">", "&gt;"), at, 0.7, fault, m[0]))
             at = m.end()
+        elif "doctype_is_text" in quirks and text.startswith("<!", at) and at + 10 <= n:
+            errors += 1
+            add(Token("INVALID_CHARS", text[at + 9], at + 9, 0.1, ("error_recovery", "declaration", -0.1), text[at : at + 10]))
+            at += 10
         elif text.startswith("<!", at) and (end := declaration_end(text, at, subsets)) >= 0:
             add(Token("DOCTYPE", text[at + 2 : end - 1].strip(), at, raw=text[at:end]))
             at = end
@@ -430,7 +436,10 @@ class Builder:
                         attrs[name], name = tokens[k].value[: VALUE_LIMIT if "cut_long" in self.quirks else None], None
                     k += 1
                 if t.value == "<":
-                    self.open(i, tag, attrs, tokens[k].value == "/>")
+                    alone, kept_open = tokens[k].value == "/>", "open_self_closed" in self.quirks
+                    self.open(i, tag, attrs, alone and not kept_open)
+                    if alone and kept_open and k == i + 2:
+                        self.open(i, "_", {}, False)
                 else:
                     self.close(tag, t.offset)
                 i = k

@@ -174,3 +174,8 @@ def slow_positions(text, offsets):
 def test_positions(text):
     tokens = kernel.lex(text)
     assert kernel.positions(tokens, text) == slow_positions(text, [t.offset for t in tokens])
+
+
+def test_observed_declarations_and_self_closing_tags():
+    assert rows("<!DOCTYPE html><r/>", "observed")[0] == ("r", "html&gt;") and rows("<!DOCTYPE html><r/>") == [("r", "")]
+    assert [(e.tag, e.parent) for e in tree("<r><br/><i x='1'/></r>", "observed").elements] == [("r", -1), ("br", 0), ("_", 1), ("i", 2)]
