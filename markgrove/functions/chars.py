@@ -161,7 +161,8 @@ def transform(text: Column, config: TransformConfig = TransformConfig(), context
 
 def issue(code: Column) -> Column:
     """What is wrong with a code point, or null."""
-    at = F.concat(F.lit("U+"), F.lpad(F.hex(code), 4, "0"))
+    digits = F.hex(code)
+    at = F.concat(F.lit("U+"), F.when(F.length(digits) < 4, F.lpad(digits, 4, "0")).otherwise(digits))
     kind = (
         F.when(code.between(0xD800, 0xDFFF), "Surrogate character: ")
         .when(code.isin(0x9, 0xA, 0xD), None)

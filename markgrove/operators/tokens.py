@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -48,26 +49,35 @@ class TokenFilter:
         if self.max_results is not None and self.max_results < 0:
             raise ValueError("max_results must be >= 0")
 
-    def apply(self, tokens: DataFrame, id_col: str = "doc_id") -> DataFrame:
-        out = tokens
+    def condition(self) -> Column:
+        """Whether a token row passes, but for max_results."""
+        parts = [F.lit(True)]
         if self.types is not None:
             hit = F.col("type").isin(*self.types)
-            out = out.where(hit if self.mode == "include" else ~hit)
+            parts.append(hit if self.mode == "include" else ~hit)
         if self.min_confidence is not None:
-            out = out.where(F.col("confidence") >= self.min_confidence)
+            parts.append(F.col("confidence") >= self.min_confidence)
         if self.start is not None:
-            out = out.where(F.col("offset") >= self.start)
+            parts.append(F.col("offset") >= self.start)
         if self.end is not None:
-            out = out.where(F.col("offset") < self.end)
+            parts.append(F.col("offset") < self.end)
         if self.pattern is not None:
-            out = out.where(F.col("value").rlike(self.pattern if self.case_sensitive else f"(?i){self.pattern}"))
+            parts.append(F.col("value").rlike(self.pattern if self.case_sensitive else f"(?i){self.pattern}"))
+        return reduce(Column.__and__, parts)
+
+    def apply(self, tokens: DataFrame, id_col: str = "doc_id") -> DataFrame:
+        out = tokens.where(self.condition())
         return out if self.max_results is None else first_n(out, self.max_results, id_col)
 
 
+def with_rank(tokens: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """tokens with _rank, the place of each in its document from 1."""
+    return tokens.withColumn("_rank", F.row_number().over(W.partitionBy(id_col).orderBy("seq")))
+
+
 def first_n(tokens: DataFrame, n: int, id_col: str = "doc_id") -> DataFrame:
     """The first n rows of each document; Spark limits each group before the shuffle."""
-    rank = F.row_number().over(W.partitionBy(id_col).orderBy("seq"))
-    return tokens.withColumn("_rank", rank).where(F.col("_rank") <= n).drop("_rank")
+    return with_rank(tokens, id_col).where(F.col("_rank") <= n).drop("_rank")
 
 
 def well_formed() -> Column:

@@ -290,3 +290,30 @@ SELECT strays + cut + open AS total_entries, round((cut + open) / (strays + cut
        '{{"insert_missing_structure":' || cut || ',"skip_until_valid":' || strays || ',"treat_as_text":' || open || '}}' AS strategy_counts,
        '{{"insert_missing_structure":1.0,"skip_until_valid":0.0,"treat_as_text":1.0}}' AS strategy_success_rates,
        '{{"error_recovery":' || (strays + cut) || ',"unclosed_comment":' || open || '}}' AS error_types, '{{"0":' || strays || ',"4":' || (cut + open) || '}}' AS confidence_distribution FROM x"""
+
+TYPES = f"""WITH {LEXED}, q AS (SELECT sum(strays) AS strays, sum(cut) AS cut, count(*) AS pages FROM (SELECT {_CASES} FROM pages)), a AS (
+  SELECT sum(CASE WHEN class = 'OPEN' THEN len(regexp_extract_all(token, '{_ATTRIBUTE}')) ELSE 0 END) AS attrs, count(*) FILTER (class IN ('OPEN', 'CLOSE')) AS tags, count(*) FILTER (class = 'TEXT') AS texts,
+         count(*) FILTER (class = 'COMMENT') AS comments, count(*) FILTER (class = 'DOCTYPE') AS doctypes FROM toks
+)
+SELECT unnest(['TAG_START', 'TAG_NAME', 'TAG_END', 'SYNTHETIC_CLOSE', 'ATTR_NAME', 'ATTR_VALUE', 'TEXT', 'COMMENT', 'DOCTYPE', 'INVALID_CHARS']) AS type, unnest([tags, tags, tags - cut, cut, attrs, attrs, texts + strays, comments + pages, doctypes, strays]) AS n FROM a, q"""
+
+FILTERED = f"""WITH {_BROKEN_COUNTS}, k AS (
+  SELECT page_id, count(*) FILTER (class = 'COMMENT') + 1 AS comments, count(*) FILTER (class = 'TEXT') AS texts, count(*) FILTER (class IN ('OPEN', 'CLOSE') AND regexp_matches(token, '^</?h1[ >]')) AS headings FROM toks GROUP BY page_id
+), e AS (
+  SELECT page_id, count(*) FILTER (class IN ('OPEN', 'CLOSE') AND start < 100) AS early FROM (
+    SELECT *, coalesce(sum(length(token)) OVER (PARTITION BY page_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM toks) GROUP BY page_id
+)
+SELECT page_id AS doc_id, comments, n_tokens - texts - 2 * strays AS no_texts, n_tokens - bad AS unsure, early, headings, least(7, n_tokens) AS first FROM b JOIN k USING (page_id) JOIN e USING (page_id)"""
+
+POSITIONS = f"""WITH {LEXED}, o AS (
+  SELECT page_id, class, coalesce(sum(length(token)) OVER (PARTITION BY page_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM toks
+), p AS (
+  SELECT o.page_id, start, html[1:start] AS before FROM o JOIN pages USING (page_id) WHERE class IN ('OPEN', 'CLOSE')
+), q AS (
+  SELECT page_id, start, 1 + length(before) - length(replace(before, chr(10), '')) AS line, 1 + length(string_split(before, chr(10))[-1]) AS col FROM p
+)
+SELECT page_id AS doc_id, count(*) AS n, sum(start) AS offsets, sum(line) AS lines, sum(col) AS cols, max(line) AS last_line FROM q GROUP BY 1"""
+
+USUAL = f"""WITH {_BROKEN_COUNTS}
+SELECT page_id AS doc_id, 'unclosed_comment' AS error_type, 'treat_as_text' AS strategy FROM b
+UNION ALL SELECT page_id, 'error_recovery', CASE WHEN cut >= strays THEN 'insert_missing_structure' ELSE 'skip_until_valid' END FROM b WHERE strays + cut > 0"""

@@ -746,6 +746,117 @@ def json_pretty(spark, sf_dir):
     return serialize.serialize_parsed(trees(nations(spark, sf_dir)), "json_pretty")
 
 
+# ---- tokens, strategies and characters one by one
+
+
+@query(oracle.TYPES)
+def token_types(spark, sf_dir):
+    """Tokens of the broken pages by type."""
+    return tokens.type_distribution(parse.tokens(broken(spark, sf_dir))).groupBy("type").agg(F.sum("count").alias("n"))
+
+
+@query(oracle.FILTERED)
+def token_filters(spark, sf_dir):
+    """The filters themselves: kinds in and out, least confidence, places, patterns, and the first few of each page."""
+    t = parse.tokens(broken(spark, sf_dir))
+    chosen = {
+        "comments": tokens.TokenFilter(types=("COMMENT",)), "no_texts": tokens.TokenFilter("exclude", ("TEXT", "INVALID_CHARS")), "unsure": tokens.TokenFilter(min_confidence=0.85),
+        "early": tokens.TokenFilter(types=("TAG_START",), start=0, end=100), "headings": tokens.TokenFilter(types=("TAG_NAME",), pattern="^H1$", case_sensitive=False), "first": tokens.TokenFilter(max_results=7),
+    }
+    ranked = tokens.with_rank(t).withColumns({k: f.condition() & (F.col("_rank") <= (f.max_results or 1 << 30)) for k, f in chosen.items()})
+    return ranked.groupBy("doc_id").agg(*[F.count_if(k).alias(k) for k in chosen])
+
+
+@query(oracle.POSITIONS)
+def token_positions(spark, sf_dir):
+    """Lines and columns of tags, per page."""
+    t = parse.tokens(pages(spark, sf_dir)).where("type = 'TAG_START'")
+    return t.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum("offset").alias("offsets"), F.sum("line").alias("lines"), F.sum("col").alias("cols"), F.max("line").alias("last_line"))
+
+
+@query(oracle.USUAL)
+def usual_strategies(spark, sf_dir):
+    return recovery.usual_strategy(recovery.history(parse.tokens(broken(spark, sf_dir))))
+
+
+@query(f"SELECT 400 + n_nationkey AS doc_id, name, CASE name WHEN 'x' THEN n_nationkey::VARCHAR ELSE '3' END AS value, n_same FROM nation, (VALUES ('x', 2), ('y', 1)) AS v(name, n_same)")
+def last_attributes(spark, sf_dir):
+    """Of repeated attributes of a tag the last counts."""
+    return tokens.last_attributes(parse.tokens(malformed(spark, sf_dir, (4,)))).select("doc_id", "name", "value", "n_same")
+
+
+@query("WITH c AS (SELECT 2300 + n_nationkey AS doc_id, * FROM nation, (VALUES ('t:r', 't', 'r'), ('t:a', 't', 'a'), ('v:b', 'v', 'b')) AS v(tag, prefix, local)) SELECT doc_id, tag, prefix, local FROM c")
+def qualified_names(spark, sf_dir):
+    e = parse.elements(malformed(spark, sf_dir, (23,)))
+    return e.select("doc_id", "tag", markup.namespace_prefix(F.col("tag")).alias("prefix"), markup.local_name(F.col("tag")).alias("local"))
+
+
+@query("SELECT o_custkey AS doc_id, any_value(c_name) || ' ' || string_agg(o_orderpriority || ' ' || o_totalprice::VARCHAR, ' ' ORDER BY o_orderkey) AS full_text FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1")
+def nav_full_text_deep(spark, sf_dir):
+    """Text of whole documents, three levels deep."""
+    return nav.full_text(trees(customers(spark, sf_dir)), "customer").select("doc_id", "full_text")
+
+
+@query("SELECT o_custkey AS doc_id, o_orderkey::VARCHAR AS id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey)::INT AS place FROM orders JOIN customer ON o_custkey = c_custkey")
+def nav_sibling_places(spark, sf_dir):
+    e = nav.sibling_index(parse.elements(customers(spark, sf_dir), tags=["order"]))
+    return e.select("doc_id", parse.attribute("id").alias("id"), F.col("same_tag_idx").alias("place"))
+
+
+@query("SELECT n_nationkey::BIGINT AS doc_id, '<data><item><tag>nation</tag><text></text><path>/</path><attr_id>' || n_nationkey || '</attr_id></item><item><tag>name</tag><text>' || n_name || '</text><path>/name[0]</path></item><item><tag>note</tag><text></text><path>/note[1]</path></item><item><tag>empty</tag><text></text><path>/empty[2]</path></item></data>' AS content FROM nation")
+def flat_to_xml(spark, sf_dir):
+    """The flat table written back as XML."""
+    return serialize.flat_to_xml(nav.flat(parse.elements(nations(spark, sf_dir)), ("id",)))
+
+
+@query("WITH p AS (SELECT doc_id, unnest(string_split(text, '')) AS c, unnest(range(length(text))) AS i FROM documents) SELECT doc_id, count(*) AS n, sum(i)::BIGINT AS positions, max(CASE c WHEN '.' THEN 'Control character: U+0001' ELSE 'Non-character: U+1FFFE' END) AS reason FROM p WHERE c IN ('.', ',') GROUP BY doc_id")
+def char_changes(spark, sf_dir):
+    """The log of changes: how many, where, and why."""
+    each = dirty(spark, sf_dir).select("doc_id", F.inline(chars.changes(F.col("text"))))
+    return each.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum("position").alias("positions"), F.max("reason").alias("reason"))
+
+
+@query(r"""WITH t AS (SELECT doc_id, text, length(text) - length(replace(replace(text, '.', ''), ',', '')) AS n, regexp_matches(replace(text, ',', chr(131070)), '[^\x00-\x7F]') AS wide FROM documents)
+SELECT doc_id, round(CASE WHEN n = 0 THEN 1.0 WHEN NOT wide THEN greatest(0.8, 1.0 - n / greatest(length(text), 1)) ELSE greatest(0.1, least(1.0, 1.0 - n / greatest(length(text), 1) * 0.3 - least(0.5, n * 0.1))) END::DOUBLE, 6) AS confidence FROM t""")
+def char_confidence(spark, sf_dir):
+    text = F.col("text")
+    return dirty(spark, sf_dir).select("doc_id", F.round(chars.confidence(text, chars.invalid_count(text)), 6).alias("confidence"))
+
+
+@query(r"SELECT doc_id, md5(text) AS utf16, md5(text) AS utf8, md5(regexp_replace(text, '[^\x00-\x{FF}]', '?', 'g')) AS latin FROM documents")
+def decode_codecs(spark, sf_dir):
+    """Bytes in three encodings decoded again, two of them by Python's codecs."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+
+    def back(charset: str, codec: str) -> Column:
+        return F.md5(chars.decode(F.encode("text", charset), F.lit(codec)))
+
+    return docs.select("doc_id", back("UTF-16LE", "utf-16-le").alias("utf16"), back("UTF-8", "utf-8").alias("utf8"), back("ISO-8859-1", "latin-1").alias("latin"))
+
+
+@query(f"WITH f AS ({_DETECTED}) SELECT doc_id, CASE WHEN text <> '' AND NOT regexp_matches(left(text, 1024), '[^\\x00-\\x7F]') THEN 'utf8_validation' ELSE method END AS method FROM f JOIN documents USING (doc_id) WHERE doc_id % 3 <> 0 OR NOT regexp_matches(left(text, 1024), '[^\\x00-\\x7F]') OR method <> 'fallback'")
+def encoding_fast(spark, sf_dir):
+    """Detection that takes a beginning of ASCII for UTF-8 at once."""
+    latin = F.encode(F.col("text"), "ISO-8859-1")
+    content = F.when(F.col("doc_id") % 3 == 0, latin).otherwise(F.encode("text", "UTF-8"))
+    found = table(spark, sf_dir, "documents").select("doc_id", "text", chars.detect_fast(content).alias("d"))
+    return found.where("doc_id % 3 != 0 or not substring(text, 1, 1024) rlike '[^\\\\x00-\\\\x7F]' or d.method != 'fallback'").select("doc_id", "d.method")
+
+
+@query("WITH m AS (SELECT event_type, avg(value) FILTER (event_id % 2 = 0) AS base, avg(value) FILTER (event_id % 2 = 1) AS now FROM events GROUP BY 1), c AS (SELECT event_type, (now - base) / nullif(base, 0) AS change FROM m) SELECT event_type, round(change, 6) AS change, CASE WHEN change > 0.05 THEN 'regression' WHEN change < -0.05 THEN 'improvement' ELSE 'stable' END AS verdict FROM c")
+def benchmark_regressions(spark, sf_dir):
+    half = table(spark, sf_dir, "events").groupBy("event_type", (F.col("event_id") % 2).alias("half")).agg(F.avg("value").alias("mean"))
+    found = report.regressions(half.where("half = 1"), half.where("half = 0"), ["event_type"])
+    return found.select("event_type", F.round("change", 6).alias("change"), "verdict")
+
+
+@query(f"WITH {LEXED}, t AS (SELECT page_id % 2 AS half, lower({TAG}) AS tag FROM toks WHERE class IN ('OPEN', 'CLOSE')) SELECT tag, 'union' AS op FROM (SELECT tag FROM t WHERE half = 0 UNION SELECT tag FROM t WHERE half = 1) UNION ALL SELECT tag, 'never closed' FROM (SELECT DISTINCT lower({TAG}) AS tag FROM toks WHERE class = 'OPEN' EXCEPT SELECT lower({TAG}) FROM toks WHERE class = 'CLOSE')")
+def sets_tags_union_except(spark, sf_dir):
+    t = page_tokens(spark, sf_dir).where("class in ('OPEN', 'CLOSE')").select("class", (F.col("page_id") % 2).alias("half"), markup.tag_name(F.col("token")).alias("tag"))
+    both = t.where("half = 0").select("tag").union(t.where("half = 1").select("tag")).distinct().withColumn("op", F.lit("union"))
+    return both.union(t.where("class = 'OPEN'").select("tag").subtract(t.where("class = 'CLOSE'").select("tag")).withColumn("op", F.lit("never closed")))
+
+
 # ---- relational extras over markup
 
 
