@@ -290,7 +290,7 @@ def test_documents_are_parsed_once(spark, sf, name):
     passes = plan.count("MapInArrow") + plan.count("FlatMapGroupsInArrow")
     assert passes <= PASSES.get(name, 1)
     if passes:
-        own_joins = {"parse_orders_nested", "pivot_records", "nav_children", "nav_by_attribute", "nav_find_all", "nav_paths", "nav_first_child", "ancestors_range_join", "tree_stats", "top_parent_paths"}
+        own_joins = {"parse_orders_nested", "pivot_records", "nav_children", "nav_by_attribute", "nav_find_all", "nav_paths", "nav_first_child", "ancestors_range_join", "tree_stats", "top_parent_paths", "nav_full_text_deep", "nav_sibling_places"}
         assert plan.count("Join") == (1 if name in own_joins | {"subtree_removed"} else 0), name  # orders are joined to customers before they are parsed
 
 
