@@ -33,7 +33,7 @@ SPACE = r"\t-\r \x85\xa0  -     　"
 PIECES = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
 
 #: Pieces whose ids are remembered by a kernel; beyond that it starts anew.
-CACHE_PIECES = 500_000
+CACHE_PIECES = 200_000
 
 
 def byte_names() -> list[str]:

@@ -62,7 +62,7 @@ class Words(dict):
     """(feature, shape) of each word, remembered up to a bound."""
 
     def __missing__(self, word: bytes) -> tuple[int, str]:
-        if len(self) > 300_000:
+        if len(self) > 150_000:
             self.clear()
         plain = word.lower().strip(PUNCTUATION)
         found = self[word] = (hashed(plain or word), shape(word))

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of one Arrow batch that goes to a Python kernel; a longer single row makes a batch of its own.
-ARROW_BATCH_BYTES = 16 << 20
+ARROW_BATCH_BYTES = 8 << 20
 
 #: What separates words everywhere in this subpackage: the six ASCII white-space characters (as bytes.split does).
 WORD_RE = r"[^\x20\x09-\x0D]+"
@@ -30,7 +30,7 @@ class WordHashes(dict):
     """Hash of each word, remembered up to a bound."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
+        if len(self) > 200_000:
             self.clear()
         h = self[word] = xxhash.xxh64_intdigest(word)
         return h

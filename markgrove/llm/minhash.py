@@ -127,7 +127,7 @@ def weighted_jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both) if len(a) + len(b) else 0.0
 
 
-def blocks(texts: list[str | None], most: int = 300_000) -> Iterator[tuple[int, list[list[bytes]]]]:
+def blocks(texts: list[str | None], most: int = 150_000) -> Iterator[tuple[int, list[list[bytes]]]]:
     """Runs of documents of at most so many words (or one longer document), as (first row, word lists)."""
     start, size, run = 0, 0, []
     for i, text in enumerate(texts):
@@ -303,8 +303,8 @@ def classes(docs: DataFrame) -> DataFrame:
         of_hubs = hubs.select(F.struct("hub.id", "hub.size", "hub.of").alias("x"), F.col("top").alias("y"), F.col("n_parts").alias("n"))
         pairs = of_part.union(of_hubs).where(f"x.id != y.id and x.of != y.of and least(x.size, y.size) >= {THRESHOLD} * greatest(x.size, y.size)")
         new = _verified(pairs.select("x.id", F.col("y.id").alias("hub"), "n"), texts, scratch)
-        found = new if found is None else found.union(new)
-        of = components(found, scratch)
+        of = scratch.table(components(new if found is None else found.union(new), scratch), "components")
+        found = of.where("id != component_id").select(F.col("id").alias("a"), F.col("component_id").alias("b"))  # a star of each component stands for its links
         left = rest.drop("of").join(hubs.select("key", "part", F.when(F.col("most") == 1, F.col("top.id")).alias("done")), ["key", "part"]).where("done is null or id != done")
         left = scratch.table(left.join(of, "id", "left").select("key", "band", "part", "id", "size", F.coalesce("component_id", "id").alias("of")), "left")
         many = left.groupBy("key").agg(F.min("of").alias("low"), F.max("of").alias("high")).where("low < high").select("key")

@@ -31,7 +31,7 @@ MIN_WORDS, BASE_WINDOW = 50, 3
 REPEAT_WORDS, MAX_COVERED, MAX_LONGEST = 8, 0.4, 100
 
 #: Words of one block of suffix arrays; a longer document is a block of its own.
-BLOCK_WORDS = 250_000
+BLOCK_WORDS = 120_000
 
 
 def suffix_array(words: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
