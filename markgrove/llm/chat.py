@@ -173,13 +173,14 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict], variant
     lone = results.where("call_id is null").select(F.col("conv_id").alias("result_conv"), F.col("turn").alias("result_turn"), F.col("text").alias("result"))
     both = both.unionByName(loose, allowMissingColumns=True).unionByName(lone, allowMissingColumns=True)
     is_call = F.col("call_turn").isNotNull() | F.col("name").isNotNull() | F.col("arguments").isNotNull() | F.col("n_calls").isNotNull()
-    fault = F.lit("no schema")
-    for name, schema in schemas.items():
-        fault = F.when(F.col("name") == name, violations(F.col("arguments"), schema)).otherwise(fault)
+    fault, rules = F.lit("no schema"), {}
+    for name, schema in schemas.items():  # names of equal schemas are validated by one expression
+        rules.setdefault(json.dumps(schema, sort_keys=True), (schema, []))[1].append(name)
+    for schema, names in rules.values():
+        fault = F.when(F.col("name").isin(*names), violations(F.col("arguments"), schema)).otherwise(fault)
     status = F.when(F.col("call_id").isNull(), "unlinked").when(F.col("conflict"), "conflict").when(F.col("n_calls").isNull(), "orphan").when(F.col("n_results").isNull(), "pending").otherwise("linked")
     body = json_object({"id": json_string(F.col("call_id")), "name": json_string(F.col("name")), "arguments": canonical(F.col("arguments")), "result": json_string(F.col("result"))})
-    faults = F.when(is_call, fault)
-    return both.select(
+    return both.withColumn("faults", F.when(is_call, fault)).select(
         "call_id",
         F.coalesce("call_conv", "result_conv").alias("conv_id"),
         "call_turn",
@@ -187,8 +188,8 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict], variant
         "name",
         status.alias("status"),
         "topo_order",
-        (faults == "").alias("valid"),
-        faults.alias("violations"),
+        (F.col("faults") == "").alias("valid"),
+        F.col("faults").alias("violations"),
         F.coalesce("n_calls", F.lit(0).cast("long")).alias("n_calls"),
         F.coalesce("n_results", F.lit(0).cast("long")).alias("n_results"),
         body.alias("json"),
