@@ -226,15 +226,22 @@ PRESETS = {
 }
 
 
-def stream_warnings(buffer_size: int, max_memory: int | None = None) -> list[str]:
-    """What is odd about a buffer size."""
-    found = []
-    if buffer_size <= 0:
-        found.append("buffer size must be positive")
-    elif buffer_size < 1024:
-        found.append("buffer under 1 KB: slow")
-    elif buffer_size > 1 << 20:
-        found.append("buffer over 1 MB: much memory")
-    if max_memory is not None and buffer_size > max_memory:
-        found.append("buffer larger than the memory limit")
-    return found
+#: What is said of odd settings of chunked reading, and the smallest and largest buffer that are not told (fixed values).
+STREAM_WARNINGS = {
+    "positive": "Buffer size must be positive",
+    "exceeds": "Buffer size exceeds maximum memory limit",
+    "memory": "Maximum memory must be positive",
+    "strict": "Strict XML mode with streaming disabled may cause memory issues with large files",
+    "small": "Very small buffer size may impact performance",
+    "large": "Very large buffer size may impact memory usage",
+}
+MIN_BUFFER, MAX_BUFFER = 1024, 1 << 20
+
+
+def stream_warnings(buffer_size: int, max_memory: int | None = None, strict: bool = False, streaming: bool = True) -> list[str]:
+    """What is odd about the settings of chunked reading."""
+    holds = {
+        "positive": buffer_size <= 0, "exceeds": max_memory is not None and 0 < buffer_size and buffer_size > max_memory, "memory": max_memory is not None and max_memory <= 0,
+        "strict": strict and not streaming, "small": buffer_size < MIN_BUFFER, "large": buffer_size > MAX_BUFFER,
+    }
+    return [text for k, text in STREAM_WARNINGS.items() if holds[k]]

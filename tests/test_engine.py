@@ -394,3 +394,9 @@ def test_other_queries_work_without_the_corpus_operators():
 
     code = "import sys; sys.modules['markgrove.llm'] = None; import __spark_entry__ as e; q = e.queries(); assert 'parse_pages_elements' in q and 'pipeline' not in q and not [n for n in q if n[:2] == 'op' and n[2].isdigit()] and set(e.oracle_sql()) <= set(q)"
     subprocess.run([sys.executable, "-c", code], check=True, cwd=__file__.rsplit("/tests/", 1)[0])
+
+
+def test_stream_settings():
+    assert stream_warnings(8192, 1 << 20) == [] and stream_warnings(8192, strict=True) == []
+    told = [stream_warnings(0), stream_warnings(4096, 1024), stream_warnings(1 << 21, 0), stream_warnings(8192, strict=True, streaming=False)]
+    assert [[t.split()[0] for t in x] for x in told] == [["Buffer", "Very"], ["Buffer"], ["Buffer", "Maximum", "Very"], ["Strict"]]
