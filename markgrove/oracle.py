@@ -317,3 +317,21 @@ SELECT page_id AS doc_id, count(*) AS n, sum(start) AS offsets, sum(line) AS lin
 USUAL = f"""WITH {_BROKEN_COUNTS}
 SELECT page_id AS doc_id, 'unclosed_comment' AS error_type, 'treat_as_text' AS strategy FROM b
 UNION ALL SELECT page_id, 'error_recovery', CASE WHEN cut >= strays THEN 'insert_missing_structure' ELSE 'skip_until_valid' END FROM b WHERE strays + cut > 0"""
+
+
+def whole(sql: str, *columns: str) -> str:
+    """The SQL with these columns, sums of whole numbers, as 64-bit integers."""
+    return f"SELECT * REPLACE ({', '.join(f'{c}::BIGINT AS {c}' for c in columns)}) FROM ({sql})"
+
+
+SUMMARIES = whole(SUMMARIES, "total_attributes", "repairs_applied")
+REPORTS = whole(REPORTS, "elements_repaired")
+TOKEN_STATISTICS = whole(TOKEN_STATISTICS, "n_tokens")
+RECOVERIES = whole(RECOVERIES, "n")
+MERGED = whole(MERGED, "n_tokens", "n_before")
+RESULTS = whole(RESULTS, "attribute_count", "total_diagnostics", "document_repairs", "element_repairs")
+WINDOWS = whole(WINDOWS, "repairs")
+RECOVERY_REPORT = whole(RECOVERY_REPORT, "total_entries")
+TYPES = whole(TYPES, "n")
+FILTERED = whole(FILTERED, "no_texts", "unsure", "first")
+POSITIONS = whole(POSITIONS, "offsets", "lines", "cols")

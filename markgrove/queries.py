@@ -344,7 +344,7 @@ def threats_nested_entities(spark, sf_dir):
     return found.where("pattern_no = 3").select("doc_id", F.col("n_matches").alias("n"))
 
 
-@query(f"WITH p AS (SELECT page_id, {_HTML} AS h FROM pages), t AS ({_SCAN}), b AS (SELECT page_id, bool_or(threat_level IN ('critical', 'high')) AS blocked FROM t WHERE n > 0 GROUP BY page_id), c AS (SELECT attack_type, count(*) AS n FROM t WHERE n > 0 GROUP BY 1) SELECT count(*) AS total_requests, count(*) FILTER (blocked) AS blocked_requests, round(count(*) FILTER (blocked) / count(*), 6) AS block_rate, (SELECT sum(n) FROM c) AS threats_detected, (SELECT '{{' || string_agg('\"' || attack_type || '\":' || n, ',' ORDER BY attack_type) || '}}' FROM c) AS threat_types FROM p LEFT JOIN b USING (page_id)")
+@query(f"WITH p AS (SELECT page_id, {_HTML} AS h FROM pages), t AS ({_SCAN}), b AS (SELECT page_id, bool_or(threat_level IN ('critical', 'high')) AS blocked FROM t WHERE n > 0 GROUP BY page_id), c AS (SELECT attack_type, count(*) AS n FROM t WHERE n > 0 GROUP BY 1) SELECT count(*) AS total_requests, count(*) FILTER (blocked) AS blocked_requests, round(count(*) FILTER (blocked) / count(*), 6) AS block_rate, (SELECT sum(n)::BIGINT FROM c) AS threats_detected, (SELECT '{{' || string_agg('\"' || attack_type || '\":' || n, ',' ORDER BY attack_type) || '}}' FROM c) AS threat_types FROM p LEFT JOIN b USING (page_id)")
 def security_statistics(spark, sf_dir):
     pages = hostile(spark, sf_dir)
     found = security.statistics(security.decisions(pages, "page_id", "strict", types=_RE2_TYPES), security.scan(pages, "page_id", types=_RE2_TYPES))
