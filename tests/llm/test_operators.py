@@ -641,7 +641,7 @@ def test_near_copies_move_in_proportion(spark, monkeypatch):
         return out
 
     monkeypatch.setattr(common.Scratch, "table", counting)
-    base, n = text(77, 80), {}
+    base, n = text(77, 300), {}
     for copies in (300, 1200):
         moved.clear()
         docs = spark.createDataFrame([(i, edited(base, i, 1)) for i in range(copies)], "doc_id long, text string")
