@@ -6,8 +6,8 @@ the longest repeat that starts there; the spans of repeats of min_words and more
 united spans cover more than max_covered of its words or if a repeat is longer than max_longest words.
 
 Defined results: a null text counts as empty (no words, so base_failed); lines without a word are no duplicates;
-repeated rows are judged alike, each for itself; extra columns are not carried by measure() and pass through kept().
-A document is held whole by one task: about 100 bytes a word of the longest one.
+repeated rows are judged alike, each for itself; texts of any length are judged whole; an empty table stays empty; extra columns,
+whatever their names, are not carried by measure() and pass through kept(). A document is held whole by one task: about 100 bytes a word of the longest one.
 """
 
 from __future__ import annotations

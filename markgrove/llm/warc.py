@@ -9,7 +9,8 @@ verified, and the chunked framing is decoded.
 Defined results: a null payload is empty; a null identifier is written as an empty field and read back as null; of rows
 with equal payloads and the least identifier all are responses (so repeated rows are too), and if that identifier is null
 all are; a record whose segments, length, framing or digest do not fit gets a text in `problem` and keeps its header's
-values; payloads are bytes, whatever they hold. A record is held whole by one task.
+values; payloads are bytes, whatever they hold, of any length; an empty table writes no records and reads none; other columns,
+whatever their names, are not carried. A record is held whole by one task.
 """
 
 from __future__ import annotations
@@ -222,6 +223,7 @@ def round_trip(pages: DataFrame) -> DataFrame:
     payload = F.col("payload")
     back = read(pages.sparkSession, path).select("record_id", "page_id", "kind", "refers_to_id", "digest", "problem", F.sha2(payload, 256).alias("own_digest"), F.length(payload).cast("long").alias("bytes"))
     back = scratch.table(back, "records")
+    scratch.remove(path)
     targets = back.where("kind = 'response'").groupBy("record_id").agg(F.min("page_id").alias("to_page"), F.max("bytes").alias("to_bytes"), F.max("own_digest").alias("to_digest"))
     # only revisits are joined: the null reference of all other records would be one key
     revisits = back.where("kind = 'revisit'").join(targets.withColumnRenamed("record_id", "to_id"), F.col("refers_to_id") == F.col("to_id"), "left")
