@@ -32,8 +32,8 @@ from .common import tune
 SPACE = r"\t-\r \x85\xa0  -     　"
 PIECES = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
 
-#: Pieces whose ids are remembered by a kernel; beyond that it starts anew.
-CACHE_PIECES = 200_000
+#: Pieces whose ids a kernel remembers, in each of two generations.
+CACHE_PIECES = 225_000
 
 
 def byte_names() -> list[str]:
@@ -83,6 +83,7 @@ class Codec:
         self.any_pieces, self.latin_pieces = regex.compile(PIECES, regex.V1), latin_pieces()
         self.split_special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.cache: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.table = [self.bytes_of.get(i) for i in range(self.size)]
 
     def merge(self, raw: bytes) -> list[int]:
@@ -128,10 +129,13 @@ class Codec:
             for piece in pieces(part):
                 ids = cache.get(piece)
                 if ids is None:
-                    if len(cache) >= CACHE_PIECES:
-                        cache.clear()
-                    ids = array("i", self.merge(piece.encode("utf-8", "replace"))).tobytes()
+                    ids = self.older.pop(piece, None)
+                    if ids is None:
+                        ids = array("i", self.merge(piece.encode("utf-8", "replace"))).tobytes()
                     if len(piece) < 100:
+                        if len(cache) >= CACHE_PIECES:  # what has not been met since the last change goes
+                            self.older, self.cache = cache, {}
+                            cache = self.cache
                         cache[piece] = ids
                 out.append(ids)
         return b"".join(out)
