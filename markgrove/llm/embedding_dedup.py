@@ -299,3 +299,22 @@ def classes(embeddings: DataFrame) -> DataFrame:
     rest = vectors.where(~F.coalesce(good, F.lit(False))).select("vec_id", F.lit(0).cast("long").alias("n"), F.col("vec_id").alias("component"))
     out = known.unionByName(rest)
     return out.select("vec_id", F.col("n").alias("n_links"), F.col("component").alias("component_id"), F.col("component").eqNullSafe(F.col("vec_id")).alias("kept"))
+
+
+#: classes() in DuckDB: all pairs of a label, and the rows that each row reaches. For small tables.
+SQL = f"""
+WITH RECURSIVE v AS (
+  SELECT row_number() OVER () AS r, vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+), good AS (
+  SELECT * FROM v WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0
+), links AS (
+  SELECT a.r AS a, b.r AS b FROM good a JOIN good b ON a.label = b.label AND len(a.e) = len(b.e) AND a.r <> b.r WHERE list_cosine_similarity(a.e, b.e) >= {THRESHOLD}
+), reach(a, b) AS (
+  SELECT r, r FROM v UNION SELECT reach.a, l.b FROM reach JOIN links l ON reach.b = l.a
+), c AS (
+  SELECT reach.a AS r, min(v.vec_id) AS component_id FROM reach JOIN v ON v.r = reach.b GROUP BY reach.a
+), n AS (
+  SELECT a AS r, count(*) AS n FROM links GROUP BY a
+)
+SELECT vec_id, coalesce(n.n, 0) AS n_links, component_id, coalesce(vec_id = component_id, vec_id IS NULL AND component_id IS NULL) AS kept FROM v JOIN c USING (r) LEFT JOIN n USING (r)
+"""

@@ -338,3 +338,29 @@ def keep_one(docs: DataFrame) -> DataFrame:
     gone = classes(keyed.select(F.col("key").alias("doc_id"), "text")).where("not kept").select(F.col("doc_id").alias("key")).distinct()
     left = keyed.join(gone, "key", "left_anti").groupBy("key").agg(F.min_by("row", F.to_json("row")).alias("row"))
     return left.select("row.*").unionByName(row.where("id is null").select("row.*"))
+
+
+#: classes() in DuckDB: all pairs of texts that share a shingle, and the texts that each text reaches. For small tables without repeated ids.
+SQL = rf"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws, md5(text) AS content FROM documents
+), texts AS (
+  SELECT content, any_value(ws) AS ws, min(doc_id) AS rep FROM w WHERE doc_id IS NOT NULL AND len(ws) > 0 GROUP BY content
+), grams AS (
+  SELECT rep, CASE WHEN len(ws) < 5 THEN ws ELSE ws[i:i + 4] END AS gram FROM (SELECT rep, ws, unnest(range(1, greatest(2, len(ws) - 3))) AS i FROM texts)
+), counted AS (
+  SELECT rep, gram, count(*) AS n FROM grams GROUP BY rep, gram
+), sizes AS (
+  SELECT rep, sum(n)::BIGINT AS size FROM counted GROUP BY rep
+), near AS (
+  SELECT a.rep AS a, b.rep AS b, sum(least(a.n, b.n)) AS both_ FROM counted a JOIN counted b ON a.gram = b.gram AND a.rep <> b.rep GROUP BY a.rep, b.rep
+), links AS (
+  SELECT a, b FROM near JOIN sizes x ON x.rep = a JOIN sizes y ON y.rep = b WHERE both_ >= {THRESHOLD} * (x.size + y.size - both_)
+), reach(a, b) AS (
+  SELECT rep, rep FROM texts UNION SELECT reach.a, l.b FROM reach JOIN links l ON reach.b = l.a
+), c AS (
+  SELECT a AS rep, min(b) AS class_id FROM reach GROUP BY a
+)
+SELECT d.doc_id, coalesce(c.class_id, d.doc_id) AS class_id, coalesce(s.size, 0) AS n_shingles, coalesce(coalesce(c.class_id, d.doc_id) = d.doc_id, true) AS kept
+FROM w d LEFT JOIN texts t ON t.content = d.content AND d.doc_id IS NOT NULL LEFT JOIN c ON c.rep = t.rep LEFT JOIN sizes s ON s.rep = t.rep
+"""

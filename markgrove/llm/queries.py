@@ -71,4 +71,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 
-SQL: dict[str, str] = {"op1_poisson_mix": mixing.SQL, "op3_suffix_array_rules": quality_rules.SQL, "op5_stupid_backoff": lm_scoring.SQL, "op6_warc_segments": warc.SQL, "op10_tool_calls": chat.SQL}
+SQL: dict[str, str] = {"op1_poisson_mix": mixing.SQL, "op2_hnsw_dedup": embedding_dedup.SQL, "op3_suffix_array_rules": quality_rules.SQL, "op5_stupid_backoff": lm_scoring.SQL, "op6_warc_segments": warc.SQL, "op8_bagminhash": minhash.SQL, "op10_tool_calls": chat.SQL}

@@ -902,5 +902,5 @@ def test_stages_keep_the_columns_of_documents(spark, sf):
 
 
 def test_rows_without_sql_are_covered():
-    assert set(QUERIES) - set(SQL) == {"op2_hnsw_dedup", "op4_pii_anchors", "op7_ordinal_quality", "op8_bagminhash", "op9_bpe"}
+    assert set(QUERIES) - set(SQL) == {"op4_pii_anchors", "op7_ordinal_quality", "op9_bpe"}
     assert [q for q in QUERIES if q.split("_")[0] in {f"op{n}" for n in range(1, 11)}] == list(QUERIES) and len(QUERIES) == 10
