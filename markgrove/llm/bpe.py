@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.parse import spread
 from .common import tune
 
 #: The pre-tokenizer's pattern, a fixed value of the byte-level tokenizers. White space is spelled out, as regex counts U+001C-1F in.
@@ -199,7 +200,7 @@ def coded(df: DataFrame, path: str, source_col: str, outputs: dict[str, str]) ->
                 made["decoded"] = pa.array([codec.decode(flat[a:b].tolist()) for a, b in zip(ends[:-1], ends[1:], strict=True)], type=pa.string())
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *(made[k] for k in outputs.values())], names=[*kept, *outputs])
 
-    return df.mapInArrow(run, schema)
+    return spread(df).mapInArrow(run, schema)
 
 
 def encode(df: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:

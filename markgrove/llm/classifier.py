@@ -27,6 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.parse import spread
 from .common import tune
 
 #: Hash space, grades 0 .. GRADES - 1, and the bound of the sample of labelled rows that the model is fitted on.
@@ -171,7 +172,7 @@ def classify(docs: DataFrame, model: tuple[np.ndarray, np.ndarray]) -> DataFrame
             above = 1 / (1 + np.exp(np.clip(thresholds[None, :] - s[:, None], -500, 500)))  # P(grade > k)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c) for c in (s, above.sum(axis=1), above[:, SELECT_GRADE - 1]))], names=["doc_id", "score", "expected_grade", "tail_probability"])
 
-    found = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double, expected_grade double, tail_probability double")
+    found = spread(docs.select("doc_id", "text")).mapInArrow(run, f"doc_id {kind}, score double, expected_grade double, tail_probability double")
     return found.withColumn("kept", F.col("tail_probability") >= SELECT)
 
 

@@ -35,6 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.parse import spread
 from .common import HASHES, Scratch, components, mix64, tune
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -161,7 +162,7 @@ def _sketches(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("content"), pa.array(size), keys], names=["id", "content", "size", "bands"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.md5("text").alias("content"), "text").where("id is not null and text is not null")
-    return rows.mapInArrow(run, "id long, content string, size long, bands array<long>").where("size > 0")
+    return spread(rows).mapInArrow(run, "id long, content string, size long, bands array<long>").where("size > 0")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.parse import spread
 from .common import tune
 
 #: The kinds in their order (the first four are the base kinds) and the cues of accounts and secrets.
@@ -185,7 +186,7 @@ def find(df: DataFrame, carry: list[str], text_col: str = "text") -> DataFrame:
             rows = pa.StructArray.from_arrays([kind, start, end], names=["kind", "start", "end"])
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in carry), pa.ListArray.from_arrays(pa.array(at, type=pa.int32()), rows)], names=[*carry, "spans"])
 
-    return df.select(*carry, *([text_col] if text_col not in carry else [])).mapInArrow(run, schema)
+    return spread(df.select(*carry, *([text_col] if text_col not in carry else []))).mapInArrow(run, schema)
 
 
 def redact(df: DataFrame, text_col: str = "text") -> DataFrame:

@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.parse import spread
 from .common import tune
 
 #: Fixed values of the base rules.
@@ -149,7 +150,7 @@ def measure(docs: DataFrame, carry: list[str], min_words: int = REPEAT_WORDS) ->
             found = counts_of(batch.column("text").to_pylist(), min_words)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in carry), *(pa.array(c, type=pa.int64()) for c in found)], names=[*carry, *COUNTS])
 
-    return plain.mapInArrow(run, schema)
+    return spread(plain).mapInArrow(run, schema)
 
 
 def base_failed() -> Column:
