@@ -112,12 +112,13 @@ def spark_type(kind: pa.DataType) -> T.DataType:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """df over all cores if Catalyst's estimate of its bytes is too small for scan partitions enough; no larger input is shuffled."""
+    """df over all cores if it comes from fewer files than there are cores, and Catalyst's estimate of its bytes is too small for
+    scan partitions enough; no larger input is shuffled."""
     if df.isStreaming:
         return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df if size > cores * SPREAD_BYTES else df.repartition(cores)
+    return df if size > cores * SPREAD_BYTES or len(df.inputFiles()) >= cores else df.repartition(cores)
 
 
 def parse(df: DataFrame, id_col: str = "doc_id", content_col: str = "content", mode: str = "contract", want: tuple[str, ...] = ("elements", "documents"), tags: list[str] | None = None, carry: tuple[str, ...] = (), path_depth: int | None = kernel.PATH_DEPTH) -> DataFrame:
