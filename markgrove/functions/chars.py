@@ -68,7 +68,10 @@ def utf8_score(content: Column) -> Column:
 
 
 def detect(content: Column) -> Column:
-    """struct<encoding, confidence, method, issues>: byte order mark, then declaration, statistics, UTF-8 validity, fallback."""
+    """struct<encoding, confidence, method, issues>: byte order mark, then declaration, statistics of UTF-8, UTF-8 validity, statistics of Latin-1, fallback.
+
+    Whole content that is valid UTF-8 is never taken for Latin-1, though the end of the sample may cut a character.
+    """
 
     def found(name: Column, confidence: Column, method: str, *issues: str) -> Column:
         return F.struct(name.alias("encoding"), confidence.cast("double").alias("confidence"), F.lit(method).alias("method"), F.array(*map(F.lit, issues)).cast("array<string>").alias("issues"))
@@ -80,8 +83,8 @@ def detect(content: Column) -> Column:
         .when(mark.isNotNull(), found(mark, F.lit(1.0), "bom"))
         .when(name.isin(known_encodings()), found(name, F.lit(0.9), "xml_declaration"))
         .when(score > 0.8, found(F.lit("utf-8"), score, "statistical"))
-        .when(latin >= 0.7, found(F.lit("latin-1"), latin, "statistical"))
         .when(F.is_valid_utf8(content.cast("string")), found(F.lit("utf-8"), F.lit(1.0), "utf8_validation"))
+        .when(latin >= 0.7, found(F.lit("latin-1"), latin, "statistical"))
         .otherwise(found(F.lit("utf-8"), F.lit(0.5), "fallback", "no method was sure of an encoding"))
     )
 

@@ -48,6 +48,29 @@ def test_detect(spark, content, encoding, method):
     assert (found["encoding"], found["method"]) == (encoding, method)
 
 
+def detected_documents(spark, duck, folder, name, texts):
+    """A detection query held against its SQL on documents of its own; its rows by doc_id."""
+    path = f"{folder}/documents.parquet"
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(path)
+    con = duck.cursor()
+    con.execute(f"CREATE TEMP VIEW documents AS SELECT * FROM read_parquet('{path}/*.parquet')")
+    found = QUERIES[name](spark, str(folder))
+    same_rows(found, con, SQL[name])
+    return {r["doc_id"]: r for r in found.collect()}
+
+
+def test_detect_cut_character(spark, duck, tmp_path):
+    """The sample ends within a character of a text that is nearly all ASCII: UTF-8 if the whole content is, else Latin-1."""
+    cut = ["a" * 8191 + "é z", "a" * 8190 + "€ z", "a" * 8189 + "😀" + "z" * 9000]
+    found = detected_documents(spark, duck, tmp_path, "encoding_detect", ["plain", *cut[:2], cut[0], cut[2], "a" * 8190 + "é z"])
+    assert {i: (found[i]["encoding"], found[i]["method"], found[i]["n_chars"]) for i in (1, 2, 4)} == {
+        i: ("utf-8", "utf8_validation", len(text)) for i, text in zip((1, 2, 4), cut, strict=True)
+    }
+    assert (found[3]["encoding"], found[5]["method"]) == ("latin-1", "statistical")
+    late = value(spark, chars.detect(F.lit(cut[0].encode() + b"\xff")))
+    assert (late["encoding"], late["method"]) == ("latin-1", "statistical")
+
+
 def test_decode_as_python(spark):
     raw = [b"a\xffb", b"\xe2\x82", "é".encode(), b"\xc3\x28", "x€".encode("utf-16-le"), "é".encode("cp1252")]
     codecs = ["utf-8", "utf-8", "utf-8", "utf-8", "utf-16-le", "cp1252"]
