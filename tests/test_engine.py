@@ -71,6 +71,13 @@ def test_detect_cut_character(spark, duck, tmp_path):
     assert (late["encoding"], late["method"]) == ("latin-1", "statistical")
 
 
+def test_detect_fast_cut_character(spark, duck, tmp_path):
+    """No beginning of ASCII, and the sample ends within a character: the whole content is still UTF-8."""
+    texts = ["é plain", "é" + "a" * 8189 + "é z", "a" * 8191 + "é z", "é" + "a" * 8189 + "é z", "é" + "a" * 8188 + "😀 z"]
+    found = detected_documents(spark, duck, tmp_path, "encoding_fast", texts)
+    assert {i: found[i]["method"] for i in (1, 2, 3, 4)} == {1: "utf8_validation", 2: "utf8_validation", 3: "statistical", 4: "utf8_validation"}
+
+
 def test_decode_as_python(spark):
     raw = [b"a\xffb", b"\xe2\x82", "é".encode(), b"\xc3\x28", "x€".encode("utf-16-le"), "é".encode("cp1252")]
     codecs = ["utf-8", "utf-8", "utf-8", "utf-8", "utf-16-le", "cp1252"]
