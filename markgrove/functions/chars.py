@@ -89,11 +89,12 @@ def detect(content: Column) -> Column:
     )
 
 
-def detect_fast(content: Column) -> Column:
-    """detect(), but content whose first bytes are all ASCII is taken for UTF-8 at once."""
+def detect_fast(content: Column, trusted: Column | None = None) -> Column:
+    """detect(), but content whose first bytes are all ASCII is taken for UTF-8 at once; only where `trusted` holds, if given."""
     head = F.decode(F.substring(content, 1, DECLARATION_BYTES), "ISO-8859-1")
     sure = F.struct(F.lit("utf-8").alias("encoding"), F.lit(1.0).alias("confidence"), F.lit("utf8_validation").alias("method"), F.array().cast("array<string>").alias("issues"))
-    return F.when((F.octet_length(content) > 0) & head.rlike(r"\A[\x00-\x7F]*\z"), sure).otherwise(detect(content))
+    plain = (F.octet_length(content) > 0) & head.rlike(r"\A[\x00-\x7F]*\z")
+    return F.when(plain if trusted is None else plain & trusted, sure).otherwise(detect(content))
 
 
 @F.pandas_udf(T.StringType())

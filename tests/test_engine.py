@@ -78,6 +78,15 @@ def test_detect_fast_cut_character(spark, duck, tmp_path):
     assert {i: found[i]["method"] for i in (1, 2, 3, 4)} == {1: "utf8_validation", 2: "utf8_validation", 3: "statistical", 4: "utf8_validation"}
 
 
+def test_detect_fast_characters_not_of_latin_1(spark, duck, tmp_path):
+    """Characters that Latin-1 lacks are ? there: they stop neither the query, nor do they make a beginning one of ASCII."""
+    texts = ["€ sign", "€ sign", "a" * 1024 + "€", "a" * 1023 + "€ é " + "a" * 9000, "é € x", "é € x", "😀" * 1023 + "é", "日" * 1024 + "é" * 1024, "日" * 1024, "a" * 1025 + "é😀" * 2000]
+    found = detected_documents(spark, duck, tmp_path, "encoding_fast", [t for text in texts for t in (text, "plain", text)])
+    assert {i: found[3 * i]["method"] for i in range(10) if 3 * i in found} == {
+        **dict.fromkeys((0, 1, 3, 6, 8), "statistical"), **dict.fromkeys((2, 9), "utf8_validation")
+    }
+
+
 def test_decode_as_python(spark):
     raw = [b"a\xffb", b"\xe2\x82", "é".encode(), b"\xc3\x28", "x€".encode("utf-16-le"), "é".encode("cp1252")]
     codecs = ["utf-8", "utf-8", "utf-8", "utf-8", "utf-16-le", "cp1252"]
